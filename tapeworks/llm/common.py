@@ -66,3 +66,8 @@ def small_join(big: DataFrame, small: DataFrame, keys: list[str], *, how: str =
 def held_out(modulus: int, remainder: int, column: str = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves this remainder."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def python_rows(spark: SparkSession, rows: int = 256) -> None:
+    """Rows per Arrow batch, so that a batch of very long texts stays small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
