@@ -8,18 +8,19 @@ sampling without replacement, at a cost that doesn't multiply the set's size by
 Documents with the same shingle set are one class. Classes that share a band meet in a bucket, where links are sought
 without emitting all pairs: each member is verified against the bucket's least id (its hub); those that miss it form
 the bucket of the next round. Jaccard distance is a metric, so a member that misses a hub by more than twice the
-threshold can't link to anything linked to it; the others are compared with the hub's members unless one component
-already holds both. All links are confirmed on full sets.
+threshold can't link to anything linked to it; the others, unless one component already holds both, meet the members of
+the hub's component that share one of their rarest shingles (prefix filter). All links are confirmed on full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeworks.llm.common import DOCUMENT_COLUMNS, materialise, python_rows, table
@@ -135,6 +136,25 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialise(rows.select("id", "other", "inter", (F.col("__sum") - F.col("inter")).alias("both")), "near-pairs")
 
 
+def _rare_pairs(some: DataFrame, others: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (id, other) of some (id, n, mine, theirs) and others (id, n, theirs) with equal theirs.
+
+    Two sets of this similarity share one of their rarest items: of n items in the order of their frequency the first
+    n - ceil(percent * n / 100) + 1 are enough. Items that many sets hold come last, so a group of near copies meets
+    only in what few of them have.
+    """
+    both = materialise(some.select("id", "n").union(others.select("id", "n")).distinct(), "near-few")
+    items = both.join(sets, "id").select("id", "n", F.explode("items").alias("item"))
+    items = items.join(items.groupBy("item").agg(F.count(F.lit(1)).alias("df")), "item")
+    rank = F.row_number().over(W.partitionBy("id").orderBy("df", "item"))
+    rare = items.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1).where(F.col("df") > 1)
+    rare = materialise(rare.select("id", "n", "item"), "near-rare")
+    here = some.select("id", "theirs").distinct().join(rare, "id")
+    there = others.select("id", "theirs").join(rare, "id").select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("theirs").alias("group"), "item")
+    pairs = here.join(there, "item").where(F.col("theirs").eqNullSafe(F.col("group")) & (F.col("id") != F.col("other")))
+    return pairs.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("id", "other").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the least id reachable over edges (id, other), by minimum labels with pointer jumping."""
     both = materialise(edges.select("id", "other").union(edges.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct(), "near-graph")
@@ -171,9 +191,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     sets = materialise(wanted.mapInPandas(_sets(width), "id long, items array<long>"), "near-sets")
 
     linked = F.lit(100) * F.col("inter") >= F.lit(percent) * F.col("both")
-    distance = 1 - F.col("inter") / F.col("both")
-    near, slack = 1 - percent / 100, 1e-9
-    edges, near_misses, spokes = [], [], []
+    # Jaccard distance is a metric: beyond twice the threshold from a hub nothing linked to it can be reached.
+    reachable = 1 - F.col("inter") / F.col("both") <= 2 * (1 - percent / 100) + 1e-9
+    edges, near_misses = [], []
     at = bucket
     for turn in range(STAR_ROUNDS):
         at = at if turn == 0 else materialise(at, "near-strays")
@@ -182,37 +202,32 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
         star = at.where(F.col("id") != F.col("hub"))
         found = _verified(star.select("id", F.col("hub").alias("other")).distinct(), sets)
         edges.append(found.where(linked).select("id", "other"))
-        judged = star.join(found.withColumnRenamed("other", "hub").select("id", "hub", linked.alias("linked"), distance.alias("d")), ["id", "hub"])
-        judged = materialise(judged, "near-judged")
-        spokes.append(judged.where("linked").select("key", "hub", F.col("id").alias("v"), F.col("n").alias("vn"), F.col("d").alias("vd")))
-        missed = judged.where(~F.col("linked"))
-        near_misses.append(missed.where(F.col("d") <= 2 * near + slack).select("key", "hub", "id", "n", "d"))
-        rest = missed.select("key", "id", "n")
+        near_misses.append(found.where(~linked & reachable).select("id", F.col("other").alias("hub")))
+        rest = star.join(found.where(~linked).select("id", F.col("other").alias("hub")), ["id", "hub"]).select("key", "id", "n")
         hubs = rest.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("__last")).where(F.col("hub") != F.col("__last")).select("key", "hub")
         at = rest.join(hubs, "key")
     else:
-        # Members that missed every hub so far: few are left in a bucket, each is compared with each.
+        # Members that missed every hub so far are compared by their rarest shingles.
         at = materialise(at, "near-strays")
         if not at.isEmpty():
-            one, two = at.select("key", "id", "n"), at.select("key", F.col("id").alias("other"), F.col("n").alias("m"))
-            pairs = one.join(two, "key").where((F.col("id") > F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
-            edges.append(_verified(pairs.select("id", "other").distinct(), sets).where(linked).select("id", "other"))
-    if not edges:
-        labels = None
-    else:
-        union = lambda frames: frames[0] if len(frames) == 1 else union([frames[0].union(frames[1]), *frames[2:]])
-        links = union(edges)
+            left = at.select("id", "n").distinct()
+            edges.append(_verified(_rare_pairs(left.withColumns({"mine": F.col("id"), "theirs": F.lit(None).cast("long")}), left.withColumn("theirs", F.lit(None).cast("long")), sets, percent), sets).where(linked).select("id", "other"))
+    labels = None
+    if edges:
+        links = reduce(DataFrame.union, edges)
         labels = components(links)
-        # Those near a hub of another component may still link to one of that hub's members.
-        open_ = union(near_misses)
-        open_ = open_.join(labels, "id", "left").withColumn("mine", F.coalesce("label", "id")).drop("label")
-        open_ = open_.join(labels.select(F.col("id").alias("hub"), "label"), "hub", "left").where(F.coalesce("label", "hub") != F.col("mine"))
-        pairs = open_.join(union(spokes), ["key", "hub"])
-        pairs = pairs.where((F.abs(F.col("d") - F.col("vd")) <= near + slack) & (100 * F.least("n", "vn") >= percent * F.greatest("n", "vn")))
-        more = _verified(pairs.select("id", F.col("v").alias("other")).distinct(), sets).where(linked).select("id", "other")
-        if not more.isEmpty():
-            links = labels.where(F.col("id") != F.col("label")).select("id", F.col("label").alias("other")).union(more)
-            labels = components(links)
+        # One near the hub of another component may still link to some member there.
+        open_ = reduce(DataFrame.union, near_misses).distinct()
+        open_ = open_.join(labels, "id", "left").select("id", "hub", F.coalesce("label", "id").alias("mine"))
+        open_ = open_.join(labels.select(F.col("id").alias("hub"), "label"), "hub", "left").select("id", "mine", F.coalesce("label", "hub").alias("theirs"))
+        open_ = materialise(open_.where(F.col("mine") != F.col("theirs")).distinct(), "near-open")
+        if not open_.isEmpty():
+            sizes = bucket.select("id", "n").distinct()
+            there = sizes.join(labels, "id", "left").select("id", "n", F.coalesce("label", "id").alias("theirs")).join(open_.select("theirs").distinct(), "theirs", "left_semi")
+            more = _verified(_rare_pairs(open_.join(sizes, "id"), there, sets, percent), sets).where(linked).select("id", "other")
+            if not more.isEmpty():
+                links = labels.where(F.col("id") != F.col("label")).select("id", F.col("label").alias("other")).union(more)
+                labels = components(links)
     done = mapped.select("doc_id", "n_shingles", "rep")
     done = done.withColumn("component_id", F.col("rep")) if labels is None else done.join(labels, done["rep"] == labels["id"], "left").withColumn("component_id", F.coalesce("label", "rep"))
     done = done.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
