@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tapeworks.llm import exact_dedup, near_dedup, packing, pii, quality_rules
+from tapeworks.llm import bpe, exact_dedup, near_dedup, packing, pii, quality_rules
 
-MODULES = [near_dedup, exact_dedup, quality_rules, pii, packing]
+MODULES = [near_dedup, exact_dedup, bpe, quality_rules, pii, packing]
 QUERIES = {name: f for m in MODULES for name, f in vars(m).items() if name.startswith("op") and name[2:3].isdigit()}
 ORACLE_SQL = {name: m.SQL for m in MODULES if getattr(m, "SQL", None) for name in vars(m) if name.startswith("op") and name[2:3].isdigit()}
