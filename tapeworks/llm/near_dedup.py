@@ -6,7 +6,7 @@ A bin keeps the least (round, value). Equal coordinates estimate Jaccard similar
 sampling without replacement, at a cost that doesn't multiply the set's size by t.
 
 Documents with the same shingle set are one class. Classes that share a band meet in a bucket, where links are sought
-without emitting all pairs: each member is verified against the bucket's least id (its hub); those that miss it form
+without emitting all pairs: each member is verified against the bucket's most central member (its hub); those that miss it form
 the bucket of the next round. Jaccard distance is a metric, so a member that misses a hub by more than twice the
 threshold can't link to anything linked to it; the others, unless one component already holds both, meet the members of
 the hub's component that share one of their rarest shingles (prefix filter). All links are confirmed on full sets.
@@ -43,7 +43,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of each word; forgets all when it has grown to `most` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
@@ -136,6 +136,12 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialise(rows.select("id", "other", "inter", (F.col("__sum") - F.col("inter")).alias("both")), "near-pairs")
 
 
+def _led(rows: DataFrame) -> DataFrame:
+    """Bucket rows (key, id, n, order) with the hub of each bucket; buckets of one member are left out."""
+    hubs = rows.groupBy("key").agg(F.min("order").alias("__hub"), F.max("order").alias("__last")).where(F.col("__hub") != F.col("__last"))
+    return rows.join(hubs.select("key", F.col("__hub.id").alias("hub")), "key")
+
+
 def _rare_pairs(some: DataFrame, others: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (id, other) of some (id, n, mine, theirs) and others (id, n, theirs) with equal theirs.
 
@@ -148,11 +154,13 @@ def _rare_pairs(some: DataFrame, others: DataFrame, sets: DataFrame, percent: in
     items = items.join(items.groupBy("item").agg(F.count(F.lit(1)).alias("df")), "item")
     rank = F.row_number().over(W.partitionBy("id").orderBy("df", "item"))
     rare = items.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1).where(F.col("df") > 1)
-    rare = materialise(rare.select("id", "n", "item"), "near-rare")
+    rare = materialise(rare.select("id", "n", "r", "item"), "near-rare")
     here = some.select("id", "theirs").distinct().join(rare, "id")
-    there = others.select("id", "theirs").join(rare, "id").select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("theirs").alias("group"), "item")
+    there = others.select("id", "theirs").join(rare, "id").select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("theirs").alias("group"), "item")
     pairs = here.join(there, "item").where(F.col("theirs").eqNullSafe(F.col("group")) & (F.col("id") != F.col("other")))
-    return pairs.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("id", "other").distinct()
+    # What stands before the first shared item in either order is not shared: enough must be left for the overlap needed.
+    enough = (100 + percent) * (F.least(F.col("n") - F.col("r"), F.col("m") - F.col("q")) + 1) >= percent * (F.col("n") + F.col("m"))
+    return pairs.where(enough & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))).select("id", "other").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -178,14 +186,17 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    python_rows(spark)
+    python_rows(spark, 128)
     named = docs.where(F.col("doc_id").isNotNull())
     signed = materialise(named.mapInPandas(_signatures(width, bands, rows), "doc_id long, n_shingles long, fp binary, bands array<long>"), "near-signatures")
     classes = signed.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("rep"))
     mapped = materialise(signed.join(classes, "fp", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "near-classes")
     members = mapped.where(F.col("bands").isNotNull()).select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
-    shared = members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("__last")).where(F.col("hub") != F.col("__last")).select("key", "hub")
-    bucket = materialise(members.join(shared, "key").select("key", "id", "n", "hub").distinct(), "near-buckets")
+    shared = members.groupBy("key").agg(F.min("id").alias("__first"), F.max("id").alias("__last"), F.count(F.lit(1)).alias("size")).where(F.col("__first") != F.col("__last")).select("key", "size")
+    bucket = materialise(members.join(shared, "key").select("key", "id", "n", "size").distinct(), "near-meetings")
+    # How many others it meets: the most central member of a group of near copies leads in all its buckets.
+    central = bucket.groupBy("id").agg(F.sum("size").alias("met"))
+    bucket = materialise(bucket.join(central, "id").select("key", "id", "n", F.struct((-F.col("met")).alias("met"), "id").alias("order")), "near-buckets")
     ids = bucket.select("id").distinct()
     wanted = named.join(ids, named["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"])
     sets = materialise(wanted.mapInPandas(_sets(width), "id long, items array<long>"), "near-sets")
@@ -194,18 +205,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     # Jaccard distance is a metric: beyond twice the threshold from a hub nothing linked to it can be reached.
     reachable = 1 - F.col("inter") / F.col("both") <= 2 * (1 - percent / 100) + 1e-9
     edges, near_misses = [], []
-    at = bucket
-    for turn in range(STAR_ROUNDS):
-        at = at if turn == 0 else materialise(at, "near-strays")
+    at = _led(bucket)
+    for _ in range(STAR_ROUNDS):
+        at = materialise(at, "near-led")
         if at.isEmpty():
             break
         star = at.where(F.col("id") != F.col("hub"))
         found = _verified(star.select("id", F.col("hub").alias("other")).distinct(), sets)
         edges.append(found.where(linked).select("id", "other"))
         near_misses.append(found.where(~linked & reachable).select("id", F.col("other").alias("hub")))
-        rest = star.join(found.where(~linked).select("id", F.col("other").alias("hub")), ["id", "hub"]).select("key", "id", "n")
-        hubs = rest.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("__last")).where(F.col("hub") != F.col("__last")).select("key", "hub")
-        at = rest.join(hubs, "key")
+        at = _led(star.join(found.where(~linked).select("id", F.col("other").alias("hub")), ["id", "hub"]).select("key", "id", "n", "order"))
     else:
         # Members that missed every hub so far are compared by their rarest shingles.
         at = materialise(at, "near-strays")
@@ -223,7 +232,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
         open_ = materialise(open_.where(F.col("mine") != F.col("theirs")).distinct(), "near-open")
         if not open_.isEmpty():
             sizes = bucket.select("id", "n").distinct()
-            there = sizes.join(labels, "id", "left").select("id", "n", F.coalesce("label", "id").alias("theirs")).join(open_.select("theirs").distinct(), "theirs", "left_semi")
+            # A component of one is its hub, which has been compared: labels holds those of more.
+            there = sizes.join(labels, "id").select("id", "n", F.col("label").alias("theirs")).join(open_.select("theirs").distinct(), "theirs", "left_semi")
             more = _verified(_rare_pairs(open_.join(sizes, "id"), there, sets, percent), sets).where(linked).select("id", "other")
             if not more.isEmpty():
                 links = labels.where(F.col("id") != F.col("label")).select("id", F.col("label").alias("other")).union(more)
