@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.schema import SYMBOL, TS
+from tapeworks.schema import SYMBOL, TS, instant
 
 #: Actions up to this many rows are broadcast; larger tables are joined by shuffling.
 SMALL_TABLE = 100_000
@@ -24,7 +24,7 @@ def adjust_corporate_actions(events: DataFrame, actions: DataFrame, *, mode: str
     once = once.select(*[F.col(k).alias(f"__{k}") for k in keys], "__f")
     if actions.count() <= SMALL_TABLE:
         once = F.broadcast(once)
-    day = F.to_date(F.timestamp_micros(F.floor(F.col(TS) / 1000).cast("long")))
+    day = F.to_date(instant(F.col(TS)))
     on = day == F.col("__date")
     if SYMBOL in keys:
         on = on & (F.col(SYMBOL) == F.col(f"__{SYMBOL}"))

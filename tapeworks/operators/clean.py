@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeworks.operators.windows import in_order
-from tapeworks.schema import EVENT_TYPES, NS, SEQ, SYMBOL, TS
+from tapeworks.schema import EVENT_TYPES, NS, SEQ, SYMBOL, TS, instant
 
 #: Raw tokens and their canonical event types (fixed values).
 RAW_TYPES = {"TRADE": "MO+", "BUY": "MO+", "EXECUTE": "MO+", "SELL": "MO-", "ADD": "LO+", "NEW": "LO+", "CANCEL": "CX-", "DELETE": "CX-"}
@@ -23,7 +23,8 @@ def to_epoch_ns(raw: Column) -> Column:
     number = text.try_cast("double")
     whole = text.try_cast("long")
     size = F.abs(number)
-    scaled = F.when(size >= 1e17, F.coalesce(whole, number.cast("long"))).when(size >= 1e14, (number * 1e3).cast("long")).when(size >= 1e11, (number * 1e6).cast("long")).otherwise((number * 1e9).cast("long"))
+    times = lambda k: F.coalesce(whole * k, (number * k).cast("long"))  # noqa: E731  whole numbers stay exact
+    scaled = F.when(size >= 1e17, times(1)).when(size >= 1e14, times(1_000)).when(size >= 1e11, times(1_000_000)).otherwise(times(NS))
     stamp = F.try_to_timestamp(text)
     # Spark keeps microseconds; the digits behind them are read from the text.
     rest = F.rpad(F.regexp_extract(text, r"\.[0-9]{6}([0-9]{1,3})", 1), 3, "0").try_cast("long")
@@ -62,7 +63,7 @@ def canonical_events(df: DataFrame, *, symbol: str | None = None, tick: float |
 
 def session_filter(df: DataFrame, *, start: str = "09:30", end: str = "16:00", tz: str = "America/New_York") -> DataFrame:
     """Rows within the session, local time; the end minute counts whole."""
-    local = F.from_utc_timestamp(F.timestamp_micros(F.floor(F.col(TS) / 1000).cast("long")), tz)
+    local = F.from_utc_timestamp(instant(F.col(TS)), tz)
     minute = F.hour(local) * 60 + F.minute(local)
     at = lambda x: int(x[:2]) * 60 + int(x[3:5])
     return df.where(minute.between(at(start), at(end)))
@@ -76,7 +77,7 @@ def explicit_halt_filter(df: DataFrame) -> DataFrame:
 def halt_gap_filter(df: DataFrame, *, gap_s: float = 120.0, tz: str = "America/New_York", by: tuple[str, ...] = (SYMBOL,)) -> DataFrame:
     """Drops both rows beside a gap of more than gap_s within one local day; instruments of under three rows stay."""
     w = in_order(*by)
-    day = F.to_date(F.from_utc_timestamp(F.timestamp_micros(F.floor(F.col(TS) / 1000).cast("long")), tz))
+    day = F.to_date(F.from_utc_timestamp(instant(F.col(TS)), tz))
     df = df.withColumns({"__day": day, "__n": F.count(F.lit(1)).over(W.partitionBy(*by))})
     gap = lambda a, b, da, db: F.coalesce((b - a > int(gap_s * NS)) & (da == db), F.lit(False))
     behind = gap(F.lag(TS).over(w), F.col(TS), F.lag("__day").over(w), F.col("__day"))

@@ -9,11 +9,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeworks.operators.windows import before, in_order, nz, so_far
-from tapeworks.schema import NS, SEQ, SYMBOL, TS
+from tapeworks.schema import NS, SEQ, SYMBOL, TS, floor_div
 
 SMALL = 1e-6
 
 
+def plain(x: float) -> str:
+    """A number as it stands in column names: 1, 0.5, 86400."""
+    return str(int(x)) if x == int(x) else str(x)
+
+
 def book_levels(df: DataFrame) -> int:
     return max([int(c.rsplit("_", 1)[1]) for c in df.columns if c.startswith("bid_size_")], default=0)
 
@@ -59,7 +64,7 @@ def rolling_counts(df: DataFrame, types: Sequence[str], windows_s: Sequence[floa
         old = before(int(w * NS), *by)
         for t in [*types, None]:
             one = F.lit(1) if t is None else F.when(F.col(column) == t, 1)
-            out[f"cnt_{t or 'all'}_{w:g}"] = F.count(one).over(run) - F.count(one).over(old)
+            out[f"cnt_{t or 'all'}_{plain(w)}"] = F.count(one).over(run) - F.count(one).over(old)
     return df.withColumns(out)
 
 
@@ -73,8 +78,8 @@ def ewma_counts(df: DataFrame, types: Sequence[str], taus_s: Sequence[float] = (
     out = df
     for tau in taus_s:
         size = int(reach * tau * NS)
-        names = {t: f"ewm_{t or 'all'}_{tau:g}" for t in [*types, None]}
-        rows = out.withColumn("__b", F.floor(F.col(TS) / F.lit(size)).cast("long")).withColumn("__x", (F.col(TS) - F.col("__b") * size) / (tau * NS))
+        names = {t: f"ewm_{t or 'all'}_{plain(tau)}" for t in [*types, None]}
+        rows = out.withColumn("__b", floor_div(F.col(TS), size)).withColumn("__x", (F.col(TS) - F.col("__b") * size) / (tau * NS))
         one = {t: F.when(F.lit(True) if t is None else F.col(column) == t, F.exp("__x")).otherwise(0.0) for t in names}
         w = W.partitionBy(*by, "__b").orderBy(TS, SEQ).rowsBetween(W.unboundedPreceding, W.currentRow)
         carry = rows.groupBy(*by, "__b").agg(*[(F.sum(one[t]) * F.exp(F.lit(-reach))).alias(f"__c{i}") for i, t in enumerate(names)])
@@ -90,8 +95,8 @@ def ewma_counts(df: DataFrame, types: Sequence[str], taus_s: Sequence[float] = (
 
 def time_covariates(df: DataFrame) -> DataFrame:
     """tod_sin, tod_cos, tod_progress (whole seconds of the UTC day), dow_sin, dow_cos (Monday 0)."""
-    second = F.pmod(F.floor(F.col(TS) / NS), F.lit(86_400))
-    day = F.pmod(F.floor(F.col(TS) / (86_400 * NS)) + 3, F.lit(7))
+    second = F.pmod(floor_div(F.col(TS), NS), F.lit(86_400))
+    day = F.pmod(floor_div(F.col(TS), 86_400 * NS) + 3, F.lit(7))
     turn = lambda x, n: x * (2 * 3.141592653589793 / n)
     return df.withColumns({"tod_sin": F.sin(turn(second, 86_400)), "tod_cos": F.cos(turn(second, 86_400)), "tod_progress": second / 86_400, "dow_sin": F.sin(turn(day, 7)), "dow_cos": F.cos(turn(day, 7))})
 

@@ -30,13 +30,13 @@ def quantised_tick(panel: DataFrame, quantum: float) -> DataFrame:
 
 def match_groups(panel: DataFrame, by: Sequence[str] = ("liq_decile", "tick_size")) -> DataFrame:
     """match_group: dense id of the key in sorted order, nulls last."""
-    keys = panel.select(*by).distinct()
-    ids = keys.withColumn("match_group", F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy(*[F.col(c).asc_nulls_last() for c in by])) - 1)
-    on = [panel[c].eqNullSafe(ids[c]) for c in by]
-    cond = on[0]
-    for x in on[1:]:
-        cond = cond & x
-    return panel.join(ids, cond).select(*[panel[c] for c in panel.columns], "match_group")
+    keys = panel.select(*[F.col(c).alias(f"__{c}") for c in by]).distinct()
+    order = W.partitionBy(F.lit(0)).orderBy(*[F.col(f"__{c}").asc_nulls_last() for c in by])
+    ids = keys.withColumn("match_group", (F.dense_rank().over(order) - 1).cast("int"))
+    cond = F.lit(True)
+    for c in by:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return panel.join(ids, cond).drop(*[f"__{c}" for c in by])
 
 
 def match_groups_first_seen(panel: DataFrame, by: Sequence[str], order: str) -> DataFrame:

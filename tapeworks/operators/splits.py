@@ -14,7 +14,7 @@ from tapeworks.schema import SYMBOL
 
 def numbered(df: DataFrame, *, by: tuple[str, ...] = (SYMBOL,)) -> DataFrame:
     """rn (from 0) and n_rows of each instrument."""
-    return df.withColumns({"rn": F.row_number().over(in_order(*by)) - 1, "n_rows": F.count(F.lit(1)).over(W.partitionBy(*by))})
+    return df.withColumns({"rn": F.row_number().over(in_order(*by)).cast("long") - 1, "n_rows": F.count(F.lit(1)).over(W.partitionBy(*by))})
 
 
 def chronological_split(df: DataFrame, *, train: float = 0.6, val: float = 0.2, by: tuple[str, ...] = (SYMBOL,)) -> DataFrame:

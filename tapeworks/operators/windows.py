@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapeworks.schema import SEQ, SYMBOL, TS
+from tapeworks.schema import SEQ, SYMBOL, TS, floor_div
 
 
 def in_order(*by: str) -> WindowSpec:
@@ -38,10 +38,9 @@ def chunked(df: DataFrame, chunk_ns: int, back_ns: int = 0, ahead_ns: int = 0) -
     Operators with a bounded reach in time then work chunk by chunk (`by=("symbol", "chunk")`) and one instrument is no
     longer one task; drop the copies with `own`. A row is copied to (back_ns + ahead_ns) / chunk_ns + 1 chunks at most.
     """
-    ts, size = F.col(TS), F.lit(chunk_ns)
-    first, last = F.floor((ts - ahead_ns) / size), F.floor((ts + back_ns) / size)
-    df = df.withColumn("chunk", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
-    return df.withColumn("own", F.col("chunk") == F.floor(ts / size).cast("long"))
+    ts = F.col(TS)
+    df = df.withColumn("chunk", F.explode(F.sequence(floor_div(ts - ahead_ns, chunk_ns), floor_div(ts + back_ns, chunk_ns))))
+    return df.withColumn("own", F.col("chunk") == floor_div(ts, chunk_ns))
 
 
 def nz(c: Column, value: float = 0.0) -> Column:

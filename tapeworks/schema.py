@@ -56,3 +56,13 @@ def require(df: DataFrame, *names: str) -> DataFrame:
     if missing := [n for n in names if n not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df
+
+
+def floor_div(c: Column, n: int) -> Column:
+    """Whole quotient, rounded down, exact for nanosecond times: these are beyond what a double holds."""
+    return F.round((c - F.pmod(c, F.lit(n))) / n).cast("long")
+
+
+def instant(ts: Column) -> Column:
+    """Timestamp of a time in nanoseconds."""
+    return F.timestamp_micros(floor_div(ts, 1000))
