@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tapeworks.plans import core, evaluation
+from tapeworks.plans import core, evaluation, feeds
 
-MODULES = [core, evaluation]
+MODULES = [core, evaluation, feeds]
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _m in MODULES:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from functools import partial
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,7 +88,7 @@ LAYOUTS = {
     "itch-5.0": (">", "cHHHI", ITCH_50),
     "ouch-4.2": (">", "c", OUCH_42),
 }
-COLUMNS = EXTRA_SCHEMA.fieldNames()
+ARROW = pa.schema([(f.name, {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}[f.dataType.simpleString()]) for f in EXTRA_SCHEMA.fields])
 
 
 class Malformed(ValueError):
@@ -146,10 +147,10 @@ def canonical(kind: str, ts: int | None, f: dict, message: Message, *, side_awar
     return row
 
 
-def _decode(layout: str, date_ns: int | None, tz_offset_s: int, side_aware: bool, stop: bool, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _decode(layout: str, date_ns: int | None, tz_offset_s: int, side_aware: bool, stop: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for symbol, content in zip(batch["symbol"], batch["content"], strict=True):
-            content = bytes(content) if content is not None else b""
+        for symbol, content in zip(batch.column("symbol").to_pylist(), batch.column("content"), strict=True):
+            content = content.as_py() or b""
             names = {"itch": ("itch-minimal", "itch-5.0"), "ouch": ("ouch-minimal", "ouch-4.2")}.get(layout, (layout,))
             name = sniff(content, names) if len(names) > 1 else names[0]
             table, rows, seq = LAYOUTS[name][2], [], 0
@@ -169,10 +170,8 @@ def _decode(layout: str, date_ns: int | None, tz_offset_s: int, side_aware: bool
                 yield _frame(rows)
 
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    df = pd.DataFrame.from_records(rows, columns=COLUMNS)
-    ints = {c: "Int64" for c in ("ts_ns", "seq", "match", "state_reason", "level")}
-    return df.astype(ints | {"price": "Float64", "size": "Float64", "halted": "boolean"})
+def _frame(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in ARROW], schema=ARROW)
 
 
 def decode(files: DataFrame, layout: str, *, tick: float | None = None, adjust: float = 1.0, adjust_mode: str = "multiply", session_date: str | None = None, tz_offset_s: int = 0, side_aware: bool = False, stop_at_unknown: bool = False) -> DataFrame:
@@ -182,7 +181,7 @@ def decode(files: DataFrame, layout: str, *, tick: float | None = None, adjust:
     stop_at_unknown the file's rows end there. Order-entry files hold no times: ts_ns is null.
     """
     date_ns = int(pd.Timestamp(session_date, tz="UTC").value) if session_date else None
-    rows = files.select(F.col("symbol").cast("string").alias("symbol"), "content").mapInPandas(partial(_decode, layout, date_ns, tz_offset_s, side_aware, stop_at_unknown), EXTRA_SCHEMA)
+    rows = files.select(F.col("symbol").cast("string").alias("symbol"), "content").mapInArrow(partial(_decode, layout, date_ns, tz_offset_s, side_aware, stop_at_unknown), EXTRA_SCHEMA)
     price = F.col("price") * adjust if adjust_mode == "multiply" else F.col("price") / adjust
     return rows.withColumn("price", F.rint(price / tick) * tick if tick else price)
 
@@ -204,7 +203,7 @@ def encode(rows: list[tuple[str, int | None, dict]], layout: str) -> bytes:
         values = []
         for name, code in zip(m.fields.split(), _codes(m.format), strict=True):
             v = fields.get(name, 0)
-            values.append(v if code[-1] not in "sc" else (str(v) if v else "").encode("latin-1").ljust(int(code[:-1] or 1)))
+            values.append((v if isinstance(v, int) else 0) if code[-1] not in "sc" else (str(v) if v else "").encode("latin-1").ljust(int(code[:-1] or 1)))
         k = kind.encode()
         h = (ts, k) if head == "Qc" else (k, 0, 0, ts >> 32, ts & 0xFFFFFFFF) if head == "cHHHI" else (k,)
         out.append(struct.pack(order + head, *h) + struct.pack(order + m.format, *values))
