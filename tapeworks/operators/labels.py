@@ -23,7 +23,9 @@ def clock_label(df: DataFrame, horizon_s: float, *, eta: float = 0.0, mid: str =
     name, h = f"instability_s_{horizon_s:g}", int(horizon_s * NS)
     moved = F.abs(forward_as_of(mid, h, by=by) - F.col(mid)) > eta
     df = df.withColumn(name, F.coalesce(moved, F.lit(False)).cast("int"))
-    return df.where(F.col(TS) + h <= F.max(TS).over(W.partitionBy(*by))) if drop_tail else df
+    if drop_tail:
+        df = df.withColumn("__end", F.max(TS).over(W.partitionBy(*by))).where(F.col(TS) + h <= F.col("__end")).drop("__end")
+    return df
 
 
 def event_label(df: DataFrame, horizon: int, *, eta: float = 0.0, mid: str = "mid", by: tuple[str, ...] = (SYMBOL,)) -> DataFrame:

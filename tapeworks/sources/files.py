@@ -132,7 +132,7 @@ def read_weights(spark: SparkSession, path: str) -> DataFrame:
 
 def read_reports(spark: SparkSession, glob: str) -> DataFrame:
     """name (of the report's folder), metric and value of JSON reports."""
-    df = spark.read.option("wholetext", "true").text(glob)
+    df = spark.read.text(glob, wholetext=True)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     return df.select(name.alias("name"), F.explode(F.from_json("value", "map<string,string>")).alias("metric", "v")).select("name", "metric", F.col("v").try_cast("double").alias("value")).where(F.col("value").isNotNull())
 
@@ -145,7 +145,7 @@ def aggregate_reports(reports: DataFrame, weights: DataFrame | None = None) -> D
 
 def p_values_by_type(spark: SparkSession, glob: str, field: str = "ks_per_type") -> DataFrame:
     """name, type and p of a map of p-values in JSON reports."""
-    df = spark.read.option("wholetext", "true").text(glob)
+    df = spark.read.text(glob, wholetext=True)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     return df.select(name.alias("name"), F.explode(F.from_json(F.get_json_object("value", f"$.{field}"), "map<string,double>")).alias("type", "p"))
 

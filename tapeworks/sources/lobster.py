@@ -14,7 +14,7 @@ DAY_S = 86_400
 
 def numbered_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """stem (of the file, up to `message` or `orderbook`), row and line. A file is cut into rows by one task, then spread."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
     name = F.lower(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
     folder = F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]*$", 1)
     stem = F.concat_ws("/", folder, F.regexp_replace(F.substring_index(F.substring_index(name, "message", 1), "orderbook", 1), "[_-]+$", ""))
