@@ -42,11 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str = "part") -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends here, so a lost executor costs no recomputation of what came before."""
+def materialise(df: DataFrame, label: str = "part", *, rows: int | None = None, per_file: int = 100_000) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: lineage ends here, so a lost executor costs no recomputation of what came before.
+
+    Given the most rows that df can have, it is written by tasks of per_file rows each instead of one file for every
+    shuffle partition: thousands of tiny files cost more than what is in them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // per_file)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -127,13 +127,13 @@ def _sets(width: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, most: int | None = None) -> DataFrame:
     """(id, other, inter, both) with the sizes of intersection and union of the full sets."""
     left = pairs.join(sets.withColumnRenamed("items", "x"), "id")
     rows = left.join(sets.select(F.col("id").alias("other"), F.col("items").alias("y")), "other")
     inter = F.size(F.array_intersect("x", "y"))
     rows = rows.select("id", "other", inter.alias("inter"), (F.size("x") + F.size("y")).alias("__sum"))
-    return materialise(rows.select("id", "other", "inter", (F.col("__sum") - F.col("inter")).alias("both")), "near-pairs")
+    return materialise(rows.select("id", "other", "inter", (F.col("__sum") - F.col("inter")).alias("both")), "near-pairs", rows=most, per_file=20_000)
 
 
 def _led(rows: DataFrame) -> DataFrame:
@@ -149,12 +149,13 @@ def _rare_pairs(some: DataFrame, others: DataFrame, sets: DataFrame, percent: in
     n - ceil(percent * n / 100) + 1 are enough. Items that many sets hold come last, so a group of near copies meets
     only in what few of them have.
     """
-    both = materialise(some.select("id", "n").union(others.select("id", "n")).distinct(), "near-few")
+    both = materialise(some.select("id", "n").union(others.select("id", "n")).distinct(), "near-few", rows=sets.count())
+    few = both.count()
     items = both.join(sets, "id").select("id", "n", F.explode("items").alias("item"))
     items = items.join(items.groupBy("item").agg(F.count(F.lit(1)).alias("df")), "item")
     rank = F.row_number().over(W.partitionBy("id").orderBy("df", "item"))
     rare = items.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1).where(F.col("df") > 1)
-    rare = materialise(rare.select("id", "n", "r", "item"), "near-rare")
+    rare = materialise(rare.select("id", "n", "r", "item"), "near-rare", rows=few, per_file=2_000)
     here = some.select("id", "theirs").distinct().join(rare, "id")
     there = others.select("id", "theirs").join(rare, "id").select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("theirs").alias("group"), "item")
     pairs = here.join(there, "item").where(F.col("theirs").eqNullSafe(F.col("group")) & (F.col("id") != F.col("other")))
@@ -163,15 +164,16 @@ def _rare_pairs(some: DataFrame, others: DataFrame, sets: DataFrame, percent: in
     return pairs.where(enough & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))).select("id", "other").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(id, label): the least id reachable over edges (id, other), by minimum labels with pointer jumping."""
-    both = materialise(edges.select("id", "other").union(edges.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct(), "near-graph")
-    labels = materialise(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("label")), "near-labels")
+    both = materialise(edges.select("id", "other").union(edges.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct(), "near-graph", rows=most)
+    ends = both.count()
+    labels = materialise(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("label")), "near-labels", rows=ends)
     while True:
         seen = both.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id").agg(F.min("label").alias("next"))
         step = labels.join(seen, "id").select("id", "label", F.least("label", "next").alias("next"))
         step = step.join(labels.select(F.col("id").alias("next"), F.col("label").alias("jump")), "next", "left")
-        step = materialise(step.select("id", F.col("label").alias("old"), F.least("next", "jump").alias("label")), "near-labels")
+        step = materialise(step.select("id", F.col("label").alias("old"), F.least("next", "jump").alias("label")), "near-labels", rows=ends)
         if step.where(F.col("old") != F.col("label")).isEmpty():
             return step.select("id", "label")
         labels = step.select("id", "label")
@@ -189,47 +191,56 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     python_rows(spark, 128)
     named = docs.where(F.col("doc_id").isNotNull())
     signed = materialise(named.mapInPandas(_signatures(width, bands, rows), "doc_id long, n_shingles long, fp binary, bands array<long>"), "near-signatures")
-    classes = signed.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    mapped = materialise(signed.join(classes, "fp", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "near-classes")
+    total = signed.count()
+    # Written before they are joined: a join of two shuffled sides can be split where one key holds very many rows.
+    classes = materialise(signed.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("rep")), "near-classes", rows=total)
+    mapped = materialise(signed.join(classes, "fp", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "near-mapped", rows=total, per_file=8_000)
     members = mapped.where(F.col("bands").isNotNull()).select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
     shared = members.groupBy("key").agg(F.min("id").alias("__first"), F.max("id").alias("__last"), F.count(F.lit(1)).alias("size")).where(F.col("__first") != F.col("__last")).select("key", "size")
-    bucket = materialise(members.join(shared, "key").select("key", "id", "n", "size").distinct(), "near-meetings")
+    shared = materialise(shared, "near-shared", rows=total * bands, per_file=500_000)
+    bucket = materialise(members.join(shared, "key").select("key", "id", "n", "size").distinct(), "near-meetings", rows=total * bands, per_file=500_000)
+    met = bucket.count()
     # How many others it meets: the most central member of a group of near copies leads in all its buckets.
     central = bucket.groupBy("id").agg(F.sum("size").alias("met"))
-    bucket = materialise(bucket.join(central, "id").select("key", "id", "n", F.struct((-F.col("met")).alias("met"), "id").alias("order")), "near-buckets")
+    bucket = materialise(bucket.join(central, "id").select("key", "id", "n", F.struct((-F.col("met")).alias("met"), "id").alias("order")), "near-buckets", rows=met)
     ids = bucket.select("id").distinct()
     wanted = named.join(ids, named["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"])
-    sets = materialise(wanted.mapInPandas(_sets(width), "id long, items array<long>"), "near-sets")
+    sets = materialise(wanted.mapInPandas(_sets(width), "id long, items array<long>"), "near-sets", rows=min(total, met), per_file=4_000)
 
     linked = F.lit(100) * F.col("inter") >= F.lit(percent) * F.col("both")
     # Jaccard distance is a metric: beyond twice the threshold from a hub nothing linked to it can be reached.
     reachable = 1 - F.col("inter") / F.col("both") <= 2 * (1 - percent / 100) + 1e-9
-    edges, near_misses = [], []
+    edges, near_misses, counts = [], [], []
     at = _led(bucket)
     for _ in range(STAR_ROUNDS):
-        at = materialise(at, "near-led")
-        if at.isEmpty():
+        at = materialise(at, "near-led", rows=met)
+        met = at.count()
+        if not met:
             break
         star = at.where(F.col("id") != F.col("hub"))
-        found = _verified(star.select("id", F.col("hub").alias("other")).distinct(), sets)
+        found = _verified(star.select("id", F.col("hub").alias("other")).distinct(), sets, met)
         edges.append(found.where(linked).select("id", "other"))
+        counts.append(met)
         near_misses.append(found.where(~linked & reachable).select("id", F.col("other").alias("hub")))
         at = _led(star.join(found.where(~linked).select("id", F.col("other").alias("hub")), ["id", "hub"]).select("key", "id", "n", "order"))
     else:
         # Members that missed every hub so far are compared by their rarest shingles.
-        at = materialise(at, "near-strays")
+        at = materialise(at, "near-strays", rows=met)
         if not at.isEmpty():
             left = at.select("id", "n").distinct()
-            edges.append(_verified(_rare_pairs(left.withColumns({"mine": F.col("id"), "theirs": F.lit(None).cast("long")}), left.withColumn("theirs", F.lit(None).cast("long")), sets, percent), sets).where(linked).select("id", "other"))
+            stray = _verified(_rare_pairs(left.withColumns({"mine": F.col("id"), "theirs": F.lit(None).cast("long")}), left.withColumn("theirs", F.lit(None).cast("long")), sets, percent), sets)
+            edges.append(stray.where(linked).select("id", "other"))
+            counts.append(stray.count())
     labels = None
     if edges:
         links = reduce(DataFrame.union, edges)
-        labels = components(links)
+        links_most = 2 * sum(counts)
+        labels = components(links, links_most)
         # One near the hub of another component may still link to some member there.
         open_ = reduce(DataFrame.union, near_misses).distinct()
         open_ = open_.join(labels, "id", "left").select("id", "hub", F.coalesce("label", "id").alias("mine"))
         open_ = open_.join(labels.select(F.col("id").alias("hub"), "label"), "hub", "left").select("id", "mine", F.coalesce("label", "hub").alias("theirs"))
-        open_ = materialise(open_.where(F.col("mine") != F.col("theirs")).distinct(), "near-open")
+        open_ = materialise(open_.where(F.col("mine") != F.col("theirs")).distinct(), "near-open", rows=links_most)
         if not open_.isEmpty():
             sizes = bucket.select("id", "n").distinct()
             # A component of one is its hub, which has been compared: labels holds those of more.

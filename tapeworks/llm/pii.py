@@ -119,21 +119,21 @@ def find_base(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", "__row", "base", F.concat(*made, secret).alias("instances"))
 
 
-def learn(instances: DataFrame) -> DataFrame:
-    """(v, k): the kind of every instance that seeds or high-confidence patterns name."""
-    seeds = materialise(instances.where(F.col("k").isNotNull()).groupBy("v").agg(F.min("k").alias("k")).withColumn("score", F.lit(1.0)), "pii-seeds")
-    links = materialise(instances.select("v", F.explode("c").alias("p")).distinct(), "pii-links")
+def learn(instances: DataFrame, most: int) -> DataFrame:
+    """(v, kind) of up to `most` instances: the kind of every instance that seeds or high-confidence patterns name."""
+    seeds = materialise(instances.where(F.col("k").isNotNull()).groupBy("v").agg(F.min("k").alias("k")).withColumn("score", F.lit(1.0)), "pii-seeds", rows=most)
+    links = materialise(instances.select("v", F.explode("c").alias("p")).distinct(), "pii-links", rows=CONTEXT_WORDS * most)
     total = links.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SUPPORT)
     known = seeds
     for _ in range(ROUNDS):
         votes = links.join(known, "v").groupBy("p", "k").agg(F.sum("score").alias("votes"), F.count(F.lit(1)).alias("support"))
         rated = votes.where(F.col("support") >= MIN_SUPPORT).join(total, "p").withColumn("confidence", F.col("votes") / F.col("n"))
-        trusted = materialise(rated.where(F.col("confidence") >= MIN_CONFIDENCE).select("p", "k", "confidence"), "pii-patterns")
+        trusted = materialise(rated.where(F.col("confidence") >= MIN_CONFIDENCE).select("p", "k", "confidence"), "pii-patterns", rows=most)
         doubt = F.exp(F.sum(F.log(1 - 0.98 * F.col("confidence"))))
         scored = links.join(trusted, "p").groupBy("v", "k").agg((1 - doubt).alias("score"))
         best = scored.groupBy("v").agg(F.max_by(F.struct("k", "score"), F.struct("score", -F.col("k"))).alias("b")).select("v", "b.k", "b.score")
         new = best.where(F.col("score") >= MIN_SCORE).join(seeds, "v", "left_anti")
-        known = materialise(seeds.union(new), "pii-known")
+        known = materialise(seeds.union(new), "pii-known", rows=most)
     return known.select("v", F.col("k").alias("kind"))
 
 
@@ -145,11 +145,12 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """
     found = materialise(find_base(docs), "pii-base")
     instances = found.select("doc_id", "__row", F.inline("instances"))
-    kinds = learn(instances)
+    most = found.agg(F.coalesce(F.sum(F.size("instances")), F.lit(0))).first()[0]
+    kinds = learn(instances, most)
     # A seed value of one kind doesn't rename base spans: only instances that the base left unnamed are added.
     open_ = instances.where(F.col("k").isNull() | (F.col("k") == KINDS.index("secret")))
     added = open_.join(kinds, "v").groupBy("doc_id", "__row").agg(F.collect_set(F.struct(F.col("kind").alias("k"), "s", "e")).alias("added"))
-    added = materialise(added, "pii-added").withColumnsRenamed({"doc_id": "__id", "__row": "__r"})
+    added = materialise(added, "pii-added", rows=most).withColumnsRenamed({"doc_id": "__id", "__row": "__r"})
     joined = found.join(added, found["doc_id"].eqNullSafe(added["__id"]) & (found["__row"] == added["__r"]), "left")
     extra = F.coalesce("added", F.array().cast("array<struct<k:int,s:int,e:int>>"))
     return joined.select("doc_id", "__row", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", extra)).alias("spans"))

@@ -120,32 +120,34 @@ def routes(stats: DataFrame, min_group: int) -> DataFrame:
     df = sizes.join(langs, "l").join(F.broadcast(total))
     own, lang, every = F.concat_ws("\u0001", F.lit("2"), "l", "s"), F.concat_ws("\u0001", F.lit("1"), "l"), F.lit("0")
     df = df.select("l", "s", F.when(F.col("n") >= min_group, own).when(F.col("nl") >= min_group, lang).when(F.col("nt") >= min_group, every).alias("use"), own.alias("__own"), lang.alias("__lang"), every.alias("__every"))
-    df = materialise(df, "mcd-routes")
+    groups = sizes.count()
+    df = materialise(df, "mcd-routes", rows=groups)
     used = df.where(F.col("use").isNotNull()).select(F.col("use").alias("key")).distinct()
     member = df.select("l", "s", F.explode(F.array("__own", "__lang", "__every")).alias("key")).join(used, "key", "left_semi")
-    return df.select("l", "s", "use"), materialise(member, "mcd-members")
+    return df.select("l", "s", "use"), materialise(member, "mcd-members", rows=3 * groups)
 
 
 def mcd_estimates(stats: DataFrame, members: DataFrame) -> DataFrame:
     """One row per key: centre, factor and the scale that brings the median distance to that of a Gaussian."""
+    keys = 2 * members.count()  # and two starts of each
     rows = small_join(stats.where(~F.col("base_failed")).select("l", "s", *[f"v{i}" for i in range(D)]), members, ["l", "s"]).drop("l", "s")
-    middle = materialise(rows.groupBy("key").agg(*[F.percentile(f"v{i}", 0.5).alias(f"c{i}") for i in range(D)]), "mcd-medians")
+    middle = materialise(rows.groupBy("key").agg(*[F.percentile(f"v{i}", 0.5).alias(f"c{i}") for i in range(D)]), "mcd-medians", rows=keys)
     off = small_join(rows, middle, ["key"])
-    spread = materialise(off.groupBy("key").agg(*[F.first(f"c{i}").alias(f"c{i}") for i in range(D)], *[F.percentile(F.abs(F.col(f"v{i}") - F.col(f"c{i}")), 0.5).alias(f"d{i}") for i in range(D)]), "mcd-spread")
+    spread = materialise(off.groupBy("key").agg(*[F.first(f"c{i}").alias(f"c{i}") for i in range(D)], *[F.percentile(F.abs(F.col(f"v{i}") - F.col(f"c{i}")), 0.5).alias(f"d{i}") for i in range(D)]), "mcd-spread", rows=keys)
     floors = list(FLOORS.values())
     z = [F.abs(F.col(f"v{i}") - F.col(f"c{i}")) / F.greatest(1.4826 * F.col(f"d{i}"), F.lit(floors[i] * GRID)) for i in range(D)]
     far = lambda c: F.least(F.round(c, 2), F.lit(MAX_DISTANCE))
     starts = F.array(F.struct(F.lit(0).alias("start"), far(F.sqrt(sum((x * x for x in z[1:]), z[0] * z[0]))).alias("d")), F.struct(F.lit(1).alias("start"), far(F.greatest(*z)).alias("d")))
     at = small_join(rows, spread, ["key"]).select("key", *[f"v{i}" for i in range(D)], F.inline(starts))
     for _ in range(STEPS):
-        bound = materialise(at.groupBy("key", "start").agg(F.percentile("d", H).alias("bound")), "mcd-bound")
+        bound = materialise(at.groupBy("key", "start").agg(F.percentile("d", H).alias("bound")), "mcd-bound", rows=keys)
         inner = small_join(at, bound, ["key", "start"]).where(F.col("d") <= F.col("bound"))
-        found = materialise(_estimates(inner.groupBy("key", "start").agg(*_sums())), "mcd-step")
+        found = materialise(_estimates(inner.groupBy("key", "start").agg(*_sums())), "mcd-step", rows=keys)
         at = _distance(small_join(rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1)))), found, ["key", "start"]), "d")
     scale = at.groupBy("key", "start").agg((F.percentile("d", 0.5) / F.sqrt(F.lit(CHI2_MEDIAN))).alias("scale"))
     both = found.join(scale, ["key", "start"])
     best = both.groupBy("key").agg(F.min_by(F.struct(*[c for c in both.columns if c != "key"]), F.struct("logdet", "start")).alias("b"))
-    return materialise(best.select("key", "b.*"), "mcd-best")
+    return materialise(best.select("key", "b.*"), "mcd-best", rows=keys)
 
 
 def quality_rules(docs: DataFrame, *, min_group: int = MIN_GROUP, cut: float = CUT) -> DataFrame:
@@ -159,7 +161,7 @@ def quality_rules(docs: DataFrame, *, min_group: int = MIN_GROUP, cut: float = C
     stats = materialise(text.withColumns(_vector()).drop("text", "__lines", "__capitals"), "mcd-stats")
     use, members = routes(stats, min_group)
     best = mcd_estimates(stats, members)
-    routed = small_join(stats, materialise(use.join(best, use["use"] == best["key"], "left").drop("key", "start"), "mcd-use"), ["l", "s"], how="left")
+    routed = small_join(stats, materialise(use.join(best, use["use"] == best["key"], "left").drop("key", "start"), "mcd-use", rows=members.count()), ["l", "s"], how="left")
     scored = _distance(routed, "__d").withColumn("distance", F.when(~F.col("base_failed"), F.col("__d") / F.greatest(F.col("scale"), F.lit(1e-3))))
     kept = ~F.col("base_failed") & ~F.coalesce((F.col("__d") > cut * F.greatest(F.col("scale"), F.lit(0.5))), F.lit(False))
     return scored.withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
