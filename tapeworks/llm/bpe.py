@@ -127,7 +127,7 @@ def encode_documents(docs: DataFrame, *, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [codec(path).encode(t or "") for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": pd.Series([codec(path).encode(t or "") for t in batch["text"]], dtype=object)})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")
 

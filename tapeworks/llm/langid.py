@@ -166,7 +166,7 @@ def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = words_in(text)
             n = min(STRETCHES, -(-len(found) // STRETCH))
             out += [(lang, found[(i * len(found)) // n :][:STRETCH]) for i in range(n)]
-        yield pd.DataFrame({"lang": [x[0] for x in out], "words": [x[1] for x in out]})
+        yield pd.DataFrame({"lang": pd.Series([x[0] for x in out], dtype=object), "words": pd.Series([x[1] for x in out], dtype=object)})
 
 
 def train(docs: DataFrame, *, max_train: int = MAX_TRAIN) -> dict | None:
@@ -229,7 +229,7 @@ def _label(model: dict | None, batches: Iterator[pd.DataFrame]) -> Iterator[pd.D
         out: list[list[str]] = [[UNKNOWN] * len(f) for f in found]
         for i, gamma in tagger.marginals(found) if tagger else ():
             out[i] = [tagger.langs[k] for k in gamma.argmax(1)]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "words": found, "langs": out})
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "words": pd.Series(found, dtype=object), "langs": pd.Series(out, dtype=object)})
 
 
 def label_words(docs: DataFrame, model: dict | None) -> DataFrame:

@@ -178,7 +178,7 @@ def _scan(model: dict, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
 def _paragraphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = [tokens(line) for text in batch["text"] if text for line in text.split("\n")]
-        yield pd.DataFrame({"words": [x for x in found if x]})
+        yield pd.DataFrame({"words": pd.Series([x for x in found if x], dtype=object)})
 
 
 def train(docs: DataFrame, *, max_docs: int = MAX_DOCS, max_paragraphs: int = MAX_PARAGRAPHS) -> dict:

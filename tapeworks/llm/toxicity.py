@@ -35,7 +35,7 @@ COST = {"same": 0.0, "leet": 0.7, "gap": 0.2, "boundary": 1.0, "drop": 0.4, "dou
 BEAM = 24
 #: Character classes of the language model: white space and marks, a-z, letters of Latin-1, all other letters.
 CLASSES = 64
-LEETED = re.compile(r"(?<![\w@$!|+€£])(?=[\w@$!|+(€£]*[a-zA-Z])(?:[^\W\d_]*[0-9@$!|+(€£]+(?=[^\W\d_])[\w@$!|+(€£]*|[^\W\d_]+[0-9@$|+€£]+)(?![\w@$|+€£])")
+LEETED = re.compile(r"(?<![\w@$!|+€£])(?=[\w@$!|+(€£]*[a-zA-Z])(?:[^\W\d_]*[0-9@$!|+(€£]+(?=[^\W\d_])[\w@$!|+(€£]*|[^\W\d_]+[0-9@$|+€£]+)(?![\w@$|+€£]|\.\w)")
 LEET_HINT = re.compile(r"[0-9@$!|+(€£][a-zA-Z]|[a-zA-Z][0-9@$|+€£]")
 SPACED = re.compile(r"(?<![^\W_])[\w@$!|+€£](?:[ .*_~-]{1,2}[\w@$!|+€£]){3,}(?![^\W_])")
 DRAWN_HINT = re.compile(r"([^\W\d_])\1\1")
@@ -167,7 +167,7 @@ def _training_rows(costs: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterat
         found = [sorted(words(fixer.restore(t or ""))) for t in batch["text"]]
         # Like texts mostly have the same least hashed word: copies count as one group.
         group = [min((xxhash.xxh3_64_intdigest(w) >> 1 for w in f), default=0) for f in found]
-        yield pd.DataFrame({"label": batch["toxic"], "group": group, "words": found})
+        yield pd.DataFrame({"label": batch["toxic"], "group": group, "words": pd.Series(found, dtype=object)})
 
 
 def fit(train: DataFrame, costs: np.ndarray) -> tuple[float, dict[str, float]]:
