@@ -92,6 +92,7 @@ def _loops(d: np.ndarray, epsilon: float) -> np.ndarray:
     order = order[length[order] <= epsilon]
     place = np.full((n, n), -1)
     place[i[order], j[order]] = np.arange(len(order))
+    place = place.tolist()
     # Edges that join components make no loop.
     root, makes = list(range(n)), np.zeros(len(order), bool)
     for k, e in enumerate(order):
@@ -104,24 +105,23 @@ def _loops(d: np.ndarray, epsilon: float) -> np.ndarray:
         for c in range(n):
             if c in (a, b):
                 continue
-            p, q = place[min(a, c), max(a, c)], place[min(b, c), max(b, c)]
+            p, q = place[min(a, c)][max(a, c)], place[min(b, c)][max(b, c)]
             if 0 <= p < k and 0 <= q < k:
                 triangles.append((k, p, q))
-    low: dict[int, set[int]] = {}
-    out = []
+    # Columns are bit sets in integers: adding two is one exclusive or, the largest edge is the bit length.
+    low: dict[int, int] = {}
+    out, most = [], int(makes.sum())
     for t in triangles:  # in order of their longest edge
-        column = set(t)
-        while column:
-            top = max(column)
-            if top not in low:
-                break
+        column = (1 << t[0]) | (1 << t[1]) | (1 << t[2])
+        while column and (top := column.bit_length() - 1) in low:
             column ^= low[top]
         if column:
-            top = max(column)
             low[top] = column
             birth, death = length[order[top]], length[order[t[0]]]
             if makes[top] and death > birth:
                 out.append((birth, death - birth))
+            if len(low) == most:  # every loop has an end
+                break
     return np.asarray(out, float).reshape(-1, 2)
 
 

@@ -167,3 +167,9 @@ def liquidity_surface(df: DataFrame, levels: int, kind: str = "imbalance") -> Da
     a = lambda i: nz(F.col(f"ask_size_{i}"))
     value = {"imbalance": lambda i: (b(i) - a(i)) / (b(i) + a(i) + SMALL), "bid": b, "ask": a, "net": lambda i: b(i) - a(i)}[kind]
     return df.withColumn("surface", F.array(*[value(i) for i in range(1, levels + 1)]))
+
+
+def rolling_quantiles(df: DataFrame, column: str, rows: int, qs: Sequence[float] = (0.2, 0.6, 1.0), *, by: tuple[str, ...] = (SYMBOL,)) -> DataFrame:
+    """<column>_q<percent>: quantiles of a column over the last `rows` rows."""
+    w = in_order(*by).rowsBetween(-(rows - 1), 0)
+    return df.withColumns({f"{column}_q{plain(round(q * 100, 6))}": F.percentile(column, q).over(w) for q in qs})

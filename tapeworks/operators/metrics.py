@@ -202,3 +202,18 @@ def threshold_sensitivity(df: DataFrame, grid: Sequence[float] | None = None) ->
     out = row.select("pos", F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp")) for i, t in enumerate(grid)])).alias("x")).select("pos", "x.*")
     precision, recall = F.coalesce(try_ratio(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0)), F.coalesce(try_ratio(F.col("tp"), F.col("pos")), F.lit(0.0))
     return out.select("threshold", precision.alias("precision"), recall.alias("recall")).withColumn("f1", F.coalesce(try_ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
+
+
+def aggregate_predictions(df: DataFrame, group: str) -> DataFrame:
+    """One row: macro AUROC and Brier score over groups, and the pooled ones with the pooled AUROC's interval."""
+    each = auroc(df, group).join(brier(df, group), group)
+    macro = each.agg(F.avg("auroc").alias("macro_auroc"), F.avg("brier").alias("macro_brier"), F.count("auroc").alias("n_groups"))
+    pooled = delong_ci(df).select(F.col("auroc").alias("micro_auroc"), "lo", "hi").join(brier(df).withColumnRenamed("brier", "micro_brier"))
+    return macro.join(pooled)
+
+
+def median_mad(df: DataFrame, column: str, *by: str) -> DataFrame:
+    """median and mad (median distance from it) of a column."""
+    mid = df.groupBy(*by).agg(F.percentile(column, 0.5).alias("median"))
+    off = df.join(mid, list(by)) if by else df.join(F.broadcast(mid))
+    return off.groupBy(*by).agg(F.first("median").alias("median"), F.percentile(F.abs(F.col(column) - F.col("median")), 0.5).alias("mad"))

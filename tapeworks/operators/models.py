@@ -103,3 +103,42 @@ def fuse(features: Column, topology: Column, a: float = 1.0, b: float = 1.0) ->
     mean = F.aggregate(topology, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(topology), F.lit(1))
     same = F.zip_with(features, topology, lambda x, y: a * x + b * y)
     return F.when(F.size(features) == F.size(topology), same).otherwise(F.transform(features, lambda x: a * x + b * mean))
+
+
+def cross_market(df: DataFrame, features: Sequence[str], label: str, *, market: str = "market", key: str = "idx", split: str = "split") -> DataFrame:
+    """mode, market, auroc and brier: one model of all markets, and for each market one of all others."""
+    score = lambda model, rows: predict(model, rows, features).select(F.col(key).alias("idx"), "pred", F.col(label).alias("label"))
+    row = lambda rows, mode, name: metrics.auroc(rows).join(metrics.brier(rows)).select(F.lit(mode).alias("mode"), F.lit(name).cast("string").alias("market"), "auroc", "brier")
+    train, test = df.where(F.col(split) == "train"), df.where(F.col(split) == "test")
+    out = row(score(fit_logistic(train, features, label), test), "pooled", None)
+    for (name,) in df.select(market).distinct().orderBy(market).collect():  # markets are few: one model is fitted for each
+        rest = fit_logistic(train.where(~F.col(market).eqNullSafe(name)), features, label)
+        out = out.union(row(score(rest, test.where(F.col(market).eqNullSafe(name))), "held_out", name))
+    return out
+
+
+def topology_search(df: DataFrame, configs: Sequence, label: str, *, chunk_s: float | None = None, key: str = "seq") -> DataFrame:
+    """config, windows, vector and auroc on the validation rows of a model of each configuration's vectors alone."""
+    from tapeworks.operators import topology
+
+    out = None
+    for i, cfg in enumerate(configs):
+        width = cfg.width * len(cfg.windows_s)
+        z = topology.rolling(df, cfg, chunk_s=chunk_s)
+        names = [f"z{j}" for j in range(width)]
+        rows = df.join(z, ["symbol", "ts_ns", "seq"]).withColumns({n: F.get("topology", F.lit(j)) for j, n in enumerate(names)})
+        model = fit_logistic(rows.where("split = 'train'"), names, label, max_iter=50)
+        scored = predict(model, rows.where("split = 'val'"), names).select(F.col(key).alias("idx"), "pred", F.col(label).alias("label"))
+        row = metrics.auroc(scored).select(F.lit(i).alias("config"), F.lit(str(cfg.windows_s)).alias("windows"), F.lit(cfg.vector).alias("vector"), "auroc")
+        out = row if out is None else out.union(row)
+    return out
+
+
+def save_model(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    return LogisticRegressionModel.load(path)

@@ -104,3 +104,23 @@ def derisk_grid(df: DataFrame, percents: Sequence[int] = (50, 60, 70, 80, 90, 95
     a = var_es(rows, alpha, ret="__prot", by=["percentile"]).withColumnsRenamed({"var": "var_protected", "es": "es_protected"})
     b = var_es(rows, alpha, ret="__base", by=["percentile"]).withColumnsRenamed({"var": "var_baseline", "es": "es_baseline"})
     return sd.join(a, "percentile").join(b, "percentile")
+
+
+def risk_threshold(df: DataFrame, objective: str = "es", percents: Sequence[int] = (50, 60, 70, 80, 90, 95), alpha: float = 0.99) -> DataFrame:
+    """threshold and score: the percentile of pred whose protected returns have the least ES, or the fewest losses beyond VaR.
+
+    Of equal scores the lowest percentile is taken.
+    """
+    if objective not in ("es", "var_exceed"):
+        raise ValueError(f"objective must be es or var_exceed, not {objective!r}")
+    cuts = df.agg(F.percentile("pred", F.array(*[F.lit(q / 100) for q in sorted(percents)])).alias("__t"))
+    rows = df.select("pred", "ret").join(F.broadcast(cuts.select(F.posexplode("__t").alias("i", "threshold"))))
+    rows = rows.withColumn("__prot", F.when(F.col("pred") >= F.col("threshold"), 0.0).otherwise(F.col("ret")))
+    stats = var_es(rows, alpha, ret="__prot", by=["i", "threshold"])
+    if objective == "es":
+        scored = stats.withColumn("score", F.col("es"))
+    else:
+        beyond = rows.join(F.broadcast(stats), ["i", "threshold"]).groupBy("i", "threshold").agg(F.count_if(-F.col("__prot") > F.col("var")).cast("double").alias("score"))
+        scored = beyond
+    best = scored.agg(F.min(F.struct("score", "i", "threshold")).alias("b"))
+    return best.select("b.threshold", "b.score")

@@ -338,6 +338,12 @@ def liquidity_surface(spark, d):
     return features.liquidity_surface(book(spark, d), 3).select("seq", *[r6(F.get("surface", F.lit(i - 1))).alias(f"level_{i}") for i in (1, 2, 3)])
 
 
+@query("rolling_quantiles", sql("SELECT symbol, seq, " + ", ".join(f"round(quantile_cont(price, {q}) OVER w, 6) AS price_q{n}" for q, n in ((0.2, 20), (0.6, 60), (1.0, 100))) + " FROM ev WINDOW w AS (PARTITION BY symbol ORDER BY ts_ns, seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)", "ev"))
+def rolling_quantiles(spark, d):
+    out = features.rolling_quantiles(events(spark, d), "price", 20)
+    return out.select("symbol", "seq", *[r6(f"price_q{n}").alias(f"price_q{n}") for n in (20, 60, 100)])
+
+
 SPLIT = "_n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns, seq) - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS t FROM ev),\n_s AS (SELECT *, CASE WHEN rn < floor(t * 0.6::DOUBLE) THEN 'train' WHEN rn < floor(t * (0.6::DOUBLE + 0.2::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM _n)\n"
 
 

@@ -174,7 +174,24 @@ def classification_report(spark, d):
     return rounded(metrics.classification_report(metrics.valid(predictions(spark, d))))
 
 
+@query("aggregate_predictions", sql("""_k AS (SELECT *, rank() OVER (PARTITION BY etype ORDER BY pred) + (count(*) OVER (PARTITION BY etype, pred) - 1) / 2.0 AS mid FROM pr), _g AS (SELECT etype, (sum(mid) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))) AS auroc, avg(power(pred - label, 2)) AS brier FROM _k GROUP BY etype), """ + DELONG.strip() + """
+SELECT round((SELECT avg(auroc) FROM _g), 6) AS macro_auroc, round((SELECT avg(brier) FROM _g), 6) AS macro_brier, (SELECT count(*) FROM _g) AS n_groups, round(auroc, 6) AS micro_auroc, round(greatest(0, auroc - 1.959963984540054 * sqrt(var)), 6) AS lo, round(least(1, auroc + 1.959963984540054 * sqrt(var)), 6) AS hi, round((SELECT avg(power(pred - label, 2)) FROM pr), 6) AS micro_brier FROM _s""", "pr"))
+def aggregate_predictions(spark, d):
+    return rounded(metrics.aggregate_predictions(predictions(spark, d), "etype"))
+
+
+@query("median_mad", sql("_m AS (SELECT etype, quantile_cont(ret, 0.5) AS m FROM pr GROUP BY etype) SELECT etype, round(max(m), 6) AS median, round(quantile_cont(abs(ret - m), 0.5), 6) AS mad FROM pr JOIN _m USING (etype) GROUP BY etype", "pr"))
+def median_mad(spark, d):
+    return rounded(metrics.median_mad(predictions(spark, d), "ret", "etype"))
+
+
 # risk
+@query("risk_threshold")
+def risk_threshold(spark, d):
+    pr = predictions(spark, d)
+    return rounded(risk.risk_threshold(pr, "es").withColumn("objective", F.lit("es")).union(risk.risk_threshold(pr, "var_exceed").withColumn("objective", F.lit("var_exceed"))))
+
+
 @query("var_es", sql("_v AS (SELECT quantile_cont(-ret, 0.99) AS v FROM pr) SELECT round(max(v), 6) AS var, round(avg(-ret) FILTER (-ret >= v), 6) AS es FROM pr, _v", "pr"))
 def var_es(spark, d):
     return rounded(risk.var_es(predictions(spark, d)))

@@ -297,6 +297,31 @@ def training_batch(spark, d):
     return synthetic.training_batch(spark, 16, 20, 4, 2)
 
 
+@query("cross_market_lomo")
+def cross_market_lomo(spark, d):
+    df = _labelled(spark, d).withColumn("market", F.col("event_type"))
+    return rounded(models.cross_market(df, ["x1", "x2"], "instability_e_5"))
+
+
+@query("topology_search")
+def topology_search(spark, d):
+    from tapeworks.operators.features import liquidity_surface
+
+    df = liquidity_surface(labels.event_label(book(spark, d), 5, eta=10), 3)
+    grid = [c for c in topology.search_grid([(12.0 * HOUR,)], levels=(2,), grids=(16,), sizes=(3,), sigmas=(0.5,))]
+    return rounded(models.topology_search(splits.chronological_split(df), grid, "instability_e_5", chunk_s=20 * 24 * HOUR))
+
+
+@query("rips_udtf")
+def rips_udtf(spark, d):
+    from tapeworks.functions.sql import register
+
+    register(spark)
+    pts = events(spark, d).where("symbol < 20").groupBy("symbol").agg(F.array_sort(F.collect_list(F.array("price", "size"))).alias("points"))
+    pts.createOrReplaceTempView("tapeworks_points")
+    return spark.sql("SELECT symbol, dim, count(*) AS n, round(sum(pers), 4) AS total FROM tapeworks_points, LATERAL rips_diagram(points) GROUP BY symbol, dim")
+
+
 # streams: the events as files, read to their end
 def _stream(spark, d):
     path = _scratch(spark, "stream-in")

@@ -178,3 +178,48 @@ def write_report(spark: SparkSession, report: dict[str, Any], path: str) -> None
 def write_split_schema(df: DataFrame, scaler: DataFrame, path: str) -> None:
     """Feature names and scaler of a split table beside it."""
     write_report(df.sparkSession, {"columns": df.columns, "types": [t for _, t in df.dtypes], "scaler": scaler.first().asDict()}, path)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table or JSON lines, by what is there."""
+    return harmonise(read_ndjson(spark, path)) if path.endswith((".ndjson", ".jsonl")) else spark.read.parquet(path)
+
+
+def socket_lines(spark: SparkSession, host: str, port: int) -> DataFrame:
+    """A stream of text lines from a socket, for development: it can't be replayed after a failure."""
+    return spark.readStream.format("socket").option("host", host).option("port", port).load()
+
+
+def write_intensities(df: DataFrame, path: str) -> None:
+    """Rows of a point process as Parquet and their diagnostics beside it."""
+    from tapeworks.operators import tpp
+
+    df.write.mode("overwrite").parquet(f"{path}/arrays")
+    row = tpp.diagnostics(df).first().asDict()
+    write_report(df.sparkSession, row | {"ks_p": tpp.kolmogorov_p(row["ks"], row["n"])}, f"{path}/diagnostics")
+
+
+def write_csv(df: DataFrame, path: str, *, limit: int | None = None, order: tuple[str, ...] = ()) -> None:
+    """CSV with a header; with a limit the first rows in order."""
+    df = df.orderBy(*order) if order else df
+    (df.limit(limit) if limit else df).write.mode("overwrite").option("header", "true").csv(path)
+
+
+def bundle(spark: SparkSession, globs: list[str], path: str) -> int:
+    """Reports and small tables that match the globs as one zip file; how many files it holds."""
+    import zipfile
+
+    hadoop, buffer, n = spark._jvm.org.apache.hadoop.fs.Path, io.BytesIO(), 0
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for glob in globs:
+            fs = hadoop(glob).getFileSystem(spark._jsc.hadoopConfiguration())
+            for status in fs.globStatus(hadoop(glob)) or []:
+                if status.isFile():
+                    name = status.getPath().toUri().getPath().lstrip("/")
+                    z.writestr(name, bytes(spark.read.format("binaryFile").load(status.getPath().toString()).select("content").first()[0]))
+                    n += 1
+    out = hadoop(path)
+    stream = out.getFileSystem(spark._jsc.hadoopConfiguration()).create(out, True)
+    stream.write(bytearray(buffer.getvalue()))
+    stream.close()
+    return n
