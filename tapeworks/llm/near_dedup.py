@@ -133,7 +133,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, most: int | None = None) -> Dat
     rows = left.join(sets.select(F.col("id").alias("other"), F.col("items").alias("y")), "other")
     inter = F.size(F.array_intersect("x", "y"))
     rows = rows.select("id", "other", inter.alias("inter"), (F.size("x") + F.size("y")).alias("__sum"))
-    return materialise(rows.select("id", "other", "inter", (F.col("__sum") - F.col("inter")).alias("both")), "near-pairs", rows=most, per_file=20_000)
+    return materialise(rows.select("id", "other", "inter", (F.col("__sum") - F.col("inter")).alias("both")), "near-pairs", rows=most, per_file=4_000)
 
 
 def _led(rows: DataFrame) -> DataFrame:
