@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import partial
 
@@ -15,6 +14,7 @@ from tapeworks.plans.evaluation import rounded
 from tapeworks.plans.tables import TYPES, book, events, intensities, predictions, read, sql
 from tapeworks.registry import Catalog
 from tapeworks.schema import NS, floor_div, instant
+from tapeworks.session import shared_dir
 from tapeworks.sources import binary, lobster, synthetic, vendors
 from tapeworks.streaming import events as live
 
@@ -24,8 +24,7 @@ query = catalog.query
 
 def _scratch(spark, name: str) -> str:
     """A folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tapeworks-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # binary feeds: every symbol's events become one file's bytes, which are decoded again

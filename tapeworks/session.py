@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +20,17 @@ def session(app: str = "tapeworks", **conf: str) -> SparkSession:
     for k, v in (settings | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one that spark.checkpoint.dir names.
+
+    Where none is named a local session gets one of its own; on a cluster that is an error, as executors see no local folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tapeworks-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
