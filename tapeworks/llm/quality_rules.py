@@ -150,29 +150,34 @@ def mcd_estimates(stats: DataFrame, members: DataFrame) -> DataFrame:
     return materialise(best.select("key", "b.*"), "mcd-best", rows=keys)
 
 
+def _row() -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64("doc_id", "text", "lang", "source")
+
+
 def quality_rules(docs: DataFrame, *, min_group: int = MIN_GROUP, cut: float = CUT) -> DataFrame:
-    """doc_id, the base columns, distance (null where there is no estimate or the base failed) and kept.
+    """doc_id, the base columns, distance (null where there is no estimate or the base failed), kept, and __row, a hash of the row.
 
     docs needs doc_id, text, lang, source; other columns are ignored. Null lang or source is a value of its own.
     Repeated rows count as often as they come. With fewer than min_group rows that pass the base, nothing else is
     rejected. An empty table gives an empty result.
     """
-    text = base_statistics(docs.select("doc_id", "text", F.coalesce("lang", F.lit("\u0002")).alias("l"), F.coalesce("source", F.lit("\u0002")).alias("s")))
+    text = base_statistics(docs.select("doc_id", "text", _row().alias("__row"), F.coalesce("lang", F.lit("\u0002")).alias("l"), F.coalesce("source", F.lit("\u0002")).alias("s")))
     stats = materialise(text.withColumns(_vector()).drop("text", "__lines", "__capitals"), "mcd-stats")
     use, members = routes(stats, min_group)
     best = mcd_estimates(stats, members)
     routed = small_join(stats, materialise(use.join(best, use["use"] == best["key"], "left").drop("key", "start"), "mcd-use", rows=members.count()), ["l", "s"], how="left")
     scored = _distance(routed, "__d").withColumn("distance", F.when(~F.col("base_failed"), F.col("__d") / F.greatest(F.col("scale"), F.lit(1e-3))))
     kept = ~F.col("base_failed") & ~F.coalesce((F.col("__d") > cut * F.greatest(F.col("scale"), F.lit(0.5))), F.lit(False))
-    return scored.withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+    return scored.withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance", "__row")
 
 
 def op7_mcd_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and verdict of every document."""
-    return quality_rules(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
+    return quality_rules(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")).drop("__row")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that are kept."""
-    kept = quality_rules(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi").select(*DOCUMENT_COLUMNS)
+    kept = quality_rules(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("__row").alias("__r")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]) & (_row() == kept["__r"]), "left_semi").select(*DOCUMENT_COLUMNS)
