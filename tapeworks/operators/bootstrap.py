@@ -66,6 +66,25 @@ def replicate_auroc(weighted: DataFrame) -> DataFrame:
     return c.groupBy("replicate").agg(F.when(pairs > 0, F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)) / pairs).alias("auroc"))
 
 
+def replicate_auprc(weighted: DataFrame) -> DataFrame:
+    """replicate and auprc: average precision of weighted rows."""
+    counts = weighted.groupBy("replicate", "pred").agg(F.sum(F.when(F.col("label") == 1, F.col("weight")).otherwise(0)).alias("pos"), F.sum("weight").alias("all"))
+    c = running_totals(counts, ["pred"], ["pos", "all"], by=["replicate"])
+    totals = counts.groupBy("replicate").agg(F.sum("pos").alias("__p"), F.sum("all").alias("__n"))
+    c = c.join(totals, "replicate")
+    precision = (F.col("__p") - F.col("before_pos")) / (F.col("__n") - F.col("before_all"))
+    return c.groupBy("replicate").agg(F.when(F.first("__p") > 0, F.sum(F.col("pos") * precision) / F.first("__p")).alias("auprc"))
+
+
+def replicate_ece(weighted: DataFrame, bins: int = 15) -> DataFrame:
+    """replicate and ece over bins of equal weight."""
+    rows = running_totals(weighted.select("replicate", "pred", "idx", "label", "weight"), ["pred", "idx"], ["weight"], by=["replicate"])
+    rows = rows.join(weighted.groupBy("replicate").agg(F.sum("weight").alias("__n")), "replicate")
+    at = F.least(F.floor((F.col("before_weight") + F.col("weight") / 2) * bins / F.col("__n")), F.lit(bins - 1))
+    each = rows.groupBy("replicate", at.alias("bin")).agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * (F.col("label") - F.col("pred"))).alias("gap"))
+    return each.groupBy("replicate").agg((F.sum(F.abs("gap")) / F.sum("w")).alias("ece"))
+
+
 def auroc_interval(df: DataFrame, n_boot: int = 200, *, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     return interval(replicate_auroc(resampled(df.select("idx", "pred", "label"), n_boot, seed=seed)), "auroc", alpha)
 
@@ -76,11 +95,14 @@ def mean_interval(df: DataFrame, column: str, n_boot: int = 200, *, key: str = "
 
 
 def block_metric_intervals(df: DataFrame, length: float, n_boot: int = 200, *, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """metric, n, lo and hi of AUROC and Brier score under the block bootstrap."""
+    """metric, n, lo and hi of AUROC, AUPRC, Brier score and ECE under the block bootstrap."""
     w = block_resampled(df.select("idx", "pred", "label"), n_boot, length, seed=seed)
     brier = w.groupBy("replicate").agg((F.sum(F.col("weight") * F.pow(F.col("pred") - F.col("label"), 2)) / F.sum("weight")).alias("brier"))
-    a, b = interval(replicate_auroc(w), "auroc", alpha), interval(brier, "brier", alpha)
-    return a.select(F.lit("auroc").alias("metric"), "*").union(b.select(F.lit("brier").alias("metric"), "*"))
+    out = None
+    for name, stats in (("auroc", replicate_auroc(w)), ("auprc", replicate_auprc(w)), ("brier", brier), ("ece", replicate_ece(w))):
+        row = interval(stats, name, alpha).select(F.lit(name).alias("metric"), "*")
+        out = row if out is None else out.union(row)
+    return out
 
 
 def block_var_es_intervals(df: DataFrame, length: float = 50.0, n_boot: int = 200, *, level: float = 0.99, alpha: float = 0.05, seed: int = 0) -> DataFrame:

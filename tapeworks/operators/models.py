@@ -84,6 +84,12 @@ def smoothness(df: DataFrame, *, lam: str = "lam", order: str = "rn", by: Sequen
     return rows.groupBy(*by).agg(F.sum("d").alias("smoothness")) if by else rows.agg(F.sum("d").alias("smoothness"))
 
 
+def mark_nll(df: DataFrame, size: str = "size", mu: str = "mu", log_sigma: str = "log_sigma", *, by: Sequence[str] = ()) -> DataFrame:
+    """mark_nll: mean negative log likelihood of positive sizes under log-normal marks."""
+    x, sd = F.log(F.greatest(F.col(size), F.lit(1e-6))), F.exp(F.col(log_sigma))
+    return df.groupBy(*by).agg(F.avg(x + F.col(log_sigma) + 0.9189385332046727 + F.pow(x - F.col(mu), 2) / (2 * sd * sd)).alias("mark_nll"))
+
+
 def joint_loss(df: DataFrame, *, weight_cls: float = 1.0, weight_smooth: float = 0.0, focal: float = 0.0, by: Sequence[str] = ()) -> DataFrame:
     """nll of events, log loss of labels (focal if asked for), smoothness and their weighted sum, one row for each sequence."""
     from tapeworks.operators.tpp import nll_per_event

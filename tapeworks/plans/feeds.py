@@ -268,6 +268,12 @@ def smoothness(spark, d):
     return rounded(models.smoothness(intensities(spark, d)), 4)
 
 
+@query("mark_nll", sql("SELECT event_type, round(avg(ln(greatest(size, 1e-6)) + 0.5 + 0.9189385332046727 + power(ln(greatest(size, 1e-6)) - 3, 2) / (2 * exp(1))), 6) AS mark_nll FROM ev GROUP BY event_type", "ev"))
+def mark_nll(spark, d):
+    ev = events(spark, d).withColumns({"mu": F.lit(3.0), "log_sigma": F.lit(0.5)})
+    return rounded(models.mark_nll(ev, by=["event_type"]))
+
+
 @query("joint_loss")
 def joint_loss(spark, d):
     pr = predictions(spark, d).select(F.col("idx").alias("rn"), "pred", "label")
