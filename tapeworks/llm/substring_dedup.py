@@ -85,6 +85,8 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text", place.alias("__row"))
     spans = materialise(rows.select("__row", "text").mapInPandas(_runs, "h1 long, h2 long, row long, at int, n int"), "substring-runs")
     first = spans.groupBy("h1", "h2").agg(F.min(F.struct("row", "at")).alias("first"), F.count(F.lit(1)).alias("times")).where(F.col("times") > 1).select("h1", "h2", "first")
+    # Written first: a join of two shuffled sides can be split where one passage holds very many rows.
+    first = materialise(first, "substring-first", rows=spans.count() // 2, per_file=500_000)
     again = spans.join(first, ["h1", "h2"]).where((F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at")))
     marks = again.groupBy("row").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
     marks = materialise(marks, "substring-marks").withColumnRenamed("row", "__row")
