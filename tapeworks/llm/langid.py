@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import held_out, materialise, python_rows, table
+from tapeworks.llm.common import held_out, materialise, python_rows, small_join, table
 
 #: Training rows of each language at most (those with the smallest hashed ids), and stretches of words from each.
 MAX_TRAIN = 1_000
@@ -171,8 +171,13 @@ def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def train(docs: DataFrame, *, max_train: int = MAX_TRAIN) -> dict | None:
     """The model learnt from docs (doc_id, text, lang); None without any word of known language."""
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang").withColumn("r", rank).where(F.col("r") <= max_train)
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
+    # The smallest hashes of a language are among its rows below twice the share that is wanted: no language's rows meet in one task.
+    counts = materialise(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("__n")), "lang-counts")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52))
+    few = small_join(labelled, counts, ["lang"]).where(place / float(1 << 52) <= F.lit(2.0 * max_train + 50) / F.col("__n"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(place, "doc_id"))
+    ids = few.withColumn("r", rank).where(F.col("r") <= max_train)
     ids = materialise(ids.select("doc_id", F.col("lang").alias("__lang")), "lang-train")
     rows = docs.join(ids, "doc_id").where(F.col("lang") == F.col("__lang")).select("lang", "text")
     pdf = rows.mapInPandas(_stretches, "lang string, words array<string>").toPandas()
