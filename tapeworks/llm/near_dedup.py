@@ -155,7 +155,7 @@ def _rare_pairs(some: DataFrame, others: DataFrame, sets: DataFrame, percent: in
     items = items.join(items.groupBy("item").agg(F.count(F.lit(1)).alias("df")), "item")
     rank = F.row_number().over(W.partitionBy("id").orderBy("df", "item"))
     rare = items.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1).where(F.col("df") > 1)
-    rare = materialise(rare.select("id", "n", "r", "item"), "near-rare", rows=few, per_file=2_000)
+    rare = materialise(rare.select("id", "n", "r", "item"), "near-rare", rows=few, per_file=100)
     here = some.select("id", "theirs").distinct().join(rare, "id")
     there = others.select("id", "theirs").join(rare, "id").select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("theirs").alias("group"), "item")
     pairs = here.join(there, "item").where(F.col("theirs").eqNullSafe(F.col("group")) & (F.col("id") != F.col("other")))
