@@ -122,7 +122,8 @@ def type_dictionary(df: DataFrame, column: str = "event_type") -> DataFrame:
 
 
 def encode_types(df: DataFrame, column: str = "event_type") -> DataFrame:
-    return df.join(F.broadcast(type_dictionary(df, column)), column, "left")
+    """type_id of each row. No broadcast is asked for: types are usually few, but nothing bounds them (types by level)."""
+    return df.join(type_dictionary(df, column), column, "left")
 
 
 def type_by_level(event_type: Column, level: Column) -> Column:
