@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -83,9 +84,9 @@ def ewma_counts(df: DataFrame, types: Sequence[str], taus_s: Sequence[float] = (
         one = {t: F.when(F.lit(True) if t is None else F.col(column) == t, F.exp("__x")).otherwise(0.0) for t in names}
         w = W.partitionBy(*by, "__b").orderBy(TS, SEQ).rowsBetween(W.unboundedPreceding, W.currentRow)
         carry = rows.groupBy(*by, "__b").agg(*[(F.sum(one[t]) * F.exp(F.lit(-reach))).alias(f"__c{i}") for i, t in enumerate(names)])
-        once = carry.withColumn("__b", F.col("__b") + 1)
-        twice = carry.select(*by, (F.col("__b") + 2).alias("__b"), *[(F.col(f"__c{i}") * F.exp(F.lit(-reach))).alias(f"__c{i}") for i in range(len(names))])
-        left = once.unionByName(twice).groupBy(*by, "__b").agg(*[F.sum(f"__c{i}").alias(f"__c{i}") for i in range(len(names))])
+        # What a bucket leaves goes to the next one, and decayed once more to the one after.
+        after = F.explode(F.array(F.struct(F.lit(1).alias("on"), F.lit(1.0).alias("by")), F.struct(F.lit(2).alias("on"), F.lit(math.exp(-reach)).alias("by")))).alias("__to")
+        left = carry.select("*", after).groupBy(*by, (F.col("__b") + F.col("__to.on")).alias("__b")).agg(*[F.sum(F.col(f"__c{i}") * F.col("__to.by")).alias(f"__c{i}") for i in range(len(names))])
         rows = rows.withColumns({f"__l{i}": F.sum(one[t]).over(w) for i, t in enumerate(names)})
         rows = rows.join(left, [*by, "__b"], "left")
         rows = rows.withColumns({name: F.exp(-F.col("__x")) * (F.col(f"__l{i}") + nz(F.col(f"__c{i}"))) for i, name in enumerate(names.values())})
@@ -113,29 +114,38 @@ def nz_bool(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def _restarts(side: str, level: int, extra: Column | None, by: tuple[str, ...]) -> Column:
+    """The row's time where a level's queue restarts, else null."""
+    size, price, w = F.col(f"{side}_size_{level}"), F.col(f"{side}_price_{level}"), in_order(*by)
+    changed = ~F.lag(size).over(w).eqNullSafe(size) | ~F.lag(price).over(w).eqNullSafe(price) | price.isNull() | F.isnan(price)
+    return F.when(changed if extra is None else changed | nz_bool(extra), F.col(TS))
+
+
+def _ages(df: DataFrame, restarts: dict[str, Column], by: tuple[str, ...]) -> DataFrame:
+    """A column for each name: seconds since its last restart. All restarts are found in one window and all ages in another."""
+    df = df.withColumns({f"__{n}": c for n, c in restarts.items()})
+    last = lambda n: F.last(f"__{n}", ignorenulls=True).over(so_far(*by))
+    return df.withColumns({n: (F.col(TS) - last(n)) / NS for n in restarts}).drop(*[f"__{n}" for n in restarts])
+
+
 def queue_age(df: DataFrame, side: str, level: int, *, name: str | None = None, extra: Column | None = None, by: tuple[str, ...] = (SYMBOL,)) -> DataFrame:
     """Seconds since size or price of this level changed (or `extra` was true); a price that isn't there restarts too.
 
-    Restarts number islands; the age is the time since an island's first row.
+    The age is the time since the last restart; an instrument's first row is one.
     """
-    size, price, w = F.col(f"{side}_size_{level}"), F.col(f"{side}_price_{level}"), in_order(*by)
-    changed = ~F.lag(size).over(w).eqNullSafe(size) | ~F.lag(price).over(w).eqNullSafe(price) | price.isNull() | F.isnan(price)
-    if extra is not None:
-        changed = changed | nz_bool(extra)
-    df = df.withColumn("__island", F.sum(changed.cast("long")).over(so_far(*by)))
-    start = F.min(TS).over(W.partitionBy(*by, "__island"))
-    return df.withColumn(name or f"qage_{side[0]}_{level}", (F.col(TS) - start) / NS).drop("__island")
+    return _ages(df, {name or f"qage_{side[0]}_{level}": _restarts(side, level, extra, by)}, by)
 
 
-def queue_ages(df: DataFrame, levels: int, *, event_aware: bool = False, halted: str | None = None) -> DataFrame:
+def queue_ages(df: DataFrame, levels: int, *, event_aware: bool = False, halted: str | None = None, by: tuple[str, ...] = (SYMBOL,)) -> DataFrame:
     """Ages of all levels on both sides; with event_aware also restarted by events, with halted by halts."""
+    restarts = {}
     for side in ("bid", "ask"):
         for level in range(1, levels + 1):
             extra = event_resets(side, level) if event_aware else None
             if halted:
                 extra = F.col(halted) if extra is None else extra | nz_bool(F.col(halted))
-            df = queue_age(df, side, level, extra=extra)
-    return df
+            restarts[f"qage_{side[0]}_{level}"] = _restarts(side, level, extra, by)
+    return _ages(df, restarts, by)
 
 
 def age_from_last_update(df: DataFrame, side: str, level: int = 1) -> DataFrame:
