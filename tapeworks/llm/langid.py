@@ -35,7 +35,8 @@ UNKNOWN = "und"
 
 
 def words_in(text: str | None) -> list[str]:
-    return WORDS.findall(text.lower()) if text else []
+    # Fractions and the like are word characters but no letters; the test ends at the first letter.
+    return WORDS.findall(text.lower()) if text and any(map(str.isalpha, text)) else []
 
 
 def features(word: str, lexicon: frozenset[str] | set[str]) -> list[int]:

@@ -243,7 +243,7 @@ def test_language_of_held_out_documents(spark):
 def test_words_of_mixed_text(spark):
     docs = spark.read.parquet(f"{SF_ORACLE}/documents.parquet")
     model = langid.train(docs)
-    mixed = table(spark, ["the and that with nicht und auch der", None, "123 !"])
+    mixed = table(spark, ["the and that with nicht und auch der", None, "123 ½ !"])
     out = {r.doc_id: r for r in langid.label_words(mixed, model).collect()}
     assert out[1].langs[:3] == ["en"] * 3 and out[1].langs[-3:] == ["de"] * 3
     assert out[2].words == out[3].words == []
