@@ -4,6 +4,9 @@ From every sentence of every text a run of consecutive sentences is hashed (128
 sentences covered by any but the first occurrence of a run are removed. The first occurrence is the one with the least
 (doc_id, place). A run reaches on until it has SENTENCES sentences and MIN_WORDS words, or two sentences with PAIR_WORDS
 words, or LONG_WORDS words, so it depends on what follows its start alone and equal passages have equal runs.
+
+A passage may be pasted into the middle of a sentence, so a sentence also begins at a capitalised word behind a small
+letter or a bar: cutting finer than grammar would is harmless, as runs are measured in words.
 """
 
 from __future__ import annotations
@@ -18,8 +21,8 @@ from pyspark.sql import functions as F
 
 from tapeworks.llm.common import materialise, python_rows, table
 
-SENTENCES, MIN_WORDS, PAIR_WORDS, LONG_WORDS = 3, 12, 30, 50
-BREAK = re.compile(r"((?<=[.!?])[ \t]+|[ \t]*\n\s*)")
+SENTENCES, MIN_WORDS, PAIR_WORDS, LONG_WORDS = 3, 12, 16, 20
+BREAK = re.compile(r"((?<=[.!?])[ \t]+|[ \t]*\n\s*|(?<=[a-zß-öø-ÿ|])[ \t]+(?=[A-ZÀ-ÖØ-Þ]))")
 
 
 def sentences(text: str) -> tuple[list[str], list[str]]:
