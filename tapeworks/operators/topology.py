@@ -67,7 +67,7 @@ def _rolling(cfg: Topology, pdf: pd.DataFrame) -> pd.DataFrame:
                 first = np.searchsorted(ts[: i + 1], ts[i] - int(w * NS), side="right")
                 parts[k * cfg.width : (k + 1) * cfg.width] = vector(window_diagrams(field[first : i + 1], cfg), cfg)
         out.append(parts.tolist())
-    return pd.DataFrame({SYMBOL: pdf[SYMBOL].iloc[own].values, TS: ts[own], SEQ: pdf[SEQ].iloc[own].values, "topology": out})
+    return pd.DataFrame({SYMBOL: pdf[SYMBOL].iloc[own].values, TS: ts[own], SEQ: pdf[SEQ].iloc[own].values, "topology": pd.Series(out, dtype=object)})
 
 
 def rolling(df: DataFrame, cfg: Topology, *, chunk_s: float | None = None) -> DataFrame:
