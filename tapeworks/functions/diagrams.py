@@ -81,47 +81,66 @@ def rips(x: np.ndarray, *, epsilon: float = np.inf, dim: int = 1, scale: bool =
 
 
 def _loops(d: np.ndarray, epsilon: float) -> np.ndarray:
-    """Loops by reduction of the triangles' boundaries over two elements."""
+    """Loops by reduction of the edges' coboundaries over two elements."""
     if len(d) > MAX_POINTS:
         keep = np.linspace(0, len(d) - 1, MAX_POINTS).round().astype(int)
         d = d[np.ix_(keep, keep)]
     n = len(d)
     i, j = np.triu_indices(n, 1)
     length = d[i, j]
+    # Beyond the enclosing radius all is one cone: what begins there ends at once.
+    reach = min(epsilon, d.max(1).min())
     order = np.argsort(length, kind="stable")
-    order = order[length[order] <= epsilon]
-    place = np.full((n, n), -1)
-    place[i[order], j[order]] = np.arange(len(order))
-    place = place.tolist()
+    order = order[length[order] <= reach]
+    m = len(order)
+    place = np.full((n, n), m)
+    place[i[order], j[order]] = place[j[order], i[order]] = np.arange(m)
     # Edges that join components make no loop.
-    root, makes = list(range(n)), np.zeros(len(order), bool)
+    root, makes = list(range(n)), np.zeros(m, bool)
     for k, e in enumerate(order):
         a, b = _find(root, int(i[e])), _find(root, int(j[e]))
         makes[k] = a == b
         root[b] = a
-    triangles = []
-    for k, e in enumerate(order):
-        a, b = int(i[e]), int(j[e])
-        for c in range(n):
-            if c in (a, b):
-                continue
-            p, q = place[min(a, c)][max(a, c)], place[min(b, c)][max(b, c)]
-            if 0 <= p < k and 0 <= q < k:
-                triangles.append((k, p, q))
-    # Columns are bit sets in integers: adding two is one exclusive or, the largest edge is the bit length.
-    low: dict[int, int] = {}
-    out, most = [], int(makes.sum())
-    for t in triangles:  # in order of their longest edge
-        column = (1 << t[0]) | (1 << t[1]) | (1 << t[2])
-        while column and (top := column.bit_length() - 1) in low:
-            column ^= low[top]
-        if column:
-            low[top] = column
-            birth, death = length[order[top]], length[order[t[0]]]
-            if makes[top] and death > birth:
-                out.append((birth, death - birth))
-            if len(low) == most:  # every loop has an end
+    a, b = np.repeat(i, n - 1 - j), np.repeat(j, n - 1 - j)
+    c = np.concatenate([np.arange(x + 1, n) for x in j]) if n > 1 else j
+    sides = np.stack([place[a, b], place[a, c], place[b, c]], 1)
+    sides = sides[sides.max(1) < m]
+    sides = sides[np.argsort(sides.max(1), kind="stable")]
+    ends = sides.max(1)
+    # Triangles at each edge, by edge; within an edge in order.
+    by = np.argsort(sides.T.ravel(), kind="stable")
+    at, edge = by % max(len(sides), 1), sides.T.ravel()[by]
+    bound = np.searchsorted(edge, np.arange(m + 1))
+    bits = len(sides)
+
+    def column(k: int) -> int:
+        row = np.zeros(bits, np.uint8)
+        row[bits - 1 - at[bound[k] : bound[k + 1]]] = 1
+        return int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little")
+
+    # Coboundaries of edges, latest first; columns are bit sets in integers whose highest bit is the earliest triangle.
+    # A column that is its edge's own is only made when it is added to another.
+    low: dict[int, int | None] = {}
+    owner: dict[int, int] = {}
+    out = []
+    for k in range(m - 1, -1, -1):
+        if not makes[k] or bound[k] == bound[k + 1]:
+            continue
+        top, mine = int(at[bound[k] : bound[k + 1]].min()), None
+        while top in owner:
+            if mine is None:
+                mine = column(k)
+            if low[top] is None:
+                low[top] = column(owner[top])
+            mine ^= low[top]
+            if not mine:
                 break
+            top = bits - mine.bit_length()
+        else:
+            owner[top], low[top] = k, mine
+            birth, death = length[order[k]], length[order[ends[top]]]
+            if death > birth:
+                out.append((birth, death - birth))
     return np.asarray(out, float).reshape(-1, 2)
 
 

@@ -130,6 +130,18 @@ def epsilons(df: DataFrame, column: str = "points", share: float = 0.99) -> Data
     return df.withColumns({"eps_quantile": pandas_udf(over(D.epsilon_by_quantile), "double")(column), "eps_share": pandas_udf(over(D.epsilon_for_share), "double")(column)})
 
 
+def clouds(df: DataFrame, point: Column, most: int = D.MAX_POINTS) -> DataFrame:
+    """symbol, chunk and points: an instrument's events in their order, dealt evenly to as few chunks as hold at most `most`.
+
+    No cloud is so large that its loops are thinned, and none is a remainder too small for a diagram.
+    """
+    from tapeworks.operators.splits import numbered
+
+    rows = numbered(df.select(SYMBOL, TS, SEQ, point.alias("point")))
+    chunk = F.floor(F.col("rn") * F.ceil(F.col("n_rows") / most) / F.col("n_rows"))
+    return rows.groupBy(SYMBOL, chunk.alias("chunk")).agg(F.array_sort(F.collect_list("point")).alias("points"))
+
+
 def pairwise_l2(df: DataFrame, key: str, column: str) -> DataFrame:
     """Distances of all pairs of one window of bounded size (a, b, l2) with a < b; use it on windows, never on a whole table."""
     rows = df.select(key, column)

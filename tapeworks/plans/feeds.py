@@ -190,7 +190,7 @@ def pairwise_l2(spark, d):
 def rolling_ph_landscape(spark, d):
     from tapeworks.operators.features import liquidity_surface
 
-    cfg = topology.Topology(windows_s=(6.0 * HOUR, 24.0 * HOUR), levels=3, grid=32, stride=5)
+    cfg = topology.Topology(windows_s=(6.0 * HOUR, 24.0 * HOUR), levels=3, grid=32)
     return topology.rolling(liquidity_surface(book(spark, d), 3), cfg, chunk_s=10 * 24 * HOUR)
 
 
@@ -198,7 +198,7 @@ def rolling_ph_landscape(spark, d):
 def rolling_ph_rips(spark, d):
     from tapeworks.operators.features import liquidity_surface
 
-    cfg = topology.Topology(windows_s=(24.0 * HOUR,), complex="rips", vector="image", size=4, sigma=0.3, stride=10)
+    cfg = topology.Topology(windows_s=(24.0 * HOUR,), complex="rips", vector="image", size=4, sigma=0.3)
     return topology.rolling(liquidity_surface(book(spark, d), 3), cfg, chunk_s=10 * 24 * HOUR)
 
 
@@ -319,10 +319,13 @@ def topology_search(spark, d):
 
 @query("rips_udtf")
 def rips_udtf(spark, d):
+    """Features of every instrument's clouds, summed over the time chunks that bound a cloud."""
     from tapeworks.functions.sql import register
 
     register(spark)
-    pts = events(spark, d).where("symbol < 20").groupBy("symbol").agg(F.array_sort(F.collect_list(F.array("price", "size"))).alias("points"))
+    pts = topology.clouds(events(spark, d), F.array("price", "size"))
+    # Few bytes mean much work here, so clouds are dealt by number, not by size.
+    pts = pts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "symbol", "chunk")
     pts.createOrReplaceTempView("tapeworks_points")
     return spark.sql("SELECT symbol, dim, count(*) AS n, round(sum(pers), 4) AS total FROM tapeworks_points, LATERAL rips_diagram(points) GROUP BY symbol, dim")
 
