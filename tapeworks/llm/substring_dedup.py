@@ -1,9 +1,10 @@
 """Substring dedup with sliding sentence spans.
 
-From every sentence of every text a run of consecutive sentences is hashed (128 bits); runs are joined globally, and
-sentences covered by any but the first occurrence of a run are removed. The first occurrence is the one with the least
+From every sentence of every text a run of consecutive sentences is hashed (128 bits), and another that ends with it; runs
+are joined globally, and sentences covered by any but the first occurrence of a run are removed. The first occurrence is the one with the least
 (doc_id, place). A run reaches on until it has SENTENCES sentences and MIN_WORDS words, or two sentences with PAIR_WORDS
-words, or LONG_WORDS words, so it depends on what follows its start alone and equal passages have equal runs.
+words, or LONG_WORDS words, so it depends on what follows its start, or precedes its end, alone and equal passages have equal runs.
+Every sentence of a repeated passage that is long enough lies in such a run inside it, so none of it stays.
 
 A passage may be pasted into the middle of a sentence, so a sentence also begins at a capitalised word behind a small
 letter or a bar: cutting finer than grammar would is harmless, as runs are measured in words.
@@ -37,16 +38,24 @@ def runs(text: str) -> list[tuple[int, int, bytes]]:
 
     found = [(i, w) for i, s in enumerate(sentences(text)[0]) if (w := s.encode("utf-8", "surrogatepass").lower().split())]
     digests = [xxhash.xxh3_128_digest(b" ".join(w)) for _, w in found]
-    out = []
-    for at in range(len(found)):
-        n = 0
-        for to in range(at, len(found)):
-            n += len(found[to][1])
-            have = to - at + 1
-            if (have >= SENTENCES and n >= MIN_WORDS) or (have >= 2 and n >= PAIR_WORDS) or n >= LONG_WORDS:
-                out.append((found[at][0], found[to][0] - found[at][0] + 1, xxhash.xxh3_128_digest(b"".join(digests[at : to + 1]))))
-                break
-    return out
+    out = set()
+
+    def emit(at: int, to: int) -> None:
+        out.add((found[at][0], found[to][0] - found[at][0] + 1, xxhash.xxh3_128_digest(b"".join(digests[at : to + 1]))))
+
+    def enough(have: int, n: int) -> bool:
+        return (have >= SENTENCES and n >= MIN_WORDS) or (have >= 2 and n >= PAIR_WORDS) or n >= LONG_WORDS
+
+    for start in range(len(found)):
+        for step in (1, -1):
+            n, to = 0, start
+            while 0 <= to < len(found):
+                n += len(found[to][1])
+                if enough(abs(to - start) + 1, n):
+                    emit(min(start, to), max(start, to))
+                    break
+                to += step
+    return sorted(out)
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
