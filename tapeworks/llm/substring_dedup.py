@@ -7,12 +7,14 @@ words, or LONG_WORDS words, so it depends on what follows its start, or precedes
 Every sentence of a repeated passage that is long enough lies in such a run inside it, so none of it stays.
 
 A passage may be pasted into the middle of a sentence, so a sentence also begins at a capitalised word behind a small
-letter or a bar: cutting finer than grammar would is harmless, as runs are measured in words.
+letter or a bar, of any script, and at blanks beside scripts that put none between words. There sentences end without a
+blank, and characters are counted as parts of words. Cutting finer than grammar would is harmless, as runs are measured in words.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,20 +25,49 @@ from pyspark.sql import functions as F
 from tapeworks.llm.common import materialise, python_rows, table
 
 SENTENCES, MIN_WORDS, PAIR_WORDS, LONG_WORDS = 3, 12, 16, 20
-BREAK = re.compile(r"((?<=[.!?])[ \t]+|[ \t]*\n\s*|(?<=[a-zß-öø-ÿ|])[ \t]+(?=[A-ZÀ-ÖØ-Þ]))")
+#: Scripts that put no blanks between words, and how many of their characters count as a word.
+DENSE = ((2, "\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"), (4, "\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\ua9e0-\ua9ff\uaa60-\uaa7f"))
+
+
+def _ranges(category: str) -> str:
+    """The letters of a category, for use in a character class."""
+    at = [c for c in range(0x20000) if unicodedata.category(chr(c)) == category]
+    starts = [c for c, before in zip(at, [-2, *at], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(at, [*at[1:], -2], strict=True) if after != c + 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True))
+
+
+#: Sentence ends before a blank, and those that need none; closing marks stay with their sentence.
+ENDS = ".!?\u2026\u0589\u061f\u06d4\u0700-\u0702\u0964\u0965\u104a\u104b\u1362\u1367\u1368\u166e\u17d4\u17d5\u1803\u1809\u203c\u203d\u2047-\u2049\ua4ff\ua60e\ua60f\uabeb"
+FULL, CLOSE = "\u3002\uff01\uff0e\uff1f\uff61\u0964\u0965\u104b\u1362\u17d4\u17d5\u06d4", "\u300d\u300f\u3011\u3009\u300b\u201d\u2019\uff09"
+BLANK, LOWERS, UPPERS, ALL_DENSE = "[ \\t\u00a0\u3000]+", _ranges("Ll"), _ranges("Lu"), "".join(x for _, x in DENSE)
+BREAK = re.compile(
+    rf"((?<=[{ENDS}{FULL}]){BLANK}|(?<=[{FULL}][{CLOSE}]){BLANK}|{BLANK[:-1]}*\n\s*|(?<=[{LOWERS}|]){BLANK}(?=[{UPPERS}])|(?<=[{ALL_DENSE}]){BLANK}|{BLANK}(?=[{ALL_DENSE}])"
+    rf"|(?<=[{FULL}])(?![\s{FULL}{CLOSE}])(?!\Z)|(?<=[{FULL}][{CLOSE}])(?![\s{FULL}{CLOSE}])(?!\Z))"
+)
+#: The same for ASCII texts, where it is faster.
+ASCII_BREAK = re.compile(r"((?<=[.!?])[ \t]+|[ \t]*\n\s*|(?<=[a-z|])[ \t]+(?=[A-Z]))")
+COUNTED = [(n, re.compile(f"[{x}]")) for n, x in DENSE]
 
 
 def sentences(text: str) -> tuple[list[str], list[str]]:
     """Sentences and what separates each from the next; joined in turn they are the text."""
-    parts = BREAK.split(text)
+    parts = (ASCII_BREAK if text.isascii() else BREAK).split(text)
     return parts[::2], [*parts[1::2], ""]
 
 
+def length(sentence: str, words: int) -> int:
+    """Words by blanks, and by characters where the script has no blanks."""
+    return words if sentence.isascii() else words + sum(len(x.findall(sentence)) // n for n, x in COUNTED)
+
+
 def runs(text: str) -> list[tuple[int, int, bytes]]:
     """(first sentence, number of sentences, digest) of each run; sentences without words are passed over."""
     import xxhash
 
-    found = [(i, w) for i, s in enumerate(sentences(text)[0]) if (w := s.encode("utf-8", "surrogatepass").lower().split())]
+    pieces = sentences(text)[0]
+    found = [(i, w) for i, s in enumerate(pieces) if (w := s.encode("utf-8", "surrogatepass").lower().split())]
+    lengths = [length(pieces[i], len(w)) for i, w in found]
     digests = [xxhash.xxh3_128_digest(b" ".join(w)) for _, w in found]
     out = set()
 
@@ -50,7 +81,7 @@ def runs(text: str) -> list[tuple[int, int, bytes]]:
         for step in (1, -1):
             n, to = 0, start
             while 0 <= to < len(found):
-                n += len(found[to][1])
+                n += lengths[to]
                 if enough(abs(to - start) + 1, n):
                     emit(min(start, to), max(start, to))
                     break

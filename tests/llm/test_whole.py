@@ -23,3 +23,37 @@ def test_the_tail_of_a_repeated_passage_goes(spark):
     out = _left(spark, [(1, f"{a} {unit} {b}"), (2, f"{c} {unit} {d}")])
     assert out[1] == f"{a} {unit} {b}"
     assert out[2].split() == f"{c} {d}".split()
+
+
+def _chars(rng, first, last, n):
+    return "".join(chr(rng.randrange(first, last)) for _ in range(n))
+
+
+def test_passages_in_scripts_without_blanks_go(spark):
+    rng = random.Random(2)
+    han = lambda: _chars(rng, 0x4E00, 0x9000, 14) + "\u3002"
+    thai = lambda: _chars(rng, 0x0E01, 0x0E2F, 60)
+    shared, a, b, c, d = "".join(han() for _ in range(5)), han(), han(), han(), han()
+    phrases, e, f = " ".join(thai() for _ in range(3)), thai(), thai()
+    out = _left(spark, [(1, a + shared + b), (2, c + shared + d), (3, f"{e} {phrases}"), (4, f"{phrases} {f}")])
+    assert out[1] == a + shared + b and out[2] == c + d
+    assert out[3] == f"{e} {phrases}" and out[4] == f
+
+
+def test_a_cyrillic_passage_pasted_into_a_sentence_goes_whole(spark):
+    rng = random.Random(3)
+    word = lambda: _chars(rng, 0x430, 0x450, 7)
+    line = lambda: " ".join(word() for _ in range(9)).capitalize() + "."
+    passage, a, b, c, d = " ".join(line() for _ in range(4)), word(), word().capitalize(), word(), word().capitalize()
+    out = _left(spark, [(1, f"{a} {passage} {b}"), (2, f"{c} {passage} {d}")])
+    assert out[2].split() == [c, d]
+
+
+def test_joined_sentences_are_the_text():
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "B", ".", " ", "\n", "\u3002", "\u300d", "\u4e00", "\u0e01", "\u0430", "\u0410", "\u3000", "|"]) for _ in range(40))
+        parts, breaks = substring_dedup.sentences(text)
+        assert "".join(p + b for p, b in zip(parts, breaks, strict=True)) == text
+        plain = "".join(x for x in text if x.isascii())
+        assert substring_dedup.BREAK.split(plain) == substring_dedup.ASCII_BREAK.split(plain)
