@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf, udtf
 
 from tapeworks.functions import diagrams as D
+from tapeworks.session import ship
 
 POINTS = "array<array<double>>"
 
@@ -31,6 +32,8 @@ class RipsDiagram:
 def register(spark: SparkSession) -> list[str]:
     """landscape_mean(diagram, levels), image_sum(diagram, size, sigma), vr_epsilon(points, share), rips_diagram(points)."""
 
+    ship(spark)
+
     @pandas_udf("array<double>")
     def landscape_mean(diagram: pd.Series, levels: pd.Series) -> pd.Series:
         return pd.Series([D.landscape(_stack(x), int(k)).tolist() for x, k in zip(diagram, levels, strict=True)], dtype=object)

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from tapeworks.functions import diagrams as D
 from tapeworks.operators.windows import chunked
 from tapeworks.schema import NS, SEQ, SYMBOL, TS
+from tapeworks.session import ship
 
 DIAGRAM = "array<struct<birth:double,pers:double>>"
 
@@ -82,6 +83,7 @@ def rolling(df: DataFrame, cfg: Topology, *, chunk_s: float | None = None) -> Da
     dealt = chunked(rows, int((chunk_s or 20 * max(cfg.windows_s)) * NS), back_ns=reach)
     kind = df.schema[SYMBOL].dataType
     schema = T.StructType([T.StructField(SYMBOL, kind), T.StructField(TS, T.LongType()), T.StructField(SEQ, T.LongType()), T.StructField("topology", T.ArrayType(T.DoubleType()))])
+    ship(df.sparkSession)
     return dealt.groupBy(SYMBOL, "chunk").applyInPandas(partial(_rolling, cfg), schema)
 
 
@@ -93,6 +95,7 @@ def transform_windows(df: DataFrame, cfg: Topology, column: str = "slab") -> Dat
     def embed(slabs: pd.Series) -> pd.Series:
         return slabs.map(lambda s: vector(window_diagrams(np.stack([np.asarray(r, float) for r in s]) if len(s) else np.zeros((0, 1)), cfg), cfg).tolist())
 
+    ship(df.sparkSession)
     return df.withColumn("topology", embed(column))
 
 
@@ -127,6 +130,7 @@ def epsilons(df: DataFrame, column: str = "points", share: float = 0.99) -> Data
     def over(f):
         return lambda s: s.map(lambda p: f(np.stack([np.asarray(r, float) for r in p]), share) if len(p) else 0.0)
 
+    ship(df.sparkSession)
     return df.withColumns({"eps_quantile": pandas_udf(over(D.epsilon_by_quantile), "double")(column), "eps_share": pandas_udf(over(D.epsilon_for_share), "double")(column)})
 
 

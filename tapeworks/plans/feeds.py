@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import partial
 
 import pandas as pd
@@ -14,7 +13,7 @@ from tapeworks.plans.evaluation import rounded
 from tapeworks.plans.tables import TYPES, book, events, intensities, predictions, read, sql
 from tapeworks.registry import Catalog
 from tapeworks.schema import NS, floor_div, instant
-from tapeworks.session import shared_dir
+from tapeworks.session import scratch, ship
 from tapeworks.sources import binary, lobster, synthetic, vendors
 from tapeworks.streaming import events as live
 
@@ -22,11 +21,6 @@ catalog = Catalog()
 query = catalog.query
 
 
-def _scratch(spark, name: str) -> str:
-    """A folder that driver and executors share."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # binary feeds: every symbol's events become one file's bytes, which are decoded again
 def _encode(layout: str, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["ts_ns", "seq"], kind="stable")
@@ -40,6 +34,7 @@ def _encode(layout: str, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _round_trip(spark, d, layout: str, **options):
+    ship(spark)
     files = events(spark, d).groupBy("symbol").applyInPandas(partial(_encode, layout), "symbol string, content binary")
     out = binary.decode(files, layout, **options)
     return out.select("symbol", "seq", "ts_ns", "event_type", r6("price").alias("price"), "size", "side")
@@ -332,13 +327,13 @@ def rips_udtf(spark, d):
 
 # streams: the events as files, read to their end
 def _stream(spark, d):
-    path = _scratch(spark, "stream-in")
+    path = scratch(spark, "stream-in")
     events(spark, d).write.parquet(path)
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
 def _drain(spark, stream, mode: str = "append"):
-    out, held = _scratch(spark, "stream-out"), _scratch(spark, "stream-state")
+    out, held = scratch(spark, "stream-out"), scratch(spark, "stream-state")
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", held).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 

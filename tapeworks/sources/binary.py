@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks.schema import EXTRA_SCHEMA, NS
+from tapeworks.session import ship
 
 PRICE_UNIT = 1e-4
 DAY_NS = 86_400 * NS
@@ -181,6 +182,7 @@ def decode(files: DataFrame, layout: str, *, tick: float | None = None, adjust:
     stop_at_unknown the file's rows end there. Order-entry files hold no times: ts_ns is null.
     """
     date_ns = int(pd.Timestamp(session_date, tz="UTC").value) if session_date else None
+    ship(files.sparkSession)
     rows = files.select(F.col("symbol").cast("string").alias("symbol"), "content").mapInArrow(partial(_decode, layout, date_ns, tz_offset_s, side_aware, stop_at_unknown), EXTRA_SCHEMA)
     price = F.col("price") * adjust if adjust_mode == "multiply" else F.col("price") / adjust
     return rows.withColumn("price", F.rint(price / tick) * tick if tick else price)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.operators import clean
 from tapeworks.schema import EVENT_SCHEMA, SEQ, SYMBOL, TS, conform, require
+from tapeworks.session import ship
 from tapeworks.sources import binary, lobster
 
 REQUIRED = (TS, "event_type", "size")
@@ -94,6 +95,7 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
                     get = lambda k, z=z, n=n: z[k].astype(float) if k in z.files else np.full(n, np.nan)
                     yield pd.DataFrame({"idx": z["idx"] if "idx" in z.files else np.arange(n), "pred": z["pred"].astype(float), "label": z["label"].astype(int), "ret": get("ret"), "pred2": get("pred2")})
 
+        ship(spark)
         return files.mapInPandas(arrays, "idx long, pred double, label int, ret double, pred2 double")
     df = spark.read.option("header", "true").csv(path)
     kinds = {"idx": "long", "pred": "double", "label": "double", "ret": "double", "pred2": "double"}

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks.schema import EVENT_TYPES
+from tapeworks.session import ship
 
 
 @dataclass(frozen=True)
@@ -63,6 +64,7 @@ def sequences(spark: SparkSession, n: int, cfg: Flow | None = None, seed: int =
         return chain(cfg, np.random.default_rng([seed, at])).assign(sequence=at)
 
     schema = "step int, event_type string, dt double, size double, level int, side string, bids array<double>, asks array<double>, sequence long"
+    ship(spark)
     return spark.range(n).withColumnRenamed("id", "sequence").groupBy("sequence").applyInPandas(partial(run, cfg or Flow()), schema)
 
 
@@ -85,4 +87,5 @@ def with_returns(df: DataFrame, *, alpha: float = 0.8, sigma: float = 0.01, seed
         return pdf[cols].assign(ret=out)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", ret double"
+    ship(df.sparkSession)
     return (df.groupBy(group) if group else df.groupBy()).applyInPandas(run, schema)

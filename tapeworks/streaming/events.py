@@ -12,6 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tapeworks.schema import NS, SEQ, SYMBOL, TS, instant
+from tapeworks.session import ship
 
 
 def monotonic(stream: DataFrame) -> DataFrame:
@@ -27,6 +28,7 @@ def monotonic(stream: DataFrame) -> DataFrame:
         state.update((int(max(newest, ts.max())),))
         yield pdf[ts >= before]
 
+    ship(stream.sparkSession)
     return stream.groupBy(SYMBOL).applyInPandasWithState(keep, schema, "newest long", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -57,6 +59,7 @@ def live_features(stream: DataFrame, types: tuple[str, ...], tau_s: float = 1.0)
         yield pd.DataFrame(out, columns=[SYMBOL, TS, SEQ, "dt", *fields])
 
     held = "last long, n long, ewm_all double" + "".join(f", ewm_{i} double" for i in range(len(types)))
+    ship(stream.sparkSession)
     return stream.groupBy(SYMBOL).applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.NoTimeout).withColumnsRenamed(names)
 
 
