@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tapeworks.llm import exact_dedup, near_dedup, packing, pii, quality_rules
 from tapeworks.llm.common import materialise, table
+from tapeworks.session import clear, tables
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +41,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written and read again before the next stage."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each result is written and read again before the next stage, and what only led to it is deleted."""
+    docs, others = table(spark, sf_dir, "documents"), tables(spark)
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        clear(spark, {x for x in tables(spark) - others if f"/pipeline-{name}-" not in x})
     return STAGES[-1][1](spark, docs, sf_dir)
