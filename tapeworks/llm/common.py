@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.session import shared_dir
+from tapeworks.session import scratch, ship
 
 #: White space and word patterns of the query contracts (fixed values).
 WHITE = " \t\n\x0b\f\r"
@@ -25,8 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def ascii_lower(column: Column) -> Column:
-    """Lower-cases A-Z only; null counts as empty."""
-    return F.translate(F.coalesce(column, F.lit("")), UPPER, LOWER)
+    """Lower-cases A-Z only; null counts as empty. lower() does the same to ASCII texts, and faster."""
+    text = F.coalesce(column, F.lit(""))
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def unused_prefix(df: DataFrame) -> str:
+    """A prefix that no column of df begins with."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
 
 
 def words_of(column: Column) -> Column:
@@ -41,7 +48,7 @@ def materialise(df: DataFrame, label: str = "part", *, rows: int | None = None,
     shuffle partition: thousands of tiny files cost more than what is in them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     (df if rows is None else df.coalesce(max(1, -(-rows // per_file)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -54,9 +61,10 @@ def small_join(big: DataFrame, small: DataFrame, keys: list[str], *, how: str =
     """
     if small.count() <= max_rows:
         return big.join(F.broadcast(small), keys, how)
-    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = big.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)).cast("int"))
-    return spread.join(salted, [*keys, "__salt"], how).drop("__salt")
+    salt = f"{unused_prefix(big)}salt"
+    salted = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = big.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)).cast("int"))
+    return spread.join(salted, [*keys, salt], how).drop(salt)
 
 
 def held_out(modulus: int, remainder: int, column: str = "doc_id") -> Column:
@@ -64,6 +72,12 @@ def held_out(modulus: int, remainder: int, column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def python_rows(spark: SparkSession, rows: int = 256) -> None:
-    """Rows per Arrow batch, so that a batch of very long texts stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows of one Arrow batch at most, for every operator alike: plans are lazy, so a number for each would follow what is built last.
+BATCH_ROWS = 256
+
+
+def python_rows(spark: SparkSession) -> None:
+    """Makes Python workers ready: they can import this package, and get batches of few rows, as texts may be very long."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
