@@ -19,7 +19,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -113,7 +113,7 @@ def _signatures(width: int, bands: int, rows: int):
             for text in batch["text"]:
                 s = shingle_set(text, hashes, width)
                 out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), bands_of(sketch(s, bands * rows), bands, rows)) if len(s) else (0, None, None))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [x[0] for x in out], "fp": [x[1] for x in out], "bands": [x[2] for x in out]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "content": batch["content"], "n_shingles": [x[0] for x in out], "fp": [x[1] for x in out], "bands": [x[2] for x in out]})
 
     return run
 
@@ -122,7 +122,7 @@ def _sets(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            yield pd.DataFrame({"id": batch["doc_id"], "items": [shingle_set(t, hashes, width).view(np.int64) for t in batch["text"]]})
+            yield pd.DataFrame({"id": batch["id"], "items": [shingle_set(t, hashes, width).view(np.int64) for t in batch["text"]]})
 
     return run
 
@@ -179,23 +179,33 @@ def components(edges: DataFrame, most: int | None = None) -> DataFrame:
         labels = step.select("id", "label")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text; other columns are ignored).
+SIGNATURE = "doc_id long, content long, n_shingles long, fp binary, bands array<long>"
+
+
+def _content() -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64("doc_id", "text")
 
-    Texts link when 100 * |A ∩ B| >= percent * |A ∪ B| of their sets of `width`-word shingles; fewer words are one
-    shingle. Null and empty texts, and texts without words, link with nothing. A row without doc_id links with nothing,
-    has a null component_id and is kept. Rows that repeat a doc_id share its component. Empty tables give empty results.
+
+def linked_rows(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, by_id: bool = True) -> DataFrame:
+    """doc_id, content (a hash of the row), n_shingles, class, component and rep, the least doc_id of the component, of rows with a doc_id.
+
+    Rows with the same shingle set are one class, whatever their ids; class and component are null without shingles.
+    With by_id all rows of one doc_id are in one component; else each row goes by its own text alone.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    python_rows(spark, 128)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("content", _content())
+    python_rows(spark)
     named = docs.where(F.col("doc_id").isNotNull())
-    signed = materialise(named.mapInPandas(_signatures(width, bands, rows), "doc_id long, n_shingles long, fp binary, bands array<long>"), "near-signatures")
+    signed = materialise(named.mapInPandas(_signatures(width, bands, rows), SIGNATURE), "near-signatures")
     total = signed.count()
-    # Written before they are joined: a join of two shuffled sides can be split where one key holds very many rows.
-    classes = materialise(signed.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("rep")), "near-classes", rows=total)
-    mapped = materialise(signed.join(classes, "fp", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "near-mapped", rows=total, per_file=8_000)
-    members = mapped.where(F.col("bands").isNotNull()).select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
+    # Classes are numbered in the table that is written, so numbers hold. Written before it is joined: a join of two
+    # shuffled sides can be split where one key holds very many rows.
+    classes = signed.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("rep")).withColumn("class", F.monotonically_increasing_id())
+    classes = materialise(classes, "near-classes", rows=total)
+    mapped = signed.join(classes, "fp", "left").select("doc_id", "content", "n_shingles", "class", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"))
+    mapped = materialise(mapped, "near-mapped", rows=total, per_file=8_000)
+    members = mapped.where(F.col("bands").isNotNull()).select(F.explode("bands").alias("key"), F.col("class").alias("id"), F.col("n_shingles").alias("n"))
     shared = members.groupBy("key").agg(F.min("id").alias("__first"), F.max("id").alias("__last"), F.count(F.lit(1)).alias("size")).where(F.col("__first") != F.col("__last")).select("key", "size")
     shared = materialise(shared, "near-shared", rows=total * bands, per_file=500_000)
     bucket = materialise(members.join(shared, "key").select("key", "id", "n", "size").distinct(), "near-meetings", rows=total * bands, per_file=500_000)
@@ -203,8 +213,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     # How many others it meets: the most central member of a group of near copies leads in all its buckets.
     central = bucket.groupBy("id").agg(F.sum("size").alias("met"))
     bucket = materialise(bucket.join(central, "id").select("key", "id", "n", F.struct((-F.col("met")).alias("met"), "id").alias("order")), "near-buckets", rows=met)
-    ids = bucket.select("id").distinct()
-    wanted = named.join(ids, named["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"])
+    # One row of each class gives its set: the first in the order of content among those of the least doc_id.
+    chosen = mapped.where(F.col("doc_id") == F.col("rep")).join(bucket.select(F.col("id").alias("class")).distinct(), "class", "left_semi")
+    chosen = materialise(chosen.groupBy(F.col("class").alias("id")).agg(F.first("doc_id").alias("doc_id"), F.min("content").alias("content")), "near-chosen", rows=met)
+    wanted = named.join(chosen, ["doc_id", "content"]).dropDuplicates(["id"]).select("id", "text")
     sets = materialise(wanted.mapInPandas(_sets(width), "id long, items array<long>"), "near-sets", rows=min(total, met), per_file=4_000)
 
     linked = F.lit(100) * F.col("inter") >= F.lit(percent) * F.col("both")
@@ -249,10 +261,36 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
             if not more.isEmpty():
                 links = labels.where(F.col("id") != F.col("label")).select("id", F.col("label").alias("other")).union(more)
                 labels = components(links)
-    done = mapped.select("doc_id", "n_shingles", "rep")
-    done = done.withColumn("component_id", F.col("rep")) if labels is None else done.join(labels, done["rep"] == labels["id"], "left").withColumn("component_id", F.coalesce("label", "rep"))
-    done = done.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
-    nameless = docs.where(F.col("doc_id").isNull()).mapInPandas(_signatures(width, bands, rows), "doc_id long, n_shingles long, fp binary, bands array<long>")
+    if by_id:
+        # Rows of one doc_id with unlike sets are linked through their doc_id.
+        several = mapped.where(F.col("class").isNotNull()).groupBy("doc_id").agg(F.min("class").alias("other"), F.max("class").alias("__last")).where(F.col("other") != F.col("__last")).select("doc_id", "other")
+        several = materialise(several, "near-several", rows=total)
+        if not several.isEmpty():
+            same = mapped.where(F.col("class").isNotNull()).join(several, "doc_id").where(F.col("class") != F.col("other")).select(F.col("class").alias("id"), "other")
+            labels = components(same if labels is None else same.union(labels.where(F.col("id") != F.col("label")).select("id", F.col("label").alias("other"))))
+    done = mapped.select("doc_id", "content", "n_shingles", "class", "rep")
+    if labels is None:
+        return done.withColumn("component", F.col("class"))
+    found = materialise(labels.join(classes, labels["id"] == classes["class"]).select("class", "label", F.col("rep").alias("r")), "near-found", rows=total)
+    least = found.groupBy("label").agg(F.min("r").alias("least"))
+    found = materialise(found.join(least, "label").select("class", "label", "least"), "near-components", rows=total)
+    done = done.join(found, "class", "left")
+    return done.select("doc_id", "content", "n_shingles", "class", F.coalesce("label", "class").alias("component"), F.coalesce("least", "rep").alias("rep"))
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text; other columns are ignored).
+
+    Texts link when 100 * |A n B| >= percent * |A u B| of their sets of `width`-word shingles; fewer words are one
+    shingle. Shingles are compared as 64-bit hashes of their words, in the search and on the full sets alike. Null and
+    empty texts, and texts without words, link with nothing. A row without doc_id links with nothing, has a null
+    component_id and is kept. Rows that repeat a doc_id are one document: each links by its own text, and all share one
+    component. Empty tables give empty results.
+    """
+    found = linked_rows(docs, width=width, percent=percent, bands=bands, rows=rows)
+    by_doc = F.coalesce("rep", "doc_id")
+    done = found.select("doc_id", "n_shingles", by_doc.alias("component_id"), (F.col("doc_id") == by_doc).alias("kept"))
+    nameless = docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("content", _content()).mapInPandas(_signatures(width, bands, rows), SIGNATURE)
     return done.union(nameless.select("doc_id", "n_shingles", F.lit(None).cast("long"), F.lit(True)))
 
 
@@ -262,10 +300,19 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component stays, the one with the smallest doc_id (five-word shingles)."""
-    found = near_duplicates(docs, width=5)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti").select(*DOCUMENT_COLUMNS)
+    """Pipeline stage: one document of each component stays, the one with the smallest doc_id (five-word shingles).
+
+    Every row goes by its own text, so a row that repeats a doc_id with another text stays unless that text has a near
+    copy; of rows of the smallest doc_id that are near copies of each other the one with the least hash stays. Rows
+    without a doc_id or without words all stay, as do rows that repeat both doc_id and text of one that stays. Columns
+    besides those of documents are dropped.
+    """
+    found = linked_rows(docs, width=5, by_id=False).where(F.col("component").isNotNull())
+    place = F.struct("doc_id", "content")
+    last = found.groupBy("component").agg(F.min(place).alias("first"))
+    gone = materialise(found.join(last, "component").where(place != F.col("first")).select(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).distinct(), "near-gone")
+    rows = docs.select(*DOCUMENT_COLUMNS)
+    return rows.join(gone, (rows["doc_id"] == gone["__id"]) & (F.xxhash64(rows["doc_id"].cast("long"), rows["text"]) == gone["__content"]), "left_anti")
 
 
 SQL = r"""
