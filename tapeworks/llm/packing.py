@@ -93,20 +93,22 @@ def best_fit_packing(docs: DataFrame, *, capacities: Sequence[int] = CAPACITIES,
     """One row per piece: shard, bin, capacity and used of its bin, its slot there, doc_id, piece number, first word and length.
 
     Lengths are words of the whole text; null and empty texts are one piece of length 0. Repeated rows are packed each;
-    a null doc_id stays null. Other columns are ignored; an empty table gives no rows. The same rows give the same bins.
+    a null doc_id stays null; neither puts rows into one shard. Other columns are ignored; an empty table gives no rows.
+    The same files, read alike, give the same bins.
     """
     if not capacities or min(capacities) < 1:
         raise ValueError("capacities must be positive")
     spark, most = docs.sparkSession, max(capacities)
-    python_rows(spark, 4096)
+    python_rows(spark)
     words = F.size(words_of(F.col("text")))
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.cast("long").alias("n"))
     pieces = F.greatest(F.ceil(F.col("n") / most), F.lit(1)).cast("int")
     cut = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
     cut = cut.select("doc_id", "piece", (F.col("piece") * F.lit(most)).cast("long").alias("start"), F.least(F.lit(most), F.col("n") - F.col("piece") * F.lit(most)).cast("int").alias("length"))
-    cut = materialise(cut, "packing-pieces")
+    # Numbers that are written hold; they deal rows out evenly even where ids repeat or are null.
+    cut = materialise(cut.withColumn("row", F.monotonically_increasing_id()), "packing-pieces")
     shards = max(1, -(-cut.count() // shard_pieces))
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)).cast("long"))
+    dealt = cut.select("doc_id", "piece", "start", "length", F.pmod(F.xxhash64("row", "doc_id"), F.lit(shards)).cast("long").alias("shard"))
     return dealt.groupBy("shard").applyInPandas(_packer(tuple(capacities), overhead), SCHEMA)
 
 
@@ -116,5 +118,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: where every piece of every document goes."""
+    """Last pipeline stage: where every piece of every document goes; null and empty texts are pieces of length 0, repeated rows go each."""
     return best_fit_packing(docs)
