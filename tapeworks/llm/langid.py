@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from tapeworks.llm.common import held_out, materialise, python_rows, small_join, table
 
-#: Training rows of each language at most (those with the smallest hashed ids), and stretches of words from each.
-MAX_TRAIN = 1_000
-STRETCHES, STRETCH = 6, 24
+#: Training rows of each language at most (those with the smallest hashes); all their words are read, in stretches.
+MAX_TRAIN = 400
+STRETCH = 24
 BUCKETS = 1 << 17
 #: A training word seen so often is a lexicon entry.
 MIN_LEXICON = 3
@@ -162,25 +162,24 @@ def fit(stretches: list[list[str]], labels: list[int], k: int, seed: int = 0) ->
 
 def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = []
-        for lang, text in zip(batch["lang"], batch["text"], strict=True):
-            found = words_in(text)
-            n = min(STRETCHES, -(-len(found) // STRETCH))
-            out += [(lang, found[(i * len(found)) // n :][:STRETCH]) for i in range(n)]
+        out = [(lang, found[i : i + STRETCH]) for lang, text in zip(batch["lang"], batch["text"], strict=True) for found in [words_in(text)] for i in range(0, len(found), STRETCH)]
         yield pd.DataFrame({"lang": pd.Series([x[0] for x in out], dtype=object), "words": pd.Series([x[1] for x in out], dtype=object)})
 
 
 def train(docs: DataFrame, *, max_train: int = MAX_TRAIN) -> dict | None:
-    """The model learnt from docs (doc_id, text, lang); None without any word of known language."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
+    """The model learnt from docs (doc_id, text, lang); None without any word of known language.
+
+    Rows are chosen by a hash of id and text, each distinct one once, and all words of a chosen row are learnt from.
+    """
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("doc_id", "text").alias("content"))
     # The smallest hashes of a language are among its rows below twice the share that is wanted: no language's rows meet in one task.
     counts = materialise(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("__n")), "lang-counts")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52))
-    few = small_join(labelled, counts, ["lang"]).where(place / float(1 << 52) <= F.lit(2.0 * max_train + 50) / F.col("__n"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(place, "doc_id"))
-    ids = few.withColumn("r", rank).where(F.col("r") <= max_train)
-    ids = materialise(ids.select("doc_id", F.col("lang").alias("__lang")), "lang-train")
-    rows = docs.join(ids, "doc_id").where(F.col("lang") == F.col("__lang")).select("lang", "text")
+    place = F.pmod("content", F.lit(1 << 52))
+    few = small_join(labelled, counts, ["lang"]).where(place / float(1 << 52) <= F.lit(2.0 * max_train + 50) / F.col("__n")).select("lang", "content").distinct()
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(place, "content"))
+    ids = few.withColumn("r", rank).where(F.col("r") <= max_train).select("lang", "content")
+    ids = materialise(ids, "lang-train")
+    rows = docs.select("lang", "text", F.xxhash64("doc_id", "text").alias("content")).join(ids, ["lang", "content"]).dropDuplicates(["lang", "content"]).select("lang", "text")
     pdf = rows.mapInPandas(_stretches, "lang string, words array<string>").toPandas()
     pdf = pdf.assign(words=[list(w) for w in pdf["words"]], key=[" ".join(w) for w in pdf["words"]]).sort_values(["lang", "key"], ignore_index=True)
     if not len(pdf):
@@ -250,7 +249,7 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
     Null texts and texts without letters are `und` with score 0, as is everything if nothing could be learnt. Repeated
     rows each get a row; other columns are ignored; an empty table gives no rows.
     """
-    python_rows(docs.sparkSession, 512)
+    python_rows(docs.sparkSession)
     judged = docs.select("doc_id", "text").withColumn("held_out", held_out(4, 2))
     return judged.mapInPandas(partial(_predict, model), "doc_id long, held_out boolean, lang_pred string, score double")
 
