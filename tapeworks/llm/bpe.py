@@ -2,8 +2,9 @@
 
 Two bytes that are neighbours in no token of the vocabulary can't be merged across, so a cut between them is certain.
 Texts are cut where a character that is not white space precedes white space, if the vocabulary forces a boundary between
-those bytes (there the pre-tokenizer ends a piece too), and inside long runs of ASCII letters at forced letter pairs.
-Each distinct fragment is encoded and decoded once and remembered; results are concatenated.
+those bytes (there the pre-tokenizer ends a piece too). Each distinct fragment is cut on between any two letters, of
+whatever script, whose neighbouring bytes no token holds: letters of one run are one piece to the pre-tokenizer, so there
+the vocabulary alone decides. The parts are encoded on their own, once for each fragment, and the ids are concatenated.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from operator import add
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +23,6 @@ from tapeworks.llm.common import python_rows, table
 
 VOCABULARY = "byte_bpe_50k.json"
 WHITE_BYTES = b"\t\n\x0b\x0c\r "
-#: Letter runs of more characters than this are cut at forced letter pairs too.
-LONG = 48
 #: Remembered fragments in a worker; all are forgotten when there are more.
 MEMORY = 600_000
 
@@ -57,8 +57,8 @@ class ForcedBoundaryCodec:
         self.joined = joined
         self.cut = re.compile(self._pattern(), re.ASCII)
         letters = [chr(b) for b in (*range(0x41, 0x5B), *range(0x61, 0x7B))]
-        after = {a: "".join(b for b in letters if (ord(a), ord(b)) not in joined) for a in letters}
-        self.inner = re.compile("|".join(f"(?<={a})(?=[{b}])" for a, b in after.items() if b) or r"(?!)")
+        #: Pairs of ASCII letters that are cut.
+        self.apart = frozenset(a + b for a in letters for b in letters if (ord(a), ord(b)) not in joined)
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.known: dict[str, tuple[str, int, str]] = {}
 
@@ -73,10 +73,20 @@ class ForcedBoundaryCodec:
         return f"[{inside}]*[^{inside}]+(?:(?<=[{re.escape(loose)}\U00010000-\U0010ffff])[{inside}]+[^{inside}]+)*|[{inside}]+"
 
     def fragments(self, text: str) -> list[str]:
-        found = self.cut.findall(text)
-        if any(len(x) > LONG for x in found):
-            found = [y for x in found for y in ([x] if len(x) <= LONG or self.special.search(x) else [z for z in self.inner.split(x) if z])]
-        return found
+        return self.cut.findall(text)
+
+    def parts(self, fragment: str) -> list[str]:
+        """The fragment cut between letters at forced boundaries."""
+        if fragment.isascii():
+            if self.apart.isdisjoint(map(add, fragment, fragment[1:])):
+                return [fragment]
+            cuts = [i for i in range(1, len(fragment)) if fragment[i - 1 : i + 1] in self.apart]
+        else:
+            raw = [c.encode("utf-8", "surrogatepass") for c in fragment]
+            cuts = [i for i in range(1, len(raw)) if (raw[i - 1][-1], raw[i][0]) not in self.joined and fragment[i - 1].isalpha() and fragment[i].isalpha()]
+        if not cuts or self.special.search(fragment):
+            return [fragment]
+        return [fragment[a:b] for a, b in zip([0, *cuts], [*cuts, len(fragment)], strict=True)]
 
     def encode(self, text: str) -> list[int]:
         self._learn([text])
@@ -89,7 +99,9 @@ class ForcedBoundaryCodec:
         new = list(set().union(*parts).difference(self.known))
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            parts_of = [self.parts(x) for x in some]
+            flat = iter(self.tokenizer.encode_batch_fast([y for x in parts_of for y in x], add_special_tokens=False))
+            ids = [next(flat).ids if len(x) == 1 else [i for _ in x for i in next(flat).ids] for x in parts_of]
             back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
             for x, i, b in zip(some, ids, back, strict=True):
                 self.known[x] = (",".join(map(str, i)), len(i), b)
@@ -122,36 +134,37 @@ def default_path() -> str:
 
 def encode_documents(docs: DataFrame, *, path: str | None = None) -> DataFrame:
     """doc_id and ids (array of int) of every row; null text is empty, empty text has no ids. Other columns are ignored."""
-    path = path or default_path()
     python_rows(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": pd.Series([codec(path).encode(t or "") for t in batch["text"]], dtype=object)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": pd.Series([codec(path or default_path()).encode(t or "") for t in batch["text"]], dtype=object)})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, *, path: str | None = None) -> DataFrame:
     """doc_id and text of every row of ids; null ids are empty."""
-    path = path or default_path()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids = [[] if x is None else list(map(int, x)) for x in batch["ids"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": codec(path).tokenizer.decode_batch(ids, skip_special_tokens=False)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": codec(path or default_path()).tokenizer.decode_batch(ids, skip_special_tokens=False)})
 
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
 
 
 def encoding_digests(docs: DataFrame, *, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row: ids are made, hashed and decoded in the worker."""
-    path = path or default_path()
-    python_rows(docs.sparkSession, 64)
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row: ids are made, hashed and decoded in the worker.
+
+    Null text is empty; an empty text has no ids. Repeated rows each get a row, a null doc_id stays null. Other columns are
+    ignored; an empty table gives no rows. Without a path each worker takes the vocabulary installed where it runs.
+    """
+    python_rows(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = codec(path).digest([t or "" for t in batch["text"]])
+            found = codec(path or default_path()).digest([t or "" for t in batch["text"]])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [x[0] for x in found], "ids_sha256": [x[1] for x in found], "decoded_sha256": [x[2] for x in found]})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
