@@ -32,17 +32,16 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 SEPARATORS = " .*_-~"
 #: Channel costs (negative log probabilities).
 COST = {"same": 0.0, "leet": 0.7, "gap": 0.2, "boundary": 1.0, "drop": 0.4, "double": 3.0, "digit": 6.0}
-BEAM = 24
+#: A stretch may also be no word at all but a key or a number, drawn letter by letter: cost of each, and of such a stretch.
+KEY_LETTER, KEY = 3.0, 12.0
 #: Character classes of the language model: white space and marks, a-z, letters of Latin-1, all other letters.
 CLASSES = 64
 LEETED = re.compile(r"(?<![\w@$!|+€£])(?=[\w@$!|+(€£]*[a-zA-Z])(?:[^\W\d_]*[0-9@$!|+(€£]+(?=[^\W\d_])[\w@$!|+(€£]*|[^\W\d_]+[0-9@$|+€£]+)(?![\w@$|+€£]|\.\w)")
 LEET_HINT = re.compile(r"[0-9@$!|+(€£][a-zA-Z]|[a-zA-Z][0-9@$|+€£]")
-SPACED = re.compile(r"(?<![^\W_])[\w@$!|+€£](?:[ .*_~-]{1,2}[\w@$!|+€£]){3,}(?![^\W_])")
+SPACED = re.compile(r"(?<![^\W_])[\w@$!|+€£](?:[ .*_~-]{1,4}[\w@$!|+€£]){2,}(?![^\W_])")
 DRAWN_HINT = re.compile(r"([^\W\d_])\1\1")
 DRAWN = re.compile(r"[^\W\d_]*?([^\W\d_])\1\1[^\W\d_]*")
 WORDS = re.compile(r"[^\W\d_]+")
-#: A disguised word is not longer; longer tokens (keys, digests) are left alone.
-MOST_LEET = 24
 MEMORY = 200_000
 
 
@@ -111,47 +110,52 @@ class Deobfuscator:
         return out
 
     def decode(self, stretch: str) -> str:
-        """The likeliest reading of a stretch between word boundaries."""
+        """The likeliest reading of a stretch between word boundaries, by the Viterbi algorithm; the stretch itself if a key is likelier.
+
+        A state is the last two character classes read. A position has few readings, so few states are reached at any.
+        """
         chars = stretch.lower()
-        if (done := self.known.get(chars)) is not None:
-            return done
+        if chars in self.known:
+            return self.known[chars] or stretch
         kind = lambda x: self.classes[ord(x)] if ord(x) < 0x10000 else 63
         # state: classes of the last two characters of the reading -> (cost, back pointer)
-        beam: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+        reached: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for i in range(len(chars)):
             options = [(x, cost, kind(x) if x else 0) for x, cost in self._options(chars, i)]
             new: dict[tuple[int, int], tuple[float, tuple]] = {}
-            for (a, b), (cost, back) in beam.items():
+            for (a, b), (cost, back) in reached.items():
                 row = self.costs[a][b]
                 for x, extra, k in options:
                     state, total, path = ((a, b), cost + extra, back) if not x else ((b, k), cost + extra + row[k], (back, x))
                     if (old := new.get(state)) is None or total < old[0]:
                         new[state] = (total, path)
-            beam = dict(sorted(new.items(), key=lambda y: y[1][0])[:BEAM]) if len(new) > BEAM else new
-        _, back = min(beam.values(), key=lambda y, end=None: y[0])
+            reached = new
+        cost, back = min(reached.values(), key=lambda y: y[0])
         out = []
         while back:
             back, x = back
             out.append(x)
         if len(self.known) >= MEMORY:
             self.known.clear()
-        self.known[chars] = done = "".join(reversed(out))
-        return done
+        # A key is drawn letter by letter; letters written again cost it nothing, as they do for a word.
+        fresh = sum(a != b and a not in SEPARATORS for a, b in zip(chars, " " + chars[:-1], strict=True))
+        self.known[chars] = "".join(reversed(out)) if cost <= KEY + KEY_LETTER * fresh + COST["drop"] * (len(chars) - fresh) else ""
+        return self.known[chars] or stretch
 
     def _joined(self, m: re.Match) -> str:
         """Both readings of spaced-out letters: with the word boundaries that the model sets, and as one word."""
-        if len(set(m[0].lower())) <= 3:
+        if not any(map(str.isalpha, m[0])):
             return m[0]
         read = self.decode(m[0])
         return f" {read} {read.replace(' ', '')} " if " " in read else f" {read} "
 
     def restore(self, text: str) -> str:
         if LEET_HINT.search(text):
-            text = LEETED.sub(lambda m: self.decode(m[0]) if len(m[0]) <= MOST_LEET else m[0], text)
+            text = LEETED.sub(lambda m: self.decode(m[0]), text)
         if SPACED.search(text):
             text = SPACED.sub(self._joined, text)
         if DRAWN_HINT.search(text):
-            text = DRAWN.sub(lambda m: self.decode(m[0]) if len(m[0]) <= 4 * MOST_LEET else m[0], text)
+            text = DRAWN.sub(lambda m: self.decode(m[0]), text)
         return text
 
 
@@ -172,7 +176,8 @@ def _training_rows(costs: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterat
 
 def fit(train: DataFrame, costs: np.ndarray) -> tuple[float, dict[str, float]]:
     """Intercept and word weights of a logistic regression over word presence; without both labels, the base rate."""
-    rows = materialise(train.mapInPandas(partial(_training_rows, costs), "label int, group long, words array<string>"), "toxic-train")
+    rows = train.mapInPandas(partial(_training_rows, costs), "label int, group long, words array<string>").withColumn("row", F.monotonically_increasing_id())
+    rows = materialise(rows, "toxic-train")
     toxic = (F.col("label") == 1).cast("int")
     ones, zeros = rows.select("group", "label").distinct().agg(F.sum(toxic), F.sum(1 - toxic)).first()
     ones, zeros = max(ones or 0, 1), max(zeros or 0, 1)
@@ -180,9 +185,9 @@ def fit(train: DataFrame, costs: np.ndarray) -> tuple[float, dict[str, float]]:
     share = (F.col("a") + F.col("b")) / (ones + zeros)
     z = (F.col("a") / ones - F.col("b") / zeros) / F.sqrt(share * (1 - share) * (1 / ones + 1 / zeros))
     chosen = materialise(spread.where((F.col("a") + F.col("b") >= MIN_GROUPS) & (share < 1)).where(F.abs(z) >= MIN_Z).select("w"), "toxic-words")
-    kept = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "label", "group", F.explode_outer("words").alias("w"))
+    kept = rows.select("row", "label", "group", F.explode_outer("words").alias("w"))
     kept = kept.join(chosen, "w", "left_semi").groupBy("row").agg(F.collect_list("w").alias("ws"))
-    base = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "label", "group")
+    base = rows.select("row", "label", "group")
     pdf = base.join(kept, "row", "left").toPandas().sort_values("row", ignore_index=True)
     if not len(pdf):
         return 0.0, {}
