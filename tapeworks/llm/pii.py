@@ -24,14 +24,18 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: An identifier-like token: five or more characters from its first digit on.
-TOKEN = r"(?<![A-Za-z0-9_.@+-])[A-Za-z_.@+-]*+[0-9][A-Za-z0-9_.@+-]{4,}+"
+#: An identifier-like token: it holds a digit, and MIN_TOKEN characters.
+TOKEN = r"(?<![A-Za-z0-9_.@+-])[A-Za-z_.@+-]*+[0-9][A-Za-z0-9_.@+-]*+"
+MIN_TOKEN = 4
 SECRET = r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{32,}$"
 #: A pattern is trusted with this many distinct known instances and this share of all its distinct instances.
 MIN_SUPPORT, MIN_CONFIDENCE = 5, 0.8
 MIN_SCORE = 0.75
-ROUNDS = 2
-CONTEXT_WORDS, CONTEXT_CHARS = 3, 48
+#: Rounds go on until no instance is added or changes its kind; the limit only ends an unending change of kinds.
+MAX_ROUNDS = 50
+CONTEXT_WORDS = 3
+#: The last words of a text that is read backwards, whatever their length.
+LAST_WORDS = r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){0,3}+"
 SPAN = "struct<s:int,e:int,v:string,c:string>"
 
 
@@ -69,17 +73,32 @@ def _spans(text: str, pattern: str, gate: Column) -> tuple[Column, Column]:
 
 
 def _placed(pieces: Column, matches: Column) -> Column:
-    """Matches with their places, and the text just before each."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    """Matches with their places, and the words just before each.
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["p"])
-        e = s + F.length(x["m"])
-        span = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("v"), F.substring(x["p"], -CONTEXT_CHARS, CONTEXT_CHARS).alias("c"))
+    An array that grows in a fold is copied at every step, so matches are placed in blocks of the root of their number and
+    the blocks are joined: a text of n matches takes n ** 1.5 steps.
+    """
+    n = F.size(matches)
+    block = F.ceil(F.sqrt(n)).cast("int")
+    none = F.array().cast(f"array<{SPAN}>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+
+    def step(acc: Column, i: Column) -> Column:
+        piece, match = F.get(pieces, i), F.get(matches, i)
+        s = acc["at"] + F.length(piece)
+        e = s + F.length(match)
+        before = F.reverse(F.regexp_extract(F.reverse(piece), LAST_WORDS, 0))
+        span = F.struct(s.alias("s"), e.alias("e"), match.alias("v"), before.alias("c"))
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    pairs = F.transform(matches, lambda m, i: F.struct(F.get(pieces, i).alias("p"), m.alias("m")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def moved(by: Column, x: Column) -> Column:
+        return F.struct((x["s"] + by).alias("s"), (x["e"] + by).alias("e"), x["v"].alias("v"), x["c"].alias("c"))
+
+    def join(acc: Column, x: Column) -> Column:
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.transform(x["out"], lambda y: moved(acc["at"], y))).alias("out"))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: F.aggregate(F.sequence(b * block, F.least((b + 1) * block, n) - 1), start, step))
+    return F.aggregate(blocks, start, join, lambda acc: acc["out"])
 
 
 def _context(before: Column) -> Column:
@@ -113,7 +132,7 @@ def find_base(docs: DataFrame) -> DataFrame:
     clean = F.transform("token", lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.length(F.regexp_replace(x["v"], r"[._@+-]+$", ""))).alias("e"), F.regexp_replace(x["v"], r"[._@+-]+$", "").alias("v"), x["c"].alias("c")))
     df = df.withColumn("token", clean)
     apart = lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    df = df.withColumn("token", F.filter("token", lambda x: apart(x) & (F.length(x["v"]) >= 6)))
+    df = df.withColumn("token", F.filter("token", lambda x: apart(x) & (F.length(x["v"]) >= MIN_TOKEN)))
     made = [F.transform(k, partial(_instance, F.lit(i))) for i, k in enumerate(PATTERNS)]
     secret = F.transform("token", lambda x: _instance(F.when(x["v"].rlike(SECRET), F.lit(KINDS.index("secret"))), x))
     return df.select("doc_id", "__row", "base", F.concat(*made, secret).alias("instances"))
@@ -124,8 +143,9 @@ def learn(instances: DataFrame, most: int) -> DataFrame:
     seeds = materialise(instances.where(F.col("k").isNotNull()).groupBy("v").agg(F.min("k").alias("k")).withColumn("score", F.lit(1.0)), "pii-seeds", rows=most)
     links = materialise(instances.select("v", F.explode("c").alias("p")).distinct(), "pii-links", rows=CONTEXT_WORDS * most)
     total = links.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SUPPORT)
-    known = seeds
-    for _ in range(ROUNDS):
+    known, size = seeds, None
+    state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum((F.xxhash64("v", "k") % (1 << 40)).cast("long"))).first())
+    for _ in range(MAX_ROUNDS):
         votes = links.join(known, "v").groupBy("p", "k").agg(F.sum("score").alias("votes"), F.count(F.lit(1)).alias("support"))
         rated = votes.where(F.col("support") >= MIN_SUPPORT).join(total, "p").withColumn("confidence", F.col("votes") / F.col("n"))
         trusted = materialise(rated.where(F.col("confidence") >= MIN_CONFIDENCE).select("p", "k", "confidence"), "pii-patterns", rows=most)
@@ -134,6 +154,9 @@ def learn(instances: DataFrame, most: int) -> DataFrame:
         best = scored.groupBy("v").agg(F.max_by(F.struct("k", "score"), F.struct("score", -F.col("k"))).alias("b")).select("v", "b.k", "b.score")
         new = best.where(F.col("score") >= MIN_SCORE).join(seeds, "v", "left_anti")
         known = materialise(seeds.union(new), "pii-known", rows=most)
+        size, last = state(known), size
+        if size == last:
+            break
     return known.select("v", F.col("k").alias("kind"))
 
 
@@ -187,7 +210,10 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: personal data is replaced by the name of its kind; every document stays. n_chars follows the text."""
+    """Pipeline stage: personal data is replaced by the name of its kind; every document stays. n_chars follows the text.
+
+    Null texts stay null, repeated rows each stay, an empty table stays empty. Columns besides those of documents are dropped.
+    """
     found = personal_data(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("__row").alias("__r"), "spans").distinct()
     rows = docs.select(*DOCUMENT_COLUMNS).withColumn("__row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     rows = rows.join(found, rows["doc_id"].eqNullSafe(found["__id"]) & (rows["__row"] == found["__r"]), "left")
