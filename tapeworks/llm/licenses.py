@@ -1,15 +1,19 @@
 """License scan: a paragraph classifier with an unknown class, confirmed by templates.
 
-Paragraphs (lines) become sparse presence vectors of word n-grams. A multinomial logistic regression tells licence
-families from ordinary text. It is trained here: on notices made from the templates below by dropping, changing and
-surrounding words, and on paragraphs of a bounded sample of documents. A temperature fitted on held-back examples
-calibrates the probabilities. A paragraph that the model gives to a family is `unknown` where its probability is below
-the family's threshold or no template of the family is found in it.
+Lines that don't end a sentence go on in the next one, so a paragraph may be wrapped over many lines; comment marks at
+their beginning are left out. Paragraphs become sparse presence vectors of word n-grams. A multinomial logistic regression
+tells licence families, licences of no known family and ordinary text apart. It is trained here: on notices made from the
+templates below by dropping, changing and surrounding words, on the same with the names that tell families apart replaced
+(these are of no known family), and on paragraphs of a bounded sample of documents, both ordinary ones and those that hold
+a template. Its n-grams are those frequent in all of these. A temperature fitted on held-back examples calibrates the
+probabilities. A paragraph is of a family if the model gives it to that family, at a probability of its threshold or more,
+and a template of the family is found in it; else it is `unknown` if any licence at all is likely enough.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -20,35 +24,72 @@ from pyspark.sql import functions as F
 
 from tapeworks.llm.common import python_rows, table
 
-#: Short notices of licence families, as commonly published (fixed values).
+#: Notices and tags of licence families, as commonly published (fixed values).
 TEMPLATES = {
-    "agpl-3.0": ("This program is licensed under the GNU Affero General Public License, version 3.", "GNU Affero General Public License as published by the Free Software Foundation"),
-    "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License.", "Released under the BSD License."),
-    "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "cc0": ("Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    "gpl-2.0": ("This work is licensed under the GNU General Public License, version 2.", "GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
-    "gpl-3.0": ("This work is licensed under the GNU General Public License, version 3.", "GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    "lgpl": ("This library is licensed under the GNU Lesser General Public License, version 3.", "GNU Lesser General Public License as published by the Free Software Foundation"),
-    "mit": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    "mpl-2.0": ("Licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    "agpl-3.0": (
+        "This program is licensed under the GNU Affero General Public License, version 3.", "GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ),
+    "apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0",
+    ),
+    "bsd": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License.", "Released under the BSD License.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause",
+    ),
+    "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"),
+    "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+    "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+    "cc0": ("Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "SPDX-License-Identifier: CC0-1.0"),
+    "gpl-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.", "GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later",
+    ),
+    "gpl-3.0": (
+        "This work is licensed under the GNU General Public License, version 3.", "GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later",
+    ),
+    "lgpl": ("This library is licensed under the GNU Lesser General Public License, version 3.", "GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    "mit": (
+        "Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT",
+    ),
+    "mpl-2.0": ("Licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
     "reserved": ("All rights reserved.", "Copyright. All rights reserved. No part of this work may be reproduced without permission."),
 }
+#: Words that name a family: replaced by invented names, a notice is of no known family.
+NAMES = frozenset("gnu affero lesser general apache mozilla mit bsd cc cc0 creative commons attribution attribution-noncommercial attribution-sharealike by by-nc by-sa 3-clause free software foundation agpl-3.0-only agpl-3.0-or-later apache-2.0 bsd-3-clause bsd-2-clause cc-by-4.0 cc-by-nc-4.0 cc-by-sa-4.0 cc0-1.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0-only gpl-3.0-or-later lgpl-3.0-only lgpl-2.1-or-later mpl-2.0".split())
 FAMILIES = sorted(TEMPLATES)
 NONE = "none"
 UNKNOWN = "unknown"
-#: Documents whose paragraphs teach ordinary text: those with the smallest hashed ids, and paragraphs taken at most.
+#: The training sample: documents with the smallest hashed ids, and paragraphs taken of them at most.
 MAX_DOCS, MAX_PARAGRAPHS = 1_500, 12_000
 VARIANTS = 240
 NGRAMS = (1, 2, 3)
+#: An n-gram takes part if so many notices, or so many ordinary paragraphs, of the training examples hold it.
+MIN_NOTICES, MIN_ORDINARY = 3, 30
 STEPS, RATE, L2 = 250, 0.1, 1e-4
 #: Share of a template's word pairs that must be there to confirm a family.
 CONFIRM = 0.6
-#: A family's threshold lets at most this share of held-back ordinary paragraphs through, and is at least MIN_P.
-FALSE_SHARE, MIN_P = 1e-3, 0.5
+#: A class's threshold lets at most this share of held-back ordinary paragraphs through, and is at least MIN_P, or MIN_UNKNOWN
+#: where no template confirms it.
+FALSE_SHARE, MIN_P, MIN_UNKNOWN = 1e-3, 0.5, 0.9
 TOKEN = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+#: Comment marks at the beginning of a line, and what ends a paragraph's line.
+MARKS = re.compile(r"^[ \t]*(?:[#*;%|>]+|//+|/\*+|--+|<!--)?[ \t]*")
+CLOSED = re.compile(r"[.!?:;\u3002\uff01\uff1f][\"')\]\u201d\u2019]*[ \t\r]*(?:\*/|-->)?$")
+
+
+def paragraphs(text: str | None) -> list[str]:
+    """Paragraphs: lines with words, each joined with the next one while its sentence is open."""
+    out, open_ = [], False
+    for line in (text or "").split("\n"):
+        body = MARKS.sub("", line, count=1)
+        if not body or body.isspace():
+            open_ = False
+            continue
+        if open_:
+            out[-1].append(body)
+        else:
+            out.append([body])
+        open_ = not CLOSED.search(body)
+    return [" ".join(x) for x in out]
 
 
 def tokens(paragraph: str) -> list[str]:
@@ -86,39 +127,64 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(paragraphs: list[list[str]], seed: int = 0) -> dict:
-    """Weights of the n-grams, bias, temperature and thresholds. paragraphs: words of ordinary ones."""
+def strangers(known: list[tuple[list[str], str]], rng: np.random.Generator) -> Iterator[tuple[list[str], str]]:
+    """Notices of no known family: what names the family is replaced by invented names."""
+    letters = np.array(list("abcdefghijklmnoprstuvwyz"))
+    for words, _ in known:
+        if sum(w in NAMES for w in words):
+            invented = {w: "".join(rng.choice(letters, int(rng.integers(3, 9)))) for w in NAMES}
+            yield [invented.get(w, w) for w in words], UNKNOWN
+
+
+def fit(sample: list[list[str]], seed: int = 0) -> dict:
+    """Weights of the n-grams, bias, temperature and thresholds. sample: words of paragraphs, of any kind."""
     rng = np.random.default_rng(seed)
-    ordinary = [p for p in paragraphs if p and not any(confirmed(f, p) for f in FAMILIES)]
-    data = [*variants(ordinary, rng), *((p, NONE) for p in ordinary), ([], NONE)]
-    classes = [NONE, *FAMILIES]
-    # n-grams of templates, and words of ordinary paragraphs that templates hold: all other n-grams have no weight
-    vocabulary = {g: i for i, g in enumerate(sorted(set().union(*(grams(tokens(x)) for t in TEMPLATES.values() for x in t))))}
-    x = np.zeros((len(data), len(vocabulary)), np.float32)
+    held = [(p, next((f for f in FAMILIES if confirmed(f, p)), NONE)) for p in sample if p]
+    ordinary = [p for p, f in held if f == NONE]
+    notices = [*variants(ordinary, rng), *(x for x in held if x[1] != NONE)]
+    # As many strangers as one family has.
+    drawn = [notices[i] for i in rng.permutation(len(notices))[: 2 * VARIANTS]]
+    data = [*notices, *strangers(drawn, rng), *((p, NONE) for p in ordinary), ([], NONE)]
+    classes = [NONE, *FAMILIES, UNKNOWN]
+    sets = [grams(words) for words, _ in data]
+    counts = (Counter(), Counter())
+    for found, (_, family) in zip(sets, data, strict=True):
+        counts[family == NONE].update(found)
+    vocabulary = {g: i for i, g in enumerate(sorted({g for g, n in counts[0].items() if n >= MIN_NOTICES} | {g for g, n in counts[1].items() if n >= MIN_ORDINARY}))}
     y = np.array([classes.index(f) for _, f in data])
-    for r, (words, _) in enumerate(data):
-        x[r, [vocabulary[g] for g in grams(words) if g in vocabulary]] = 1
+    # The presence matrix as the columns of its ones, row after row.
+    ones = [np.fromiter((vocabulary[g] for g in found if g in vocabulary), np.int64) for found in sets]
     back = rng.random(len(data)) < 0.2
-    xt, yt = x[~back], y[~back]
-    w, b = np.zeros((len(vocabulary), len(classes)), np.float32), np.zeros(len(classes), np.float32)
-    weight = (1 / np.bincount(yt, minlength=len(classes)).clip(1))[yt]
+    k, n = len(classes), len(vocabulary)
+
+    def rows(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        some = [ones[i] for i in np.flatnonzero(chosen)]
+        return np.repeat(np.arange(len(some)), [len(x) for x in some]), np.concatenate(some) if some else np.zeros(0, np.int64), len(some)
+
+    def times(part: tuple[np.ndarray, np.ndarray, int], w: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(part[0], w[part[1], c], part[2]) for c in range(k)], 1)
+
+    train, yt = rows(~back), y[~back]
+    w, b = np.zeros((n, k)), np.zeros(k)
+    weight = (1 / np.bincount(yt, minlength=k).clip(1))[yt]
     weight[yt == 0] *= 4
-    weight = (weight / weight.sum()).astype(np.float32)
+    weight /= weight.sum()
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
     for t in range(1, STEPS + 1):
-        p = softmax(xt @ w + b)
+        p = softmax(times(train, w) + b)
         p[np.arange(len(yt)), yt] -= 1
         p *= weight[:, None]
-        gw, gb = xt.T @ p + L2 * w, p.sum(0)
+        gw, gb = np.stack([np.bincount(train[1], p[train[0], c], n) for c in range(k)], 1) + L2 * w, p.sum(0)
         mw, vw, mb, vb = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw * gw, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         w -= RATE * (mw / (1 - 0.9**t)) / (np.sqrt(vw / (1 - 0.99**t)) + 1e-7)
         b -= RATE * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-7)
-    z, yb = x[back] @ w + b, y[back]
+    z, yb = times(rows(back), w) + b, y[back]
     losses = {t: -np.log(softmax(z / t)[np.arange(len(yb)), yb] + 1e-12).mean() for t in np.geomspace(0.25, 8, 41)} if len(yb) else {1.0: 0.0}
     temperature = min(losses, key=losses.get)
     p = softmax(z / temperature)[yb == 0]
-    thresholds = {f: float(max(MIN_P, np.quantile(p[:, i + 1], 1 - FALSE_SHARE) if len(p) else 0)) for i, f in enumerate(FAMILIES)}
-    return {"classes": classes, "vocabulary": vocabulary, "weights": w, "bias": b, "temperature": float(temperature), "thresholds": thresholds}
+    p[:, -1] = 1 - p[:, 0]  # any licence, known or not
+    thresholds = {f: float(max(MIN_UNKNOWN if f == UNKNOWN else MIN_P, np.quantile(p[:, i + 1], 1 - FALSE_SHARE) if len(p) else 0)) for i, f in enumerate(classes[1:])}
+    return {"classes": classes, "vocabulary": vocabulary, "weights": w.astype(np.float32), "bias": b, "temperature": float(temperature), "thresholds": thresholds}
 
 
 class Scanner:
@@ -126,7 +192,7 @@ class Scanner:
 
     def __init__(self, model: dict):
         self.model = model
-        self.single = {g for g in model["vocabulary"] if " " not in g}
+
         # What one word can add to a family over ordinary text at most: paragraphs of too little are skipped exactly.
         w = model["weights"]
         gain = (w[:, 1:] - w[:, :1]).max(1)
@@ -147,12 +213,14 @@ class Scanner:
         family = m["classes"][best]
         if not best:
             return NONE, NONE, float(p[0])
-        sure = p[best] >= m["thresholds"][family] and confirmed(family, words)
-        return (family if sure else UNKNOWN), family, float(p[best])
+        if family != UNKNOWN and p[best] >= m["thresholds"][family] and confirmed(family, words):
+            return family, family, float(p[best])
+        # No family for sure: a licence all the same, if ordinary text is unlikely enough.
+        return (UNKNOWN, family, float(1 - p[0])) if 1 - p[0] >= m["thresholds"][UNKNOWN] else (NONE, NONE, float(p[0]))
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, str, str, float]]]:
         """Number of paragraphs with words, and (paragraph, verdict, family, probability) of those that aren't ordinary."""
-        lines = [x for x in (text or "").split("\n") if x and not x.isspace()]
+        lines = paragraphs(text)
         low = (text or "").lower()
         found = []
         if sum(self.gain.get(w, 0.0) for w in self.gain.keys() & set(TOKEN.findall(low))) > self.need:
@@ -177,7 +245,7 @@ def _scan(model: dict, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
 
 def _paragraphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        found = [tokens(line) for text in batch["text"] if text for line in text.split("\n")]
+        found = [tokens(x) for text in batch["text"] for x in paragraphs(text)]
         yield pd.DataFrame({"words": pd.Series([x for x in found if x], dtype=object)})
 
 
