@@ -5,7 +5,7 @@ estimate is found by concentration steps from two deterministic starts: the subs
 smallest distances gives the next centre and scatter, and the start whose scatter has the smaller determinant wins.
 Rows beyond the cut-off Mahalanobis distance are rejected. Everything is DataFrame arithmetic: the Cholesky factor is
 unrolled into columns, sums are exact integers (vectors lie on a grid of thousandths), and quantiles are exact because
-the grid bounds how many values there are. All aggregates combine map-side, so an uneven source is no hot task.
+vectors and logarithms of distances lie on grids, which bound how many values there are. All aggregates combine map-side, so an uneven source is no hot task.
 """
 
 from __future__ import annotations
@@ -21,18 +21,23 @@ MAX_REPEAT_SHARE = 30
 WINDOW = 8
 #: Share of a group's rows in the concentrated subset.
 H = 0.75
-STEPS = 4
+#: Concentration steps go on until no group's scatter shrinks; each step lowers it, so they end. This many are never reached.
+MAX_STEPS = 40
+CONVERGED = 1e-4
 #: Groups of fewer rows use the estimate of their language, then of all rows; below that nothing is rejected.
 MIN_GROUP = 100
 GRID = 1000
 #: Statistic -> least standard deviation that a group is taken to have (so constant statistics don't make a singular scatter).
-FLOORS = {"word_length": 0.12, "symbols": 0.2, "dup_lines": 0.2, "repeats": 0.2, "capitals": 0.08}
+FLOORS = {"word_length": 0.12, "symbols": 0.2, "dup_lines": 0.1, "repeats": 0.1, "capitals": 0.08}
 D = len(FLOORS)
 #: Median of a chi-square variable with D degrees of freedom (Wilson-Hilferty), which the distances are scaled to.
 CHI2_MEDIAN = D * (1 - 2 / (9 * D)) ** 3
 #: Cut-off of the scaled distance. Gaussian rows stay far below; only gross outliers are beyond.
 CUT = 8.0
-MAX_DISTANCE = 100.0
+#: A group's scale is taken to be at least this.
+MIN_SCALE = 0.5
+#: Distances are compared on a grid of so many steps for each factor of e, so quantiles have few values however far rows are.
+DISTANCE_GRID = 1000
 
 
 def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -95,15 +100,24 @@ def _estimates(sums: DataFrame) -> DataFrame:
     return df.select("key", "start", logdet.alias("logdet"), *keep)
 
 
+def _place(distance: Column) -> Column:
+    return F.round(F.log1p(distance) * DISTANCE_GRID).cast("long")
+
+
+def _value(place: Column) -> Column:
+    """The distance at a place on the grid."""
+    return F.expm1(place / DISTANCE_GRID)
+
+
 def _distance(df: DataFrame, name: str) -> DataFrame:
-    """Mahalanobis distance by forward substitution, on a grid of hundredths and at most MAX_DISTANCE."""
+    """The place of the Mahalanobis distance on the logarithmic grid, by forward substitution."""
     for i in range(D):
         rest = F.col(f"v{i}") / GRID - F.col(f"m{i}")
         for j in range(i):
             rest = rest - F.col(f"l{i}_{j}") * F.col(f"__y{j}")
         df = df.withColumn(f"__y{i}", rest / F.col(f"l{i}_{i}"))
     square = sum((F.col(f"__y{i}") * F.col(f"__y{i}") for i in range(1, D)), F.col("__y0") * F.col("__y0"))
-    df = df.withColumn(name, F.least(F.round(F.sqrt(square), 2), F.lit(MAX_DISTANCE)))
+    df = df.withColumn(name, _place(F.sqrt(square)))
     return df.drop(*[f"__y{i}" for i in range(D)], *[f"m{i}" for i in range(D)], *[f"l{i}_{j}" for i in range(D) for j in range(i + 1)], "logdet")
 
 
@@ -136,15 +150,17 @@ def mcd_estimates(stats: DataFrame, members: DataFrame) -> DataFrame:
     spread = materialise(off.groupBy("key").agg(*[F.first(f"c{i}").alias(f"c{i}") for i in range(D)], *[F.percentile(F.abs(F.col(f"v{i}") - F.col(f"c{i}")), 0.5).alias(f"d{i}") for i in range(D)]), "mcd-spread", rows=keys)
     floors = list(FLOORS.values())
     z = [F.abs(F.col(f"v{i}") - F.col(f"c{i}")) / F.greatest(1.4826 * F.col(f"d{i}"), F.lit(floors[i] * GRID)) for i in range(D)]
-    far = lambda c: F.least(F.round(c, 2), F.lit(MAX_DISTANCE))
-    starts = F.array(F.struct(F.lit(0).alias("start"), far(F.sqrt(sum((x * x for x in z[1:]), z[0] * z[0]))).alias("d")), F.struct(F.lit(1).alias("start"), far(F.greatest(*z)).alias("d")))
+    starts = F.array(F.struct(F.lit(0).alias("start"), _place(F.sqrt(sum((x * x for x in z[1:]), z[0] * z[0]))).alias("d")), F.struct(F.lit(1).alias("start"), _place(F.greatest(*z)).alias("d")))
     at = small_join(rows, spread, ["key"]).select("key", *[f"v{i}" for i in range(D)], F.inline(starts))
-    for _ in range(STEPS):
+    found = None
+    for _ in range(MAX_STEPS):
         bound = materialise(at.groupBy("key", "start").agg(F.percentile("d", H).alias("bound")), "mcd-bound", rows=keys)
         inner = small_join(at, bound, ["key", "start"]).where(F.col("d") <= F.col("bound"))
-        found = materialise(_estimates(inner.groupBy("key", "start").agg(*_sums())), "mcd-step", rows=keys)
+        last, found = found, materialise(_estimates(inner.groupBy("key", "start").agg(*_sums())), "mcd-step", rows=keys)
         at = _distance(small_join(rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1)))), found, ["key", "start"]), "d")
-    scale = at.groupBy("key", "start").agg((F.percentile("d", 0.5) / F.sqrt(F.lit(CHI2_MEDIAN))).alias("scale"))
+        if last is not None and found.join(last.select("key", "start", F.col("logdet").alias("was")), ["key", "start"]).where(F.col("was") - F.col("logdet") > CONVERGED).isEmpty():
+            break
+    scale = at.groupBy("key", "start").agg((_value(F.percentile("d", 0.5)) / F.sqrt(F.lit(CHI2_MEDIAN))).alias("scale"))
     both = found.join(scale, ["key", "start"])
     best = both.groupBy("key").agg(F.min_by(F.struct(*[c for c in both.columns if c != "key"]), F.struct("logdet", "start")).alias("b"))
     return materialise(best.select("key", "b.*"), "mcd-best", rows=keys)
@@ -156,7 +172,7 @@ def _row() -> Column:
 
 
 def quality_rules(docs: DataFrame, *, min_group: int = MIN_GROUP, cut: float = CUT) -> DataFrame:
-    """doc_id, the base columns, distance (null where there is no estimate or the base failed), kept, and __row, a hash of the row.
+    """doc_id, the base columns, distance (by the scale of its group; null where there is no estimate or the base failed), kept (distance at most cut), and __row, a hash of the row.
 
     docs needs doc_id, text, lang, source; other columns are ignored. Null lang or source is a value of its own.
     Repeated rows count as often as they come. With fewer than min_group rows that pass the base, nothing else is
@@ -167,8 +183,8 @@ def quality_rules(docs: DataFrame, *, min_group: int = MIN_GROUP, cut: float = C
     use, members = routes(stats, min_group)
     best = mcd_estimates(stats, members)
     routed = small_join(stats, materialise(use.join(best, use["use"] == best["key"], "left").drop("key", "start"), "mcd-use", rows=members.count()), ["l", "s"], how="left")
-    scored = _distance(routed, "__d").withColumn("distance", F.when(~F.col("base_failed"), F.col("__d") / F.greatest(F.col("scale"), F.lit(1e-3))))
-    kept = ~F.col("base_failed") & ~F.coalesce((F.col("__d") > cut * F.greatest(F.col("scale"), F.lit(0.5))), F.lit(False))
+    scored = _distance(routed, "__d").withColumn("distance", F.when(~F.col("base_failed"), _value(F.col("__d")) / F.greatest(F.col("scale"), F.lit(MIN_SCALE))))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))
     return scored.withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance", "__row")
 
 
