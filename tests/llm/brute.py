@@ -75,12 +75,16 @@ def quality_kept(docs: list[tuple[int, str | None, str | None, str | None]]) ->
         z = np.abs(x - med) / np.maximum(1.4826 * np.quantile(np.abs(x - med), 0.5, axis=0), floors)
         found = []
         for d in (np.sqrt((z * z).sum(1)), z.max(1)):
-            d = np.minimum(np.round(d, 2), 100)
-            for _ in range(Q.STEPS):
+            d, last = half_up(np.log1p(d) * 1000), np.inf
+            while True:
                 inner = x[d <= np.quantile(d, Q.H) + 1e-9]
                 mean, cov = inner.mean(0), np.cov(inner.T, bias=True) + np.diag(floors**2)
-                d = np.minimum(np.round(np.sqrt(np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov), x - mean)), 2), 100)
-            found.append((np.linalg.slogdet(cov)[1], mean, cov, np.quantile(d, 0.5) / np.sqrt(Q.CHI2_MEDIAN)))
+                d = half_up(np.log1p(np.sqrt(np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov), x - mean))) * 1000)
+                now = np.linalg.slogdet(cov)[1] / 2
+                if last - now <= Q.CONVERGED:
+                    break
+                last = now
+            found.append((np.linalg.slogdet(cov)[1], mean, cov, np.expm1(np.quantile(d, 0.5) / 1000) / np.sqrt(Q.CHI2_MEDIAN)))
         best[k] = min(found, key=lambda f: f[0])
     for i, (v, lang, s) in rows.items():
         k = key(lang, s)
@@ -89,7 +93,7 @@ def quality_kept(docs: list[tuple[int, str | None, str | None, str | None]]) ->
             continue
         _, mean, cov, scale = best[k]
         d = np.sqrt((v - mean) @ np.linalg.inv(cov) @ (v - mean))
-        if min(d, 100) <= Q.CUT * max(scale, 0.5):
+        if d <= Q.CUT * max(scale, 0.5):
             keep.add(i)
     return keep
 
@@ -125,13 +129,66 @@ def redact(text: str, spans: list[tuple[str, int, int]], order: tuple[str, ...])
     return "".join(out) + text[at:]
 
 
-def span_removals(docs: list[tuple[int, str | None]]) -> dict[int, set[int]]:
-    from tapeworks.llm.substring_dedup import runs, sentences
-
-    first: dict[bytes, tuple[int, int]] = {}
-    gone: dict[int, set[int]] = defaultdict(set)
-    for i, text in sorted(docs, key=lambda x: x[0]):
-        for at, n, digest in runs(text) if text else ():
-            if first.setdefault(digest, (i, at)) != (i, at):
-                gone[i] |= {k for k in range(at, at + n) if sentences(text)[0][k].strip()}
-    return gone
+def parts(text: str) -> list[tuple[str, str, int]]:
+    """(part, what follows it, number of its sentence) of Latin text, gap by gap."""
+    import unicodedata
+
+    out, start, sentence = [], 0, 0
+    for gap in re.finditer(r"[ \t\u00a0\u3000]*\n\s*|[ \t\u00a0\u3000]+", text):
+        before, after = text[gap.start() - 1 : gap.start()], text[gap.end() : gap.end() + 1]
+        end = "\n" in gap[0] or before in (".", "!", "?", "\u2026")
+        paste = bool(before and after) and (unicodedata.category(before) == "Ll" or before == "|") and unicodedata.category(after) == "Lu"
+        if (end and before) or "\n" in gap[0] or paste:
+            out.append((text[start : gap.start()], gap[0], sentence))
+            start, sentence = gap.end(), sentence + end
+    return [*out, (text[start:], "", sentence)]
+
+
+def span_removals(docs: list[tuple[int, str | None]], sentences: int = 2, least: int = 20) -> dict[int, tuple[str, int]]:
+    """What is left of each text and how many sentences lose words; docs: id (all different), text."""
+    cut = {i: [(p, gap, s, lower(p).split()) for p, gap, s in parts(t)] for i, t in docs if t}
+    where = defaultdict(set)
+    for i, found in cut.items():
+        at = [k for k, x in enumerate(found) if x[3]]
+        enough = lambda run: len({found[k][2] for k in run}) >= sentences and sum(len(found[k][3]) for k in run) >= least  # noqa: B023, E731
+        spans = set()
+        for a in range(len(at)):
+            spans |= {(a, b) for b in range(a, len(at)) if enough(at[a : b + 1]) and not (b > a and enough(at[a:b]))}
+            spans |= {(b, a) for b in range(a + 1) if enough(at[b : a + 1]) and not (b < a and enough(at[b + 1 : a + 1]))}
+        for a, b in spans:
+            where[tuple(" ".join(found[k][3]) for k in at[a : b + 1])].add((i, at[a], at[b]))
+    gone = defaultdict(set)
+    for places in where.values():
+        for i, a, b in sorted(places)[1:]:
+            gone[i] |= {k for k in range(a, b + 1) if cut[i][k][0].strip()}
+    return {i: ("".join(p + g for k, (p, g, *_) in enumerate(cut[i]) if k not in gone[i]) if i in cut else t, len({cut[i][k][2] for k in gone[i]})) for i, t in docs}
+
+
+def readings(fixer, stretch: str) -> tuple[str, float]:
+    """The best reading of a stretch by trying all of them."""
+    import itertools
+
+    from tapeworks.llm.toxicity import char_classes
+
+    classes, chars, best = char_classes(), stretch.lower(), ("", np.inf)
+    for pick in itertools.product(*(fixer._options(chars, i) for i in range(len(chars)))):
+        read = "".join(x for x, _ in pick)
+        ks = [0, 0, *(int(classes[min(ord(c), 0xFFFF)]) for c in read)]
+        cost = sum(c for _, c in pick) + sum(fixer.costs[a][b][c] for a, b, c in zip(ks, ks[1:], ks[2:], strict=False))
+        if cost < best[1] - 1e-9:
+            best = (read, cost)
+    return best
+
+
+def least_packing(lengths: list[int], capacities: tuple[int, ...], overhead: int) -> int:
+    """The least cost of all ways to put pieces into bins, by subsets."""
+    n = len(lengths)
+    price = [min((c + overhead for c in capacities if c >= sum(lengths[i] for i in range(n) if s >> i & 1)), default=None) for s in range(1 << n)]
+    best = [0] + [10**9] * ((1 << n) - 1)
+    for s in range(1, 1 << n):
+        low, sub = s & -s, s
+        while sub:
+            if sub & low and price[sub] is not None:
+                best[s] = min(best[s], best[s ^ sub] + price[sub])
+            sub = (sub - 1) & s
+    return best[-1]

@@ -53,7 +53,7 @@ def test_joined_sentences_are_the_text():
     rng = random.Random(4)
     for _ in range(300):
         text = "".join(rng.choice(["a", "B", ".", " ", "\n", "\u3002", "\u300d", "\u4e00", "\u0e01", "\u0430", "\u0410", "\u3000", "|"]) for _ in range(40))
-        parts, breaks = substring_dedup.sentences(text)
+        parts, breaks, _ = substring_dedup.sentences(text)
         assert "".join(p + b for p, b in zip(parts, breaks, strict=True)) == text
         plain = "".join(x for x in text if x.isascii())
         assert substring_dedup.BREAK.split(plain) == substring_dedup.ASCII_BREAK.split(plain)
