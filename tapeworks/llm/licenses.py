@@ -6,8 +6,8 @@ tells licence families, licences of no known family and ordinary text apart. It
 templates below by dropping, changing and surrounding words, on the same with the names that tell families apart replaced
 (these are of no known family), and on paragraphs of a bounded sample of documents, both ordinary ones and those that hold
 a template. Its n-grams are those frequent in all of these. A temperature fitted on held-back examples calibrates the
-probabilities. A paragraph is of a family if the model gives it to that family, at a probability of its threshold or more,
-and a template of the family is found in it; else it is `unknown` if any licence at all is likely enough.
+probabilities. A paragraph is of a family if the model gives it to the families, at the family's threshold or more, and a
+template of the family is found in it, better than any other's; else it is `unknown` if any licence at all is likely enough.
 """
 
 from __future__ import annotations
@@ -70,6 +70,8 @@ CONFIRM = 0.6
 #: A class's threshold lets at most this share of held-back ordinary paragraphs through, and is at least MIN_P, or MIN_UNKNOWN
 #: where no template confirms it.
 FALSE_SHARE, MIN_P, MIN_UNKNOWN = 1e-3, 0.5, 0.9
+#: A confirmed family has at least this part of the likeliest one's probability.
+MIN_SHARE = 0.02
 TOKEN = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 #: Comment marks at the beginning of a line, and what ends a paragraph's line.
 MARKS = re.compile(r"^[ \t]*(?:[#*;%|>]+|//+|/\*+|--+|<!--)?[ \t]*")
@@ -103,10 +105,17 @@ def grams(words: list[str]) -> set[str]:
 PAIRS = {f: [set(zip(t, t[1:], strict=False)) for x in TEMPLATES[f] for t in [tokens(x)]] for f in FAMILIES}
 
 
-def confirmed(family: str, words: list[str]) -> bool:
-    """Whether enough of a template of the family stands in the words."""
+def fits(words: list[str]) -> dict[str, float]:
+    """The largest share of a template's word pairs that stand in the words, of each family with enough of one."""
     have = set(zip(words, words[1:], strict=False))
-    return any(len(p & have) >= CONFIRM * len(p) for p in PAIRS[family])
+    shares = {f: max(len(p & have) / len(p) for p in PAIRS[f]) for f in FAMILIES}
+    return {f: x for f, x in shares.items() if x >= CONFIRM}
+
+
+def fitting(words: list[str]) -> list[str]:
+    """The families whose templates fit best: a notice of one holds much of another's."""
+    found = fits(words)
+    return [f for f, x in found.items() if x == max(found.values())]
 
 
 def variants(filler: list[list[str]], rng: np.random.Generator) -> Iterator[tuple[list[str], str]]:
@@ -139,7 +148,7 @@ def strangers(known: list[tuple[list[str], str]], rng: np.random.Generator) -> I
 def fit(sample: list[list[str]], seed: int = 0) -> dict:
     """Weights of the n-grams, bias, temperature and thresholds. sample: words of paragraphs, of any kind."""
     rng = np.random.default_rng(seed)
-    held = [(p, next((f for f in FAMILIES if confirmed(f, p)), NONE)) for p in sample if p]
+    held = [(p, next(iter(fitting(p)), NONE)) for p in sample if p]
     ordinary = [p for p, f in held if f == NONE]
     notices = [*variants(ordinary, rng), *(x for x in held if x[1] != NONE)]
     # As many strangers as one family has.
@@ -213,8 +222,10 @@ class Scanner:
         family = m["classes"][best]
         if not best:
             return NONE, NONE, float(p[0])
-        if family != UNKNOWN and p[best] >= m["thresholds"][family] and confirmed(family, words):
-            return family, family, float(p[best])
+        # The likeliest family that no other one's template fits better; families that share their words share probability too.
+        for i in sorted((m["classes"].index(f) for f in fitting(words)), key=lambda i: -p[i]):
+            if p[1:-1].sum() >= m["thresholds"][m["classes"][i]] and p[i] >= MIN_SHARE * p[1:-1].max():
+                return m["classes"][i], m["classes"][i], float(p[i])
         # No family for sure: a licence all the same, if ordinary text is unlikely enough.
         return (UNKNOWN, family, float(1 - p[0])) if 1 - p[0] >= m["thresholds"][UNKNOWN] else (NONE, NONE, float(p[0]))
 
