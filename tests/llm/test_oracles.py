@@ -53,8 +53,9 @@ def test_viterbi_finds_the_best_of_all_readings(fixer):
 
 
 def test_disguises_of_any_length_are_read(fixer):
-    long = "y0u4r34w0rthl355h0p3l355p4th3t1c1d10t"
-    assert fixer.restore(f"so {long} now") != f"so {long} now" and "1" not in fixer.restore(long)
+    plain = "theringandthattionofhereinthatheandingtheon"  # of the syllables of these documents
+    long = plain.replace("e", "3").replace("o", "0")
+    assert fixer.restore(f"so {long} now") == f"so {plain} now"
     for n in (5, 30, 150, 900):
         assert "idiot" in toxicity.words(fixer.restore("id" + "i" * n + "ot")), n
     assert "poop" in toxicity.words(fixer.restore("p o o p")) and "die" in toxicity.words(fixer.restore("d   i   e"))
@@ -137,13 +138,10 @@ def test_planted_identifiers_are_discovered(spark):
 
 def test_discovery_goes_on_until_nothing_is_new(spark):
     """Each hop's instances alone make the next hop's pattern known."""
-    docs, chain = [], ["alpha", "bravo", "delta", "gamma", "omega"]
-    for i in range(8):
-        docs.append(f"{chain[0]} +49 30 {5550000 + i} x")
-    for hop in range(1, 5):
-        for i in range(8):
-            # the same instance stands behind the last hop's pattern and the next one's
-            docs += [f"{chain[hop - 1]} id{hop}{i}77 x", f"{chain[hop]} id{hop}{i}77 x"]
+    docs = [f"alpha +49 30 {5550000 + i} x" for i in range(8000)]
+    for hop, (last, word, n) in enumerate((("alpha", "bravo", 400), ("bravo", "delta", 20), ("delta", "gamma", 1))):
+        # The same instances stand behind the last hop's pattern, where most are known, and the next one's.
+        docs += [f"{w} id{hop}{i}77 x" for i in range(n) for w in (last, word)]
     out = {r.doc_id: r for r in pii.personal_data(table(spark, docs)).collect()}
     assert all(out[i + 1].spans for i in range(len(docs)))
 
