@@ -21,9 +21,9 @@ MAX_REPEAT_SHARE = 30
 WINDOW = 8
 #: Share of a group's rows in the concentrated subset.
 H = 0.75
-#: Concentration steps go on until no group's scatter shrinks; each step lowers it, so they end. This many are never reached.
+#: Concentration steps go on while any group's least log determinant falls by more than CONVERGED; this many end an odd case.
 MAX_STEPS = 40
-CONVERGED = 1e-4
+CONVERGED = 1e-3
 #: Groups of fewer rows use the estimate of their language, then of all rows; below that nothing is rejected.
 MIN_GROUP = 100
 GRID = 1000
@@ -152,14 +152,20 @@ def mcd_estimates(stats: DataFrame, members: DataFrame) -> DataFrame:
     z = [F.abs(F.col(f"v{i}") - F.col(f"c{i}")) / F.greatest(1.4826 * F.col(f"d{i}"), F.lit(floors[i] * GRID)) for i in range(D)]
     starts = F.array(F.struct(F.lit(0).alias("start"), _place(F.sqrt(sum((x * x for x in z[1:]), z[0] * z[0]))).alias("d")), F.struct(F.lit(1).alias("start"), _place(F.greatest(*z)).alias("d")))
     at = small_join(rows, spread, ["key"]).select("key", *[f"v{i}" for i in range(D)], F.inline(starts))
-    found = None
+    low = None
     for _ in range(MAX_STEPS):
         bound = materialise(at.groupBy("key", "start").agg(F.percentile("d", H).alias("bound")), "mcd-bound", rows=keys)
         inner = small_join(at, bound, ["key", "start"]).where(F.col("d") <= F.col("bound"))
-        last, found = found, materialise(_estimates(inner.groupBy("key", "start").agg(*_sums())), "mcd-step", rows=keys)
+        found = materialise(_estimates(inner.groupBy("key", "start").agg(*_sums())), "mcd-step", rows=keys)
         at = _distance(small_join(rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1)))), found, ["key", "start"]), "d")
-        if last is not None and found.join(last.select("key", "start", F.col("logdet").alias("was")), ["key", "start"]).where(F.col("was") - F.col("logdet") > CONVERGED).isEmpty():
-            break
+        # The grid may let a scatter go up and down in the end: the least one so far must fall.
+        now = found.select("key", "start", "logdet")
+        if low is not None:
+            both = now.join(low, ["key", "start"])
+            if both.where(F.col("low") - F.col("logdet") > CONVERGED).isEmpty():
+                break
+            now = both.withColumn("logdet", F.least("logdet", "low")).drop("low")
+        low = materialise(now.withColumnRenamed("logdet", "low"), "mcd-low", rows=keys)
     scale = at.groupBy("key", "start").agg((_value(F.percentile("d", 0.5)) / F.sqrt(F.lit(CHI2_MEDIAN))).alias("scale"))
     both = found.join(scale, ["key", "start"])
     best = both.groupBy("key").agg(F.min_by(F.struct(*[c for c in both.columns if c != "key"]), F.struct("logdet", "start")).alias("b"))
