@@ -5,9 +5,11 @@ Diagrams are arrays of (birth, persistence). Point clouds use the Rips filtratio
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
-#: Rips loops are computed on at most this many points; larger windows are thinned evenly to as many.
+#: How many points a cloud that is dealt out has at most (topology.clouds). Homology itself takes any number.
 MAX_POINTS = 96
 
 
@@ -70,78 +72,96 @@ def _find(root: list[int], a: int) -> int:
 
 
 def rips(x: np.ndarray, *, epsilon: float = np.inf, dim: int = 1, scale: bool = False) -> list[np.ndarray]:
-    """Diagrams of components and loops up to epsilon; under three points they are empty."""
+    """Diagrams of dimensions 0 to dim up to epsilon (components, loops, voids at most); under three points they are empty."""
+    if dim > 2:
+        raise ValueError("homology is computed up to dimension 2")
     if len(x) < 3:
         return [np.zeros((0, 2)) for _ in range(dim + 1)]
     x = zscore(x) if scale else x
     d = distances(x)
     edges = spanning_tree(d)
     out = [np.stack([np.zeros(len(edges)), edges], 1)[edges <= epsilon]]
-    return out + [_loops(d, epsilon)] if dim >= 1 else out
+    return out + _cycles(d, epsilon, dim) if dim >= 1 else out
+
 
+def _cycles(d: np.ndarray, epsilon: float, dim: int) -> list[np.ndarray]:
+    """Loops, and voids if dim is 2, by reduction of coboundaries over two elements, latest simplex first.
 
-def _loops(d: np.ndarray, epsilon: float) -> np.ndarray:
-    """Loops by reduction of the edges' coboundaries over two elements."""
-    if len(d) > MAX_POINTS:
-        keep = np.linspace(0, len(d) - 1, MAX_POINTS).round().astype(int)
-        d = d[np.ix_(keep, keep)]
+    A simplex is its longest edge's place in the order of lengths and the code of its vertices. Coboundaries are worked out
+    when they are needed, so memory follows the columns that are added to each other, not the number of triangles.
+    """
     n = len(d)
     i, j = np.triu_indices(n, 1)
-    length = d[i, j]
     # Beyond the enclosing radius all is one cone: what begins there ends at once.
     reach = min(epsilon, d.max(1).min())
-    order = np.argsort(length, kind="stable")
-    order = order[length[order] <= reach]
-    m = len(order)
-    place = np.full((n, n), m)
-    place[i[order], j[order]] = place[j[order], i[order]] = np.arange(m)
+    order = np.argsort(d[i, j], kind="stable")
+    order = order[d[i, j][order] <= reach]
+    i, j = i[order], j[order]
+    length, m = d[i, j], len(order)
+    place = np.full((n, n), m, np.int64)
+    place[i, j] = place[j, i] = np.arange(m)
+    everyone = np.arange(n)
+
+    def above(simplex: tuple[int, ...]) -> np.ndarray:
+        """Codes of the simplices of one vertex more, within reach."""
+        at = max(int(place[a, b]) for k, a in enumerate(simplex) for b in simplex[k + 1 :])
+        top = np.maximum(place[list(simplex)].max(0), at)
+        c = everyone[top < m]
+        vertices = np.sort(np.column_stack([np.tile(simplex, (len(c), 1)), c]), 1)
+        code = top[c]
+        for v in vertices.T:
+            code = code * n + v
+        return code
+
+    def reduced(columns: Iterable[tuple[int, tuple[int, ...]]], size: int) -> tuple[np.ndarray, set[int]]:
+        """(birth, persistence) of pairs of columns with codes of `size` vertices, and all codes that end something."""
+        owner: dict[int, tuple[int, ...]] = {}
+        stored: dict[int, set[int]] = {}
+        out = []
+        for birth, simplex in columns:
+            codes = above(simplex)
+            if not len(codes):
+                continue
+            top, mine = int(codes.min()), None
+            while top in owner:
+                mine = set(codes.tolist()) if mine is None else mine
+                mine ^= stored[top] if top in stored else set(above(owner[top]).tolist())
+                if not mine:
+                    break
+                top = min(mine)
+            else:
+                owner[top] = simplex
+                if mine is not None:
+                    stored[top] = mine
+                death = top // n**size
+                if length[death] > length[birth]:
+                    out.append((length[birth], length[death] - length[birth]))
+        return np.asarray(out, float).reshape(-1, 2), set(owner)
+
     # Edges that join components make no loop.
     root, makes = list(range(n)), np.zeros(m, bool)
-    for k, e in enumerate(order):
-        a, b = _find(root, int(i[e])), _find(root, int(j[e]))
+    for k in range(m):
+        a, b = _find(root, int(i[k])), _find(root, int(j[k]))
         makes[k] = a == b
         root[b] = a
-    a, b = np.repeat(i, n - 1 - j), np.repeat(j, n - 1 - j)
-    c = np.concatenate([np.arange(x + 1, n) for x in j]) if n > 1 else j
-    sides = np.stack([place[a, b], place[a, c], place[b, c]], 1)
-    sides = sides[sides.max(1) < m]
-    sides = sides[np.argsort(sides.max(1), kind="stable")]
-    ends = sides.max(1)
-    # Triangles at each edge, by edge; within an edge in order.
-    by = np.argsort(sides.T.ravel(), kind="stable")
-    at, edge = by % max(len(sides), 1), sides.T.ravel()[by]
-    bound = np.searchsorted(edge, np.arange(m + 1))
-    bits = len(sides)
-
-    def column(k: int) -> int:
-        row = np.zeros(bits, np.uint8)
-        row[bits - 1 - at[bound[k] : bound[k + 1]]] = 1
-        return int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little")
-
-    # Coboundaries of edges, latest first; columns are bit sets in integers whose highest bit is the earliest triangle.
-    # A column that is its edge's own is only made when it is added to another.
-    low: dict[int, int | None] = {}
-    owner: dict[int, int] = {}
-    out = []
-    for k in range(m - 1, -1, -1):
-        if not makes[k] or bound[k] == bound[k + 1]:
-            continue
-        top, mine = int(at[bound[k] : bound[k + 1]].min()), None
-        while top in owner:
-            if mine is None:
-                mine = column(k)
-            if low[top] is None:
-                low[top] = column(owner[top])
-            mine ^= low[top]
-            if not mine:
-                break
-            top = bits - mine.bit_length()
-        else:
-            owner[top], low[top] = k, mine
-            birth, death = length[order[k]], length[order[ends[top]]]
-            if death > birth:
-                out.append((birth, death - birth))
-    return np.asarray(out, float).reshape(-1, 2)
+    loops, ends = reduced(((k, (int(i[k]), int(j[k]))) for k in range(m - 1, -1, -1) if makes[k]), 3)
+    if dim == 1:
+        return [loops]
+    # Triangles that end a loop make no void.
+    triangles = ((k, (int(i[k]), int(j[k]), int(c))) for k in range(m - 1, -1, -1) for c in _last_first(place, int(i[k]), int(j[k]), k))
+    return [loops, reduced(((k, t) for k, t in triangles if _code(k, t, n) not in ends), 4)[0]]
+
+
+def _last_first(place: np.ndarray, a: int, b: int, k: int) -> np.ndarray:
+    """Third vertices of the triangles whose longest edge is a-b, latest code first."""
+    c = np.flatnonzero((place[a] < k) & (place[b] < k))
+    return np.asarray(sorted(c[(c != a) & (c != b)].tolist(), key=lambda v: sorted((a, b, v)), reverse=True), int)
+
+
+def _code(k: int, simplex: tuple[int, ...], n: int) -> int:
+    for v in sorted(simplex):
+        k = k * n + v
+    return k
 
 
 def _merge_tree(values: np.ndarray, neighbours, outside: bool) -> list[tuple[float, float]]:
@@ -184,7 +204,8 @@ def cubical(field: np.ndarray, dim: int = 1) -> list[np.ndarray]:
     if dim >= 1:
         holes = _merge_tree(-field, FOUR, True)
         out.append(np.asarray([(-m, m - b) for b, m in holes], float).reshape(-1, 2))
-    return out
+    # A field of two axes has no holes of more dimensions.
+    return out + [np.zeros((0, 2))] * (dim - 1)
 
 
 def landscape(diagram: np.ndarray, levels: int, grid: int = 64, summary: str = "mean") -> np.ndarray:

@@ -14,12 +14,25 @@ PARTS = 64
 def running_totals(df: DataFrame, order: Sequence[str], sums: Sequence[str], *, by: Sequence[str] = (), parts: int = PARTS) -> DataFrame:
     """before_<s>: sum of s over all rows that come before in `order` (within `by`), which must be a total order.
 
-    The first order column is cut at approximate quantiles; each range sums on its own, and the totals of at most
-    parts + 1 ranges (for each group) are added, so no single task holds the order. Order columns must be numbers.
+    The first order column is cut at approximate quantiles; each range sums on its own, and the totals of the ranges (for
+    each group) are added, so no single task holds the order. A value with more than a range's share is a range of its own,
+    cut on at quantiles of the second column. There are as many ranges as the session has shuffle partitions, and at least
+    `parts`. Order columns must be numbers.
     """
-    first = order[0]
-    cuts = df.agg(F.array_sort(F.array_distinct(F.percentile_approx(first, F.array(*[F.lit(i / parts) for i in range(1, parts)]), 1000))).alias("__cuts"))
-    rows = df.join(F.broadcast(cuts)).withColumn("__range", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(first))), F.lit(0))).drop("__cuts")
+    parts = max(parts, min(2000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    quantiles = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    cut_at = lambda c: F.array_sort(F.percentile_approx(c, quantiles, max(1000, 10 * parts)))
+    cuts = df.agg(cut_at(order[0]).alias("__cuts"), *[cut_at(c).alias("__inner") for c in order[1:2]])
+    rows = df.join(F.broadcast(cuts))
+    # Rows below, at and above each cut are told apart.
+    place = lambda array, c, strict: F.coalesce(F.size(F.filter(array, lambda x: x < F.col(c) if strict else x <= F.col(c))), F.lit(0))
+    rows = rows.withColumn("__outer", place("__cuts", order[0], True) + place("__cuts", order[0], False))
+    if len(order) > 1:
+        often = F.size(F.filter("__cuts", lambda x: x == F.col(order[0]))) > 1
+        rows = rows.withColumn("__inner", F.when(often, place("__inner", order[1], True)).otherwise(0))
+    else:
+        rows = rows.withColumn("__inner", F.lit(0))
+    rows = rows.withColumn("__range", F.struct("__outer", "__inner")).drop("__cuts", "__outer", "__inner")
     totals = rows.groupBy(*by, "__range").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
     behind = W.partitionBy(*by).orderBy("__range") if by else W.partitionBy(F.lit(0)).orderBy("__range")
     offsets = totals.select(*by, "__range", *[F.coalesce(F.sum(f"__t_{s}").over(behind.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"__o_{s}") for s in sums])

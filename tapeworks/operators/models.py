@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapeworks.functions.ranks import running_totals
 from tapeworks.operators import metrics
 from tapeworks.operators.splits import permuted
 
@@ -78,9 +79,15 @@ def with_temperature(df: DataFrame, t: float) -> DataFrame:
 
 def smoothness(df: DataFrame, *, lam: str = "lam", order: str = "rn", by: Sequence[str] = ()) -> DataFrame:
     """smoothness: sum over types and steps of squared changes of intensity, for each sequence."""
-    w = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(order)
-    step = F.zip_with(lam, F.lag(lam).over(w), lambda a, b: (a - b) * (a - b))
-    rows = df.select(*by, F.coalesce(F.aggregate(step, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)).alias("d"))
+    if by:
+        rows = df.select(*by, F.col(lam).alias("__x"), F.lag(lam).over(W.partitionBy(*by).orderBy(order)).alias("__y"))
+    else:
+        # One series over all rows: they are numbered range by range, and each meets the row before by number.
+        at = running_totals(df.select(order, F.col(lam).alias("__x")).withColumn("__one", F.lit(1).cast("long")), [order], ["__one"])
+        last = at.select((F.col("before___one") + 1).alias("before___one"), F.col("__x").alias("__y"))
+        rows = at.select("before___one", "__x").join(last, "before___one", "left")
+    step = F.zip_with("__x", "__y", lambda a, b: (a - b) * (a - b))
+    rows = rows.select(*by, F.coalesce(F.aggregate(step, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)).alias("d"))
     return rows.groupBy(*by).agg(F.sum("d").alias("smoothness")) if by else rows.agg(F.sum("d").alias("smoothness"))
 
 

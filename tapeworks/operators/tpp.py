@@ -31,12 +31,20 @@ def rescaled_times(df: DataFrame) -> DataFrame:
 
 def rescaled_times_per_type(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     """xi: integral of the row's own type's intensity since the last row of that type (from the start for the first)."""
-    wide = df.withColumn("__k", F.size("lam"))
-    long = wide.select(*by, "rn", "m", "dt", F.posexplode("lam").alias("__type", "__lam")).withColumn("__area", F.col("__lam") * F.col("dt"))
-    w = W.partitionBy(*by, "__type").orderBy("rn").rowsBetween(W.unboundedPreceding, -1)
-    area = long.withColumn("__c", F.coalesce(F.sum("__area").over(w), F.lit(0.0))).where(F.col("__type") == F.col("m"))
-    last = F.coalesce(F.lag("__c").over(W.partitionBy(*by, "m").orderBy("rn")), F.lit(0.0))
-    return area.select(*by, "rn", "m", (F.col("__c") - last).alias("xi"))
+    wide = df.select(*by, "rn", "m", "dt", F.posexplode("lam").alias("__type", "__lam")).withColumn("__area", F.col("__lam") * F.col("dt"))
+    if by:
+        w = W.partitionBy(*by, "__type").orderBy("rn").rowsBetween(W.unboundedPreceding, -1)
+        wide = wide.withColumn("before___area", F.coalesce(F.sum("__area").over(w), F.lit(0.0)))
+    else:
+        # One series: areas are summed range by range, not in one task for each type.
+        wide = running_totals(wide, ["rn"], ["__area"], by=["__type"])
+    area = wide.where(F.col("__type") == F.col("m"))
+    if by:
+        last = F.coalesce(F.lag("before___area").over(W.partitionBy(*by, "m").orderBy("rn")), F.lit(0.0))
+        return area.select(*by, "rn", "m", (F.col("before___area") - last).alias("xi"))
+    at = running_totals(area.select("rn", "m", "before___area").withColumn("__one", F.lit(1).cast("long")), ["rn"], ["__one"], by=["m"])
+    before = at.select("m", (F.col("before___one") + 1).alias("before___one"), F.col("before___area").alias("__last"))
+    return at.join(before, ["m", "before___one"], "left").select("rn", "m", (F.col("before___area") - F.coalesce("__last", F.lit(0.0))).alias("xi"))
 
 
 def type_frequencies(df: DataFrame) -> DataFrame:

@@ -186,7 +186,8 @@ def median_mad(spark, d):
 
 
 # risk
-@query("risk_threshold")
+@query("risk_threshold", sql("""_t AS (SELECT unnest(range(0, 6)) AS i, unnest(quantile_cont(pred, [0.5, 0.6, 0.7, 0.8, 0.9, 0.95])) AS t FROM pr), _p AS (SELECT i, t, -(CASE WHEN pred >= t THEN 0 ELSE ret END) AS loss FROM pr, _t), _v AS (SELECT i, t, quantile_cont(loss, 0.99) AS v FROM _p GROUP BY ALL), _s AS (SELECT i, t, avg(loss) FILTER (loss >= v) AS es, CAST(count(*) FILTER (loss > v) AS DOUBLE) AS beyond FROM _p JOIN _v USING (i, t) GROUP BY i, t)
+SELECT round(t, 6) AS threshold, round(es, 6) AS score, 'es' AS objective FROM (SELECT * FROM _s ORDER BY es, i LIMIT 1) UNION ALL SELECT round(t, 6), round(beyond, 6), 'var_exceed' FROM (SELECT * FROM _s ORDER BY beyond, i LIMIT 1)""", "pr"))
 def risk_threshold(spark, d):
     pr = predictions(spark, d)
     return rounded(risk.risk_threshold(pr, "es").withColumn("objective", F.lit("es")).union(risk.risk_threshold(pr, "var_exceed").withColumn("objective", F.lit("var_exceed"))))
@@ -275,7 +276,8 @@ def ks_uniform(spark, d):
     return rounded(tpp.ks_uniform(xi))
 
 
-@query("tpp_diagnostics")
+@query("tpp_diagnostics", sql("""_x AS (SELECT rn, tot * dt AS xi, 1 - exp(-(tot * dt)) AS u FROM tp), _i AS (SELECT u, row_number() OVER (ORDER BY u, rn) AS i, count(*) OVER () AS n FROM _x), _e AS (SELECT m, count(*) AS n FROM tp GROUP BY m), _f AS (SELECT k AS m, sum(l) AS s FROM (SELECT unnest(range(0, 5)) AS k, unnest(lam) AS l FROM tp) GROUP BY k)
+SELECT (SELECT round(avg(xi), 6) FROM _x) AS mean_xi, max(n) AS n, round(max(greatest(i / n - u, u - (i - 1) / n)), 6) AS ks, (SELECT round(sum(abs(coalesce(n, 0) / (SELECT CAST(count(*) AS DOUBLE) FROM tp) - s / (SELECT sum(s) FROM _f))), 6) FROM _f LEFT JOIN _e ON _e.m = _f.m) AS coverage_error FROM _i""", "tp"))
 def tpp_diagnostics(spark, d):
     return rounded(tpp.diagnostics(intensities(spark, d)))
 

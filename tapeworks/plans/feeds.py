@@ -269,7 +269,9 @@ def mark_nll(spark, d):
     return rounded(models.mark_nll(ev, by=["event_type"]))
 
 
-@query("joint_loss")
+@query("joint_loss", sql("""_j AS (SELECT tp.rn, lam, m, dt, tot, label, least(greatest(pred, 1e-7), 1 - 1e-7) AS p FROM tp JOIN pr ON pr.idx = tp.rn), _l AS (SELECT l - lag(l) OVER (PARTITION BY k ORDER BY rn) AS d FROM (SELECT rn, unnest(range(0, 5)) AS k, unnest(lam) AS l FROM _j)), _s AS (SELECT sum(d * d) AS sm FROM _l),
+_a AS (SELECT (-sum(ln(greatest(lam[m + 1], 1e-12))) + sum(tot * dt)) / count(*) AS nll, avg(-ln(CASE WHEN label = 1 THEN p ELSE 1 - p END)) AS cls FROM _j)
+SELECT round(nll, 4) AS nll, round(cls, 4) AS cls, round(sm, 4) AS smoothness, round(nll + cls + 1e-3 * sm, 4) AS loss FROM _a, _s""", "tp", "pr"))
 def joint_loss(spark, d):
     pr = predictions(spark, d).select(F.col("idx").alias("rn"), "pred", "label")
     return rounded(models.joint_loss(intensities(spark, d).join(pr, "rn"), weight_smooth=1e-3), 4)
@@ -326,9 +328,10 @@ def rips_udtf(spark, d):
 
 
 # streams: the events as files, read to their end
-def _stream(spark, d):
+def _stream(spark, d, *, end_s: float | None = None):
     path = scratch(spark, "stream-in")
-    events(spark, d).write.parquet(path)
+    rows = events(spark, d)
+    (live.with_end(rows, end_s) if end_s else rows).write.parquet(path)
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
@@ -351,11 +354,21 @@ def stream_live_features(spark, d):
     return out.select("symbol", "seq", r6("dt").alias("dt"), "n", r6("ewm_all").alias("ewm_all"))
 
 
-@query("stream_windowed_counts")
+DAY_NS = 24 * HOUR * NS
+
+
+@query("stream_windowed_counts", sql(f"SELECT symbol, event_type, ts_ns // {DAY_NS} * {DAY_NS} AS start_ns, (ts_ns // {DAY_NS} + 1) * {DAY_NS} AS end_ns, count(*) AS n FROM ev GROUP BY ALL", "ev"))
 def stream_windowed_counts(spark, d):
-    return _drain(spark, live.windowed_counts(_stream(spark, d), "1 day"))
+    return _bounds(_drain(spark, live.windowed_counts(_stream(spark, d, end_s=48 * HOUR), "1 day")))
 
 
-@query("stream_sessions")
+@query("stream_sessions", sql(f"""_f AS (SELECT symbol, ts_ns, seq, CASE WHEN ts_ns - lag(ts_ns) OVER (PARTITION BY symbol ORDER BY ts_ns, seq) <= {6 * HOUR * NS} THEN 0 ELSE 1 END AS fresh FROM ev), _s AS (SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY ts_ns, seq) AS s FROM _f)
+SELECT symbol, min(ts_ns) AS start_ns, max(ts_ns) + {6 * HOUR * NS} AS end_ns, count(*) AS n FROM _s GROUP BY symbol, s""", "ev"))
 def stream_sessions(spark, d):
-    return _drain(spark, live.session_counts(_stream(spark, d), "6 hours"))
+    return _bounds(_drain(spark, live.session_counts(_stream(spark, d, end_s=48 * HOUR), "6 hours")))
+
+
+def _bounds(df):
+    """Times as epoch nanoseconds; the row that only ends the stream has no symbol."""
+    ns = [(F.unix_micros(c) * 1000).alias(f"{c}_ns") for c in ("start", "end")]
+    return df.where(F.col("symbol").isNotNull()).select(*[c for c in df.columns if c not in ("start", "end")], *ns)

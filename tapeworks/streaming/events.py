@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -63,15 +63,26 @@ def live_features(stream: DataFrame, types: tuple[str, ...], tau_s: float = 1.0)
     return stream.groupBy(SYMBOL).applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.NoTimeout).withColumnsRenamed(names)
 
 
+def with_end(rows: DataFrame, after_s: float) -> DataFrame:
+    """rows and one more without a symbol, after_s later than the last: landed as the last of a stream that ends, it moves
+    the watermark past all windows and sessions of the others, which would stay open for ever. A longer gap than theirs is needed.
+    """
+    last = rows.agg((F.max(TS) + int(after_s * NS)).alias(TS)).where(F.col(TS).isNotNull())
+    return rows.unionByName(last, allowMissingColumns=True)
+
+
 def windowed_counts(stream: DataFrame, width: str, slide: str | None = None, *, late: str = "10 minutes") -> DataFrame:
-    """start, end, symbol, event_type and n of tumbling or sliding windows; events later than the watermark are dropped."""
+    """start, end, symbol, event_type and n of tumbling or sliding windows; events later than the watermark are dropped.
+
+    A window comes out when the watermark has passed its end: end a finite stream with `with_end`.
+    """
     df = stream.withColumn("ts", instant(F.col(TS))).withWatermark("ts", late)
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
     return df.groupBy(w.alias("w"), SYMBOL, "event_type").agg(F.count(F.lit(1)).alias("n")).select("w.start", "w.end", SYMBOL, "event_type", "n")
 
 
 def session_counts(stream: DataFrame, gap: str, *, late: str = "10 minutes") -> DataFrame:
-    """start, end, symbol and n of sessions that a gap ends."""
+    """start, end, symbol and n of sessions that a gap ends; they come out as windows do."""
     df = stream.withColumn("ts", instant(F.col(TS))).withWatermark("ts", late)
     return df.groupBy(F.session_window("ts", gap).alias("w"), SYMBOL).agg(F.count(F.lit(1)).alias("n")).select("w.start", "w.end", SYMBOL, "n")
 
@@ -82,6 +93,6 @@ def write_ndjson(stream: DataFrame, path: str, checkpoint: str, *, every: str |
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
-def rows_written(query: StreamingQuery) -> int:
-    """Rows that a query has read so far."""
-    return sum(p["numInputRows"] if isinstance(p, dict) else p.numInputRows for p in query.recentProgress)
+def rows_written(spark: SparkSession, path: str) -> int:
+    """Rows that a sink under path holds, in the files that its queries have committed."""
+    return spark.read.schema("value string").text(path).count()

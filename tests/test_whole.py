@@ -31,3 +31,81 @@ def test_rolling_topology_has_no_skipped_rows(spark):
         out = catalog.QUERIES[name](spark, SF)
         n, found = out.agg(F.count(F.lit(1)), F.count_if(F.exists("topology", lambda x: x != 0))).first()
         assert found >= 0.5 * n, (name, found, n)
+
+
+def test_homology_of_any_number_of_points_equals_plain_reduction():
+    """Loops and voids by column reduction of the whole boundary matrix; windows are not thinned."""
+    import itertools
+
+    import numpy as np
+    import pytest
+
+    from tapeworks.functions import diagrams as D
+
+    def plain(d, dim):
+        simplices = [(max([d[a, b] for a, b in itertools.combinations(t, 2)], default=0.0), k, t) for k in range(1, dim + 3) for t in itertools.combinations(range(len(d)), k)]
+        simplices.sort()
+        index, low, out = {t: i for i, (_, _, t) in enumerate(simplices)}, {}, [[] for _ in range(dim + 1)]
+        for v, k, t in simplices:
+            column = {index[t[:q] + t[q + 1 :]] for q in range(k)} if k > 1 else set()
+            while column and max(column) in low:
+                column ^= low[max(column)]
+            if column:
+                low[max(column)] = column
+                birth, size, _ = simplices[max(column)]
+                if v > birth and size - 1 <= dim:
+                    out[size - 1].append((birth, v - birth))
+        return [sorted(x) for x in out]
+
+    rng = np.random.default_rng(0)
+    for n in (4, 7, 11):
+        x = rng.normal(size=(n, 3))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        for ours, theirs in zip(D.rips(x, dim=2), plain(D.distances(x), 2), strict=True):
+            assert np.allclose(sorted(map(tuple, ours)), theirs) if theirs else not len(ours)
+    x = rng.random((130, 2))
+    found = D.rips(x)[1]
+    assert len(found) == len(D.rips(x[rng.permutation(130)])[1]) > 20
+    assert [len(v) for v in D.cubical(rng.random((5, 6)), 2)][2] == 0
+    with pytest.raises(ValueError):
+        D.rips(x, dim=3)
+
+
+def test_running_totals_split_a_constant_first_key(spark):
+    from tapeworks.functions.ranks import running_totals
+
+    df = spark.range(4000).select(F.when(F.col("id") < 3900, 0.5).otherwise(F.col("id") / 1e4).alias("pred"), F.col("id").alias("idx"), F.lit(1).cast("long").alias("one"))
+    out = running_totals(df, ["pred", "idx"], ["one"])
+    rows_ = out.orderBy("pred", "idx").select("before_one").collect()
+    assert [r[0] for r in rows_] == list(range(4000))
+    plan = out._jdf.queryExecution().toString()
+    assert "__range" in plan
+
+
+def test_python_operators_run_from_another_folder(tmp_path):
+    """Workers get the package from the driver: it is neither installed nor in their folder."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    home = Path(__file__).resolve().parent.parent
+    code = f"""
+import sys
+sys.path.insert(0, {str(home)!r})
+from tapeworks.session import session
+from tapeworks.sources import synthetic
+s = session(spark__master="local[2]", spark__ui__enabled="false")
+print("rows", synthetic.sequences(s, 2).count())
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, timeout=120)
+    assert "rows" in done.stdout, done.stderr[-2000:]
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    from tapeworks.session import clear, scratch, tables
+
+    before = tables(spark)
+    spark.range(3).write.parquet(scratch(spark, "gone"))
+    assert len(tables(spark) - before) == 1
+    clear(spark, tables(spark) - before)
+    assert tables(spark) == before
