@@ -73,7 +73,7 @@ def held_out(modulus: int, remainder: int, column: str = "doc_id") -> Column:
 
 
 #: Rows of one Arrow batch at most, for every operator alike: plans are lazy, so a number for each would follow what is built last.
-BATCH_ROWS = 256
+BATCH_ROWS = 512
 
 
 def python_rows(spark: SparkSession) -> None:

@@ -75,8 +75,8 @@ class Emissions:
         return [np.fromiter(map(get, d), np.int32, len(d)) for d in documents]
 
 
-def forward_backward(scores: np.ndarray, valid: np.ndarray, start: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals [T, B, K], expected transitions [K, K] and log partition of B sequences; scores [T, B, K], valid [T, B]."""
+def forward_backward(scores: np.ndarray, valid: np.ndarray, start: np.ndarray, moves: np.ndarray, *, learn: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """Marginals [T, B, K], and to learn from expected transitions [K, K] and log partition of B sequences; scores [T, B, K], valid [T, B]."""
     steps, _, k = scores.shape
     top = scores.max(2, keepdims=True)
     e = np.exp(scores - top)
@@ -98,6 +98,8 @@ def forward_backward(scores: np.ndarray, valid: np.ndarray, start: np.ndarray, m
         beta[t] = last
     gamma = alpha * beta
     gamma /= gamma.sum(2, keepdims=True)
+    if not learn:
+        return gamma, None, None
     pairs = np.zeros((k, k))
     if steps > 1:
         right = np.where(valid[1:, :, None], e[1:] * beta[1:] / norm[1:, :, None], 0)
@@ -210,7 +212,7 @@ class Tagger:
             scores, valid = np.zeros((steps, len(part), len(self.langs)), np.float32), np.zeros((steps, len(part)), bool)
             for j, i in enumerate(part):
                 scores[: len(ids[i]), j], valid[: len(ids[i]), j] = self.emissions.rows[ids[i]], True
-            gamma, _, _ = forward_backward(scores, valid, self.start, self.moves)
+            gamma, _, _ = forward_backward(scores, valid, self.start, self.moves, learn=False)
             for j, i in enumerate(part):
                 yield i, gamma[: len(ids[i]), j]
 
