@@ -146,13 +146,12 @@ def clouds(df: DataFrame, point: Column, most: int = D.MAX_POINTS) -> DataFrame:
     return rows.groupBy(SYMBOL, chunk.alias("chunk")).agg(F.array_sort(F.collect_list("point")).alias("points"))
 
 
-def pairwise_l2(df: DataFrame, key: str, column: str) -> DataFrame:
-    """Distances of all pairs of one window of bounded size (a, b, l2) with a < b; use it on windows, never on a whole table."""
-    rows = df.select(key, column)
-    left = rows.select(F.col(key).alias("a"), F.col(column).alias("x"))
-    right = rows.select(F.col(key).alias("b"), F.col(column).alias("y"))
+def pairwise_l2(df: DataFrame, key: str, column: str, window: Column) -> DataFrame:
+    """Distances of all pairs inside each window of bounded size (a, b, l2) with a < b; `window` names a row's window."""
+    left = df.select(window.alias("__w"), F.col(key).alias("a"), F.col(column).alias("x"))
+    right = df.select(window.alias("__w"), F.col(key).alias("b"), F.col(column).alias("y"))
     square = F.aggregate(F.zip_with("x", "y", lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-    return left.join(right, F.col("a") < F.col("b")).select("a", "b", F.sqrt(square).alias("l2"))
+    return left.join(right, "__w").where(F.col("a") < F.col("b")).select("a", "b", F.sqrt(square).alias("l2"))
 
 
 def search_grid(windows: Sequence[tuple[float, ...]], levels: Sequence[int] = (3, 5), grids: Sequence[int] = (32,), sizes: Sequence[int] = (4, 8, 16), sigmas: Sequence[float] = (0.05, 0.1)) -> list[Topology]:

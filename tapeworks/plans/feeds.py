@@ -174,11 +174,11 @@ def image_ranges(spark, d):
     return rounded(topology.fitted_ranges(_diagrams(spark, d)))
 
 
-@query("pairwise_l2", "SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum([power(x[1]::DOUBLE - x[2]::DOUBLE, 2) FOR x IN list_zip(a.embedding, b.embedding)])), 5) AS l2 FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 50) a JOIN (SELECT * FROM embeddings ORDER BY vec_id LIMIT 50) b ON a.vec_id < b.vec_id")
+@query("pairwise_l2", "SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum([power(x[1]::DOUBLE - x[2]::DOUBLE, 2) FOR x IN list_zip(a.embedding, b.embedding)])), 5) AS l2 FROM embeddings a JOIN embeddings b ON a.vec_id // 50 = b.vec_id // 50 AND a.vec_id < b.vec_id")
 def pairwise_l2(spark, d):
-    """One window of fifty points: the operator works on windows of bounded size."""
-    window = read(spark, d, "embeddings").orderBy("vec_id").limit(50)
-    return topology.pairwise_l2(window, "vec_id", "embedding").withColumn("l2", F.round("l2", 5))
+    """All vectors, in windows of fifty."""
+    vectors = read(spark, d, "embeddings")
+    return topology.pairwise_l2(vectors, "vec_id", "embedding", F.floor(F.col("vec_id") / 50)).withColumn("l2", F.round("l2", 5))
 
 
 @query("rolling_ph_landscape")
