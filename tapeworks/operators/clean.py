@@ -126,6 +126,15 @@ def encode_types(df: DataFrame, column: str = "event_type") -> DataFrame:
     return df.join(type_dictionary(df, column), column, "left")
 
 
+def collapse_types(type_id: Column, types: int) -> Column:
+    """Ids of the six event types in fewer types: 4 puts cancels with limits of their side, 2 tells sides, others are by remainder."""
+    if types == 6:
+        return type_id
+    if types == 4:
+        return F.when(type_id.isin(4, 5), type_id - 2).otherwise(F.pmod(type_id, F.lit(4)))
+    return F.pmod(type_id, F.lit(max(1, types)))
+
+
 def type_by_level(event_type: Column, level: Column) -> Column:
     """Limit and cancel types with their book level, as LO+@3; others as they are."""
     expands = event_type.isin(*[t for t in EVENT_TYPES if t[:2] in ("LO", "CX")])

@@ -115,6 +115,12 @@ def etype_encoded(spark, d):
     return clean.encode_types(events(spark, d)).select("seq", "type_id")
 
 
+@query("etype_collapsed", sql("_t AS (SELECT seq, dense_rank() OVER (ORDER BY event_type) - 1 + seq % 2 AS t FROM ev) SELECT seq, CAST(t AS INTEGER) AS six, CAST(CASE t WHEN 4 THEN 2 WHEN 5 THEN 3 ELSE t END AS INTEGER) AS four, CAST(t % 3 AS INTEGER) AS three, CAST(t % 2 AS INTEGER) AS two FROM _t", "ev"))
+def etype_collapsed(spark, d):
+    t = (F.col("type_id") + F.col("seq") % 2).cast("int")
+    return clean.encode_types(events(spark, d)).select("seq", *[clean.collapse_types(t, n).cast("int").alias(name) for name, n in (("six", 6), ("four", 4), ("three", 3), ("two", 2))])
+
+
 @query("etype_by_level", sql(f"SELECT seq, CASE WHEN t IN ('LO+', 'CX-') AND seq % 4 >= 1 THEN t || '@' || (seq % 4) ELSE t END AS event_type FROM (SELECT seq, {CANON} AS t FROM (SELECT *, {RAW} AS raw FROM ev))", "ev"))
 def etype_by_level(spark, d):
     ev = clean.canonical_events(raw_events(spark, d))
