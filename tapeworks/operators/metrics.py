@@ -26,24 +26,24 @@ def brier(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(F.pow(F.col("pred") - F.col("label"), 2)).alias("brier"))
 
 
-def reliability_bins(df: DataFrame, bins: int = 15) -> DataFrame:
+def reliability_bins(df: DataFrame, bins: int = 15, *, by: Sequence[str] = ()) -> DataFrame:
     """bin (from 1), n, confidence and accuracy of equal-frequency bins; the first n % bins hold one row more."""
-    rows = running_totals(df.select("idx", "pred", "label").withColumn("one", F.lit(1).cast("long")), ["pred", "idx"], ["one"])
-    total = df.agg(F.count(F.lit(1)).alias("__n"))
-    rows = rows.join(F.broadcast(total))
+    rows = running_totals(df.select(*by, "idx", "pred", "label").withColumn("one", F.lit(1).cast("long")), ["pred", "idx"], ["one"], by=by)
+    total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    rows = rows.join(total, list(by)) if by else rows.join(F.broadcast(total))
     base, more = F.floor(F.col("__n") / bins), F.col("__n") % bins
     at = F.col("before_one")
     head = more * (base + 1)
     number = F.when(at < head, F.floor(at / (base + 1))).otherwise(more + F.floor(try_ratio(at - head, base))) + 1
-    return rows.withColumn("bin", number.cast("int")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("pred").alias("confidence"), F.avg("label").alias("accuracy"))
+    return rows.withColumn("bin", number.cast("int")).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("pred").alias("confidence"), F.avg("label").alias("accuracy"))
 
 
 def try_ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
-def ece(bins: DataFrame) -> DataFrame:
-    return bins.agg((F.sum(F.abs(F.col("accuracy") - F.col("confidence")) * F.col("n")) / F.sum("n")).alias("ece"))
+def ece(bins: DataFrame, *by: str) -> DataFrame:
+    return bins.groupBy(*by).agg((F.sum(F.abs(F.col("accuracy") - F.col("confidence")) * F.col("n")) / F.sum("n")).alias("ece"))
 
 
 def by_prediction(df: DataFrame, *by: str) -> DataFrame:

@@ -77,8 +77,13 @@ def with_temperature(df: DataFrame, t: float) -> DataFrame:
     return df.withColumn("pred", sigmoid(logit(F.col("pred")) / t))
 
 
-def smoothness(df: DataFrame, *, lam: str = "lam", order: str = "rn", by: Sequence[str] = ()) -> DataFrame:
-    """smoothness: sum over types and steps of squared changes of intensity, for each sequence."""
+def smoothness(df: DataFrame, *, lam: str = "lam", order: str = "rn", by: Sequence[str] = (), norm: str | None = None) -> DataFrame:
+    """smoothness: sum over types and steps of squared changes of intensity, for each sequence.
+
+    With a norm one row for all sequences: `none` their sum, `global` their mean, `per_seq` the mean of each one's mean change.
+    """
+    if norm not in (None, "none", "global", "per_seq"):
+        raise ValueError(f"norm must be none, global or per_seq, not {norm!r}")
     if by:
         rows = df.select(*by, F.col(lam).alias("__x"), F.lag(lam).over(W.partitionBy(*by).orderBy(order)).alias("__y"))
     else:
@@ -87,8 +92,13 @@ def smoothness(df: DataFrame, *, lam: str = "lam", order: str = "rn", by: Sequen
         last = at.select((F.col("before___one") + 1).alias("before___one"), F.col("__x").alias("__y"))
         rows = at.select("before___one", "__x").join(last, "before___one", "left")
     step = F.zip_with("__x", "__y", lambda a, b: (a - b) * (a - b))
-    rows = rows.select(*by, F.coalesce(F.aggregate(step, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)).alias("d"))
-    return rows.groupBy(*by).agg(F.sum("d").alias("smoothness")) if by else rows.agg(F.sum("d").alias("smoothness"))
+    changes = F.when(F.col("__y").isNotNull(), F.size("__x")).otherwise(0)
+    rows = rows.select(*by, F.coalesce(F.aggregate(step, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)).alias("d"), changes.alias("c"))
+    sums = rows.groupBy(*by).agg(F.sum("d").alias("smoothness"), F.sum("c").alias("c"))
+    if norm is None:
+        return sums.drop("c")
+    each = F.col("smoothness") / F.greatest(F.col("c"), F.lit(1)) if norm == "per_seq" else F.col("smoothness")
+    return sums.agg((F.sum if norm == "none" else F.avg)(each).alias("smoothness"))
 
 
 def mark_nll(df: DataFrame, size: str = "size", mu: str = "mu", log_sigma: str = "log_sigma", *, by: Sequence[str] = ()) -> DataFrame:
@@ -97,18 +107,25 @@ def mark_nll(df: DataFrame, size: str = "size", mu: str = "mu", log_sigma: str =
     return df.groupBy(*by).agg(F.avg(x + F.col(log_sigma) + 0.9189385332046727 + F.pow(x - F.col(mu), 2) / (2 * sd * sd)).alias("mark_nll"))
 
 
-def joint_loss(df: DataFrame, *, weight_cls: float = 1.0, weight_smooth: float = 0.0, focal: float = 0.0, by: Sequence[str] = ()) -> DataFrame:
-    """nll of events, log loss of labels (focal if asked for), smoothness and their weighted sum, one row for each sequence."""
+def joint_loss(df: DataFrame, *, weight_cls: float = 1.0, weight_smooth: float = 0.0, focal: float = 0.0, pos_weight: float = 1.0, marks: bool = False, weight_l2: float = 0.0, parameters: Sequence[float] = (), by: Sequence[str] = ()) -> DataFrame:
+    """nll of events, log loss of labels (focal if asked for), smoothness and their weighted sum, one row for each sequence.
+
+    pos_weight weighs positives of the log loss, not of the focal one. With marks the sizes' mark_nll (size, mu, log_sigma)
+    is added, and weight_l2 adds the squares of the parameters.
+    """
     from tapeworks.operators.tpp import nll_per_event
 
     p = F.least(F.greatest(F.col("pred"), F.lit(1e-7)), F.lit(1 - 1e-7))
     hit = F.when(F.col("label") == 1, p).otherwise(1 - p)
-    cls = df.groupBy(*by).agg(F.avg(-F.pow(1 - hit, F.lit(focal)) * F.log(hit)).alias("cls"))
-    parts = [nll_per_event(df, *by), cls, smoothness(df, by=by)]
+    weight = F.when(F.col("label") == 1, F.lit(1.0 if focal else float(pos_weight))).otherwise(1.0)
+    cls = df.groupBy(*by).agg(F.avg(-weight * F.pow(1 - hit, F.lit(focal)) * F.log(hit)).alias("cls"))
+    parts = [nll_per_event(df, *by), cls, smoothness(df, by=by), *([mark_nll(df, by=by)] if marks else [])]
     out = parts[0]
     for x in parts[1:]:
         out = out.join(x, list(by)) if by else out.join(x)
-    return out.withColumn("loss", F.col("nll") + weight_cls * F.col("cls") + weight_smooth * F.col("smoothness"))
+    loss = F.col("nll") + weight_cls * F.col("cls") + weight_smooth * F.col("smoothness")
+    loss = loss + F.col("mark_nll") if marks else loss
+    return out.withColumn("loss", loss + weight_l2 * sum(float(x) ** 2 for x in parameters))
 
 
 def fuse(features: Column, topology: Column, a: float = 1.0, b: float = 1.0) -> Column:

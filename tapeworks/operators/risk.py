@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeworks.functions.ranks import running_totals
+from tapeworks.operators import metrics
 
 EPS = 1e-12
 
@@ -55,9 +56,18 @@ def christoffersen(df: DataFrame, *, order: str = "idx") -> DataFrame:
 
 
 def realised_volatility(df: DataFrame, rows: int = 50, *, ret: str = "ret", order: str = "idx", by: Sequence[str] = ()) -> DataFrame:
-    """rv: root of the sum of squared returns over the last `rows` rows of each series."""
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    return df.withColumn("rv", F.sqrt(F.sum(F.col(ret) * F.col(ret)).over(w.orderBy(order).rowsBetween(-(rows - 1), 0))))
+    """rv: root of the sum of squared returns over the last `rows` rows of each series.
+
+    Without series all rows are one: they are numbered range by range and dealt to chunks with a halo.
+    """
+    squares = lambda w: F.sqrt(F.sum(F.col(ret) * F.col(ret)).over(w.rowsBetween(-(rows - 1), 0)))
+    if by:
+        return df.withColumn("rv", squares(W.partitionBy(*by).orderBy(order)))
+    at, size = F.col("before___one"), max(1 << 16, 10 * rows)
+    numbered = running_totals(df.withColumn("__one", F.lit(1).cast("long")), [order], ["__one"])
+    dealt = numbered.withColumn("__chunk", F.explode(F.sequence(F.floor(at / size), F.floor((at + rows - 1) / size))))
+    dealt = dealt.withColumn("rv", squares(W.partitionBy("__chunk").orderBy("before___one")))
+    return dealt.where(F.floor(at / size) == F.col("__chunk")).select(*df.columns, "rv")
 
 
 def regimes(df: DataFrame) -> DataFrame:
@@ -73,6 +83,18 @@ def regime_report(df: DataFrame, alpha: float = 0.99) -> DataFrame:
     return n.join(var_es(both, alpha, by=["regime"]), "regime")
 
 
+def regime_metrics(df: DataFrame, bins: int = 15) -> DataFrame:
+    """regime, n, auroc, auprc, brier and ece of each regime and of `overall`; a regime with one class has an auroc of 0.5.
+
+    auprc is null without positives. Rows are (idx, pred, label, regime).
+    """
+    both = df.select("idx", "pred", "label", F.explode(F.array(F.col("regime"), F.lit("overall"))).alias("regime"))
+    out = both.groupBy("regime").agg(F.count(F.lit(1)).alias("n"))
+    for part in (metrics.auroc(both, "regime"), metrics.average_precision(both, "regime"), metrics.brier(both, "regime"), metrics.ece(metrics.reliability_bins(both, bins, by=["regime"]), "regime")):
+        out = out.join(part, "regime")
+    return out.withColumn("auroc", F.coalesce("auroc", F.when(F.col("regime") != "overall", F.lit(0.5))))
+
+
 def utility_threshold(df: DataFrame, *, w_pos: float = 1.0, w_neg: float = 1.0) -> DataFrame:
     """threshold and utility: the prediction t with most w_pos * TP - w_neg * FP at pred >= t; the least of equals."""
     counts = df.groupBy("pred").agg(F.sum((F.col("label") == 1).cast("long")).alias("pos"), F.sum((F.col("label") == 0).cast("long")).alias("neg"))

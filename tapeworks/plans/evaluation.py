@@ -169,7 +169,14 @@ def threshold_sensitivity(spark, d):
     return rounded(metrics.threshold_sensitivity(predictions(spark, d)))
 
 
-@query("classification_report")
+#: Report of the rows of _a (regime, idx, pred, label), for each regime.
+REPORT = """, _k AS (SELECT *, rank() OVER (PARTITION BY regime ORDER BY pred) + (count(*) OVER (PARTITION BY regime, pred) - 1) / 2.0 AS mid, row_number() OVER (PARTITION BY regime ORDER BY pred, idx) - 1 AS place, count(*) OVER (PARTITION BY regime) AS n FROM _a), _g AS (SELECT regime, count(*) AS n, (sum(mid) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))) AS auroc, avg(power(pred - label, 2)) AS brier FROM _k GROUP BY regime),
+_b AS (SELECT regime, CASE WHEN place < n % 15 * (n // 15 + 1) THEN place // (n // 15 + 1) ELSE n % 15 + (place - n % 15 * (n // 15 + 1)) // (n // 15) END AS bin, pred, label FROM _k), _c AS (SELECT regime, count(*) AS c, abs(avg(label) - avg(pred)) AS gap FROM _b GROUP BY regime, bin), _e AS (SELECT regime, sum(gap * c) / sum(c) AS ece FROM _c GROUP BY regime),
+_t AS (SELECT regime, pred, sum(label) AS pos, count(*) AS c FROM _a GROUP BY ALL), _u AS (SELECT regime, pos, sum(pos) OVER w AS tp, sum(c) OVER w AS k FROM _t WINDOW w AS (PARTITION BY regime ORDER BY pred DESC ROWS UNBOUNDED PRECEDING)), _p AS (SELECT regime, sum(pos * tp / CAST(k AS DOUBLE)) / sum(pos) AS auprc FROM _u GROUP BY regime)
+"""
+
+
+@query("classification_report", sql("_a AS (SELECT 1 AS regime, idx, pred, label FROM pr WHERE label IS NOT NULL AND pred IS NOT NULL)" + REPORT + "SELECT round(auroc, 6) AS auroc, round(auprc, 6) AS auprc, round(brier, 6) AS brier, round(ece, 6) AS ece FROM _g JOIN _p USING (regime) JOIN _e USING (regime)", "pr"))
 def classification_report(spark, d):
     return rounded(metrics.classification_report(metrics.valid(predictions(spark, d))))
 
@@ -226,6 +233,17 @@ def regime_split(spark, d):
     return rounded(risk.regime_report(risk.regimes(rv)))
 
 
+@query("regime_metrics", sql(RV + ", _m AS (SELECT *, CASE WHEN round(rv, 9) <= (SELECT quantile_cont(round(rv, 9), 0.5) FROM _rv) THEN 'calm' ELSE 'volatile' END AS regime FROM _rv), _a AS (SELECT regime, idx, pred, label FROM _m WHERE label IS NOT NULL AND pred IS NOT NULL UNION ALL SELECT 'overall', idx, pred, label FROM _m WHERE label IS NOT NULL AND pred IS NOT NULL)" + REPORT + "SELECT regime, n, round(coalesce(auroc, CASE WHEN regime <> 'overall' THEN 0.5 END), 6) AS auroc, round(auprc, 6) AS auprc, round(brier, 6) AS brier, round(ece, 6) AS ece FROM _g JOIN _p USING (regime) JOIN _e USING (regime)", "pr"))
+def regime_metrics(spark, d):
+    rv = risk.realised_volatility(predictions(spark, d), by=["symbol"]).withColumn("rv", F.round("rv", 9))
+    return rounded(risk.regime_metrics(metrics.valid(risk.regimes(rv))))
+
+
+@query("realized_vol_pooled", sql("SELECT idx, round(sqrt(sum(ret * ret) OVER (ORDER BY idx ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)), 6) AS rv FROM pr", "pr"))
+def realized_vol_pooled(spark, d):
+    return risk.realised_volatility(predictions(spark, d)).select("idx", r6("rv").alias("rv"))
+
+
 @query("utility_threshold", sql("_t AS (SELECT pred AS t, 2 * sum(label) AS a, sum(1 - label) AS b FROM pr GROUP BY pred), _u AS (SELECT t, CAST(sum(a) OVER w - sum(b) OVER w AS DOUBLE) AS u FROM _t WINDOW w AS (ORDER BY t DESC ROWS UNBOUNDED PRECEDING)) SELECT round(t, 6) AS threshold, u AS utility FROM _u ORDER BY u DESC, t LIMIT 1", "pr"))
 def utility_threshold(spark, d):
     return rounded(risk.utility_threshold(predictions(spark, d), w_pos=2.0, w_neg=1.0))

@@ -277,6 +277,24 @@ def joint_loss(spark, d):
     return rounded(models.joint_loss(intensities(spark, d).join(pr, "rn"), weight_smooth=1e-3), 4)
 
 
+@query("joint_loss_marks", sql("""_j AS (SELECT tp.rn, lam, m, dt, tot, label, least(greatest(pred, 1e-7), 1 - 1e-7) AS p, ln(greatest(size, 1e-6)) AS x FROM tp JOIN pr ON pr.idx = tp.rn JOIN ev ON ev.seq = tp.rn), _l AS (SELECT l - lag(l) OVER (PARTITION BY k ORDER BY rn) AS d FROM (SELECT rn, unnest(range(0, 5)) AS k, unnest(lam) AS l FROM _j)), _s AS (SELECT sum(d * d) AS sm FROM _l),
+_a AS (SELECT (-sum(ln(greatest(lam[m + 1], 1e-12))) + sum(tot * dt)) / count(*) AS nll, avg(CASE WHEN label = 1 THEN -3 * ln(p) ELSE -ln(1 - p) END) AS cls, avg(x + 0.5 + 0.9189385332046727 + power(x - 3, 2) / (2 * exp(1))) AS mk FROM _j)
+SELECT round(nll, 4) AS nll, round(cls, 4) AS cls, round(sm, 4) AS smoothness, round(mk, 4) AS mark_nll, round(nll + cls + 1e-3 * sm + mk + 0.01 * 1.25, 4) AS loss FROM _a, _s""", "tp", "pr"))
+def joint_loss_marks(spark, d):
+    pr = predictions(spark, d).select(F.col("idx").alias("rn"), "pred", "label")
+    size = events(spark, d).select(F.col("seq").alias("rn"), "size", F.lit(3.0).alias("mu"), F.lit(0.5).alias("log_sigma"))
+    df = intensities(spark, d).join(pr, "rn").join(size, "rn")
+    return rounded(models.joint_loss(df, weight_smooth=1e-3, pos_weight=3.0, marks=True, weight_l2=0.01, parameters=[1.0, 0.5]), 4)
+
+
+@query("smoothness_norms", sql("""_r AS (SELECT tp.rn, lam, symbol FROM tp JOIN pr ON pr.idx = tp.rn), _l AS (SELECT symbol, l - lag(l) OVER (PARTITION BY symbol, k ORDER BY rn) AS d FROM (SELECT symbol, rn, unnest(range(0, 5)) AS k, unnest(lam) AS l FROM _r)), _s AS (SELECT symbol, coalesce(sum(d * d), 0) AS s, count(d) AS c FROM _l GROUP BY symbol)
+SELECT round(sum(s), 4) AS total, round(avg(s), 4) AS by_sequence, round(avg(s / greatest(c, 1)), 4) AS by_change FROM _s""", "tp", "pr"))
+def smoothness_norms(spark, d):
+    df = intensities(spark, d).join(predictions(spark, d).select(F.col("idx").alias("rn"), "symbol"), "rn")
+    norm = lambda name, to: models.smoothness(df, by=["symbol"], norm=name).withColumnRenamed("smoothness", to)
+    return rounded(norm("none", "total").join(norm("global", "by_sequence")).join(norm("per_seq", "by_change")), 4)
+
+
 @query("fuse_features", sql("SELECT seq, round(2 * bid_size_1 + 0.5 * (ask_size_1 + ask_size_2) / 2, 6) AS f1, round(2 * bid_size_2 + 0.5 * (ask_size_1 + ask_size_2) / 2, 6) AS f2, round(2 * bid_size_3 + 0.5 * (ask_size_1 + ask_size_2) / 2, 6) AS f3 FROM bk", "bk"))
 def fuse_features(spark, d):
     f = models.fuse(F.array("bid_size_1", "bid_size_2", "bid_size_3"), F.array("ask_size_1", "ask_size_2"), 2.0, 0.5)
