@@ -67,6 +67,15 @@ ITCH_50 = {
     "P": Message("QcI8sIQ", "id side shares stock price match", "MO+"),
     "Q": Message("Q8sIQc", "shares stock price match cross", "MO+"),
     "B": Message("Q", "match", "CX+"),
+    "Y": Message("8sc", "stock action", None),
+    "V": Message("QQQ", "one two three", None),
+    "W": Message("c", "level", None),
+    "K": Message("8sIcI", "stock release qualifier price", None),
+    "J": Message("8sIIII", "stock reference upper lower extension", None),
+    "h": Message("8scc", "stock market action", None),
+    "I": Message("QQc8sIIIcc", "paired imbalance direction stock far near reference cross variation", None),
+    "N": Message("8sc", "stock interest", None),
+    "O": Message("8scIIIQII", "stock eligibility lowest highest near time lower upper", None),
 }
 OUCH_42 = {
     "S": Message("c", "code", None),
@@ -96,8 +105,11 @@ class Malformed(ValueError):
     """A message type that the layout doesn't have."""
 
 
-def messages(content: bytes, layout: str) -> Iterator[tuple[str, int | None, dict]]:
-    """(type, nanoseconds or None, fields) of each whole message; a cut-off message at the end is left out."""
+def messages(content: bytes, layout: str, *, skip: bool = False) -> Iterator[tuple[str, int | None, dict]]:
+    """(type, nanoseconds or None, fields) of each whole message; a cut-off message at the end is left out.
+
+    With skip, bytes that begin no known message are passed over one by one.
+    """
     order, head, table = LAYOUTS[layout]
     header = struct.Struct(order + head)
     bodies = {k: (struct.Struct(order + m.format), m.fields.split()) for k, m in table.items()}
@@ -106,6 +118,9 @@ def messages(content: bytes, layout: str) -> Iterator[tuple[str, int | None, dic
         h = header.unpack_from(content, at)
         kind = (h[1] if head == "Qc" else h[0]).decode("latin-1")
         if kind not in bodies:
+            if skip:
+                at += 1
+                continue
             raise Malformed(f"unknown message type {kind!r} at byte {at} of a {layout} file")
         body, names = bodies[kind]
         if at + header.size + body.size > len(content):
@@ -116,15 +131,17 @@ def messages(content: bytes, layout: str) -> Iterator[tuple[str, int | None, dic
 
 
 def sniff(content: bytes, layouts: tuple[str, ...]) -> str:
-    """The first layout that reads the beginning of the content without an unknown type."""
+    """The first layout that reads the beginning of the content without an unknown type, else the one that gets furthest."""
+    reached = dict.fromkeys(layouts, 0)
     for layout in layouts:
         try:
-            n = sum(1 for _, _ in zip(range(16), messages(content[:4096], layout), strict=False))
+            for _ in zip(range(16), messages(content[:4096], layout), strict=False):
+                reached[layout] += 1
         except Malformed:
             continue
-        if n:
+        if reached[layout]:
             return layout
-    return layouts[0]
+    return max(layouts, key=reached.get)
 
 
 def resolve_epoch_ns(ts: int | None, date_ns: int | None, tz_offset_s: int) -> int | None:
@@ -148,42 +165,49 @@ def canonical(kind: str, ts: int | None, f: dict, message: Message, *, side_awar
     return row
 
 
-def _decode(layout: str, date_ns: int | None, tz_offset_s: int, side_aware: bool, stop: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decode(layout: str, date_ns: int | None, tz_offset_s: int, side_aware: bool, stop: bool, skip: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for symbol, content in zip(batch.column("symbol").to_pylist(), batch.column("content"), strict=True):
             content = content.as_py() or b""
             names = {"itch": ("itch-minimal", "itch-5.0"), "ouch": ("ouch-minimal", "ouch-4.2")}.get(layout, (layout,))
-            name = sniff(content, names) if len(names) > 1 else names[0]
-            table, rows, seq = LAYOUTS[name][2], [], 0
-            try:
-                for kind, ts, fields in messages(content, name):
-                    row = canonical(kind, resolve_epoch_ns(ts, date_ns, tz_offset_s), fields, table[kind], side_aware=side_aware)
-                    if row is not None:
-                        rows.append(row | {"symbol": symbol, "venue": name.split("-")[0].upper(), "seq": seq})
-                        seq += 1
-                    if len(rows) >= BLOCK:
-                        yield _frame(rows)
-                        rows = []
-            except Malformed:
-                if not stop:
-                    raise
-            if rows:
-                yield _frame(rows)
+            likely = sniff(content, names) if len(names) > 1 else names[0]
+            # A layout that gives no row leaves the file to the other one.
+            seq, bad, read = 0, None, False
+            for name in (likely, *(n for n in names if n != likely)):
+                table, rows = LAYOUTS[name][2], []
+                try:
+                    for kind, ts, fields in messages(content, name, skip=skip):
+                        row = canonical(kind, resolve_epoch_ns(ts, date_ns, tz_offset_s), fields, table[kind], side_aware=side_aware)
+                        if row is not None:
+                            rows.append(row | {"symbol": symbol, "venue": name.split("-")[0].upper(), "seq": seq})
+                            seq += 1
+                        if len(rows) >= BLOCK:
+                            yield _frame(rows)
+                            rows = []
+                    read, bad = True, None
+                except Malformed as e:
+                    bad = e if seq else bad or e
+                if rows:
+                    yield _frame(rows)
+                if seq:
+                    break
+            if bad and not stop and not read:
+                raise bad
 
 
 def _frame(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in ARROW], schema=ARROW)
 
 
-def decode(files: DataFrame, layout: str, *, tick: float | None = None, adjust: float = 1.0, adjust_mode: str = "multiply", session_date: str | None = None, tz_offset_s: int = 0, side_aware: bool = False, stop_at_unknown: bool = False) -> DataFrame:
+def decode(files: DataFrame, layout: str, *, tick: float | None = None, adjust: float = 1.0, adjust_mode: str = "multiply", session_date: str | None = None, tz_offset_s: int = 0, side_aware: bool = False, stop_at_unknown: bool = False, skip_unknown: bool = False) -> DataFrame:
     """Canonical rows of files (symbol, content). layout: one of LAYOUTS, or itch or ouch to tell by the content.
 
     seq is the message's place in its file. An unknown message type is an error that names the byte; with
-    stop_at_unknown the file's rows end there. Order-entry files hold no times: ts_ns is null.
+    stop_at_unknown the file's rows end there, with skip_unknown they go on at the next known type. Order-entry files hold no times: ts_ns is null.
     """
     date_ns = int(pd.Timestamp(session_date, tz="UTC").value) if session_date else None
     ship(files.sparkSession)
-    rows = files.select(F.col("symbol").cast("string").alias("symbol"), "content").mapInArrow(partial(_decode, layout, date_ns, tz_offset_s, side_aware, stop_at_unknown), EXTRA_SCHEMA)
+    rows = files.select(F.col("symbol").cast("string").alias("symbol"), "content").mapInArrow(partial(_decode, layout, date_ns, tz_offset_s, side_aware, stop_at_unknown, skip_unknown), EXTRA_SCHEMA)
     price = F.col("price") * adjust if adjust_mode == "multiply" else F.col("price") / adjust
     return rows.withColumn("price", F.rint(price / tick) * tick if tick else price)
 

@@ -288,6 +288,30 @@ def test_binary_formats(spark):
     assert out[-1][3:] == ("T2", "SYSTEM_CANCEL")
 
 
+def test_binary_files_packed_by_hand(spark):
+    """Bytes by the published layouts: types that only pass, junk between messages, layouts told by their rows."""
+    import struct
+
+    head = lambda kind, ns: struct.pack(">cHHHI", kind, 7, 0, ns >> 32, ns & 0xFFFFFFFF)
+    add = head(b"A", 34_200_000_000_001) + struct.pack(">QcI8sI", 77, b"S", 300, b"ABC     ", 1_234_500)
+    passed = head(b"Y", 5) + struct.pack(">8sc", b"ABC     ", b"0") + head(b"I", 6) + struct.pack(">QQc8sIIIcc", 1, 2, b"B", b"ABC     ", 1, 2, 3, b"O", b"L")
+    gone = head(b"D", 34_200_000_000_009) + struct.pack(">Q", 77)
+    file = lambda content: spark.createDataFrame([("T", content)], "symbol string, content binary")
+    read = lambda content, layout, **o: rows(binary.decode(file(content), layout, **o).orderBy("seq"), "ts_ns", "event_type", "price", "size")
+    want = [(34_200_000_000_001, "LO-", 123.45, 300.0), (34_200_000_000_009, "CX+", None, 0.0)]
+    assert read(add + passed + gone, "itch") == want
+    assert read(add + b"\x00\x01\x02" + gone, "itch", skip_unknown=True) == want
+    with pytest.raises(Exception, match="unknown message type"):
+        read(add + b"\x00\x01\x02" + gone, "itch")
+    assert read(add + b"\x00\x01\x02" + gone, "itch", stop_at_unknown=True) == want[:1]
+    little = struct.pack("<Qc", 42, b"X") + struct.pack("<QI", 9, 4)
+    assert read(little, "itch") == [(42, "CX+", None, 4.0)]
+    cancel = b"X" + struct.pack(">14sI", b"TOKEN".ljust(14), 25)
+    assert read(b"\xff\xfe" + b"SO" + cancel, "ouch-4.2", skip_unknown=True) == [(None, "CX+", None, 25.0)]
+    assert read(b"SO" + cancel, "ouch") == [(None, "CX+", None, 25.0)]
+    assert read(b"", "itch") == []
+
+
 def test_vendor_lines_that_are_no_json(spark):
     df = spark.createDataFrame([("nope",), ('{"e":"bookTicker","E":1690000000000,"s":"X","b":"1","B":"2","a":"3","A":"4"}',), ('{"e":"other"}',)], "value string")
     assert rows(vendors.binance(df), "event_type", "price", "size", "level") == [("LO+", 1.0, 2.0, 1), ("LO-", 3.0, 4.0, 1)]
