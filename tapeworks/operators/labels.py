@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapeworks.functions.ranks import quantiles
 from tapeworks.operators.windows import from_now, in_order, whole
 from tapeworks.schema import NS, SEQ, SYMBOL, TS
 
@@ -84,5 +85,5 @@ def largest_moves(df: DataFrame, k: int, *, mid: str = "mid", horizon_s: float =
 def moves_above(df: DataFrame, q: float, *, mid: str = "mid", horizon_s: float = 1.0) -> DataFrame:
     """Rows whose change of mid is at least its q-quantile."""
     moved = df.withColumn("abs_dmid", F.abs(forward_as_of(mid, int(horizon_s * NS)) - F.col(mid)))
-    bound = moved.agg(F.percentile("abs_dmid", q).alias("__bound"))
+    bound = quantiles(moved, F.col("abs_dmid"), [q]).select(F.get("q", F.lit(0)).alias("__bound"))
     return moved.join(F.broadcast(bound)).where(F.col("abs_dmid") >= F.col("__bound")).drop("__bound")

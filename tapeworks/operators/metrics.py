@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapeworks.functions.ranks import running_totals
+from tapeworks.functions.ranks import quantiles, running_totals
 
 
 def valid(df: DataFrame) -> DataFrame:
@@ -214,6 +214,8 @@ def aggregate_predictions(df: DataFrame, group: str) -> DataFrame:
 
 def median_mad(df: DataFrame, column: str, *by: str) -> DataFrame:
     """median and mad (median distance from it) of a column."""
-    mid = df.groupBy(*by).agg(F.percentile(column, 0.5).alias("median"))
+    one = F.get("q", F.lit(0))
+    mid = quantiles(df, F.col(column), [0.5], by=by).select(*by, one.alias("median"))
     off = df.join(mid, list(by)) if by else df.join(F.broadcast(mid))
-    return off.groupBy(*by).agg(F.first("median").alias("median"), F.percentile(F.abs(F.col(column) - F.col("median")), 0.5).alias("mad"))
+    mad = quantiles(off, F.abs(F.col(column) - F.col("median")), [0.5], by=by).select(*by, one.alias("mad"))
+    return mid.join(mad, list(by)) if by else mid.join(F.broadcast(mad))

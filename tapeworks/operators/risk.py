@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapeworks.functions.ranks import running_totals
+from tapeworks.functions.ranks import quantiles, running_totals
 from tapeworks.operators import metrics
 
 EPS = 1e-12
@@ -17,14 +17,14 @@ EPS = 1e-12
 def var_es(df: DataFrame, alpha: float = 0.99, *, ret: str = "ret", by: Sequence[str] = ()) -> DataFrame:
     """var: the alpha-quantile of the loss (linear between rows); es: mean of losses not below it."""
     loss = df.select(*by, (-F.col(ret)).alias("__loss"))
-    bound = loss.groupBy(*by).agg(F.percentile("__loss", alpha).alias("var"))
+    bound = quantiles(loss, F.col("__loss"), [alpha], by=by).select(*by, F.get("q", F.lit(0)).alias("var"))
     rows = loss.join(F.broadcast(bound)) if not by else loss.join(bound, list(by))
     return rows.groupBy(*by).agg(F.first("var").alias("var"), F.coalesce(F.avg(F.when(F.col("__loss") >= F.col("var"), F.col("__loss"))), F.first("var")).alias("es"))
 
 
 def exceedances(df: DataFrame, alpha: float = 0.99, *, ret: str = "ret") -> DataFrame:
     """exc: 1 where the loss is beyond VaR."""
-    bound = df.agg(F.percentile(-F.col(ret), alpha).alias("__var"))
+    bound = quantiles(df, -F.col(ret), [alpha]).select(F.get("q", F.lit(0)).alias("__var"))
     return df.join(F.broadcast(bound)).withColumn("exc", (-F.col(ret) > F.col("__var")).cast("int")).drop("__var")
 
 
@@ -72,7 +72,7 @@ def realised_volatility(df: DataFrame, rows: int = 50, *, ret: str = "ret", orde
 
 def regimes(df: DataFrame) -> DataFrame:
     """regime: calm up to the median of rv, volatile above."""
-    mid = df.agg(F.percentile("rv", 0.5).alias("__mid"))
+    mid = quantiles(df, F.col("rv"), [0.5]).select(F.get("q", F.lit(0)).alias("__mid"))
     return df.join(F.broadcast(mid)).withColumn("regime", F.when(F.col("rv") <= F.col("__mid"), "calm").otherwise("volatile")).drop("__mid")
 
 
@@ -117,7 +117,7 @@ def derisk(df: DataFrame, threshold: Column | float, alpha: float = 0.99) -> Dat
 
 def derisk_grid(df: DataFrame, percents: Sequence[int] = (50, 60, 70, 80, 90, 95), alpha: float = 0.99) -> DataFrame:
     """derisk at each percentile of pred: percentile, threshold and the VaR and ES of both."""
-    cuts = df.agg(F.percentile("pred", F.array(*[F.lit(q / 100) for q in percents])).alias("__t"))
+    cuts = quantiles(df, F.col("pred"), [q / 100 for q in percents]).select(F.col("q").alias("__t"))
     grid = cuts.select(F.posexplode("__t").alias("__i", "threshold")).withColumn("percentile", F.element_at(F.array(*[F.lit(q) for q in percents]), F.col("__i") + 1)).drop("__i")
     rows = df.select("pred", "ret").join(F.broadcast(grid))
     rows = rows.withColumn("__prot", F.when(F.col("pred") >= F.col("threshold"), 0.0).otherwise(F.col("ret")))
@@ -135,7 +135,7 @@ def risk_threshold(df: DataFrame, objective: str = "es", percents: Sequence[int]
     """
     if objective not in ("es", "var_exceed"):
         raise ValueError(f"objective must be es or var_exceed, not {objective!r}")
-    cuts = df.agg(F.percentile("pred", F.array(*[F.lit(q / 100) for q in sorted(percents)])).alias("__t"))
+    cuts = quantiles(df, F.col("pred"), [q / 100 for q in sorted(percents)]).select(F.col("q").alias("__t"))
     rows = df.select("pred", "ret").join(F.broadcast(cuts.select(F.posexplode("__t").alias("i", "threshold"))))
     rows = rows.withColumn("__prot", F.when(F.col("pred") >= F.col("threshold"), 0.0).otherwise(F.col("ret")))
     stats = var_es(rows, alpha, ret="__prot", by=["i", "threshold"])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeworks.functions import diagrams as D
+from tapeworks.functions.ranks import quantiles
 from tapeworks.operators.windows import chunked
 from tapeworks.schema import NS, SEQ, SYMBOL, TS
 from tapeworks.session import ship
@@ -102,7 +103,8 @@ def transform_windows(df: DataFrame, cfg: Topology, column: str = "slab") -> Dat
 def fitted_ranges(diagrams: DataFrame, column: str = "diagram", low: float = 0.01, high: float = 0.99) -> DataFrame:
     """One row: the quantiles of births and persistences of training diagrams, to freeze image axes with."""
     pts = diagrams.select(F.inline(column))
-    return pts.agg(*[F.percentile(c, q).alias(f"{c}_{n}") for c in ("birth", "pers") for n, q in (("lo", low), ("hi", high))])
+    ends = [quantiles(pts, F.col(c), [low, high]).select(F.get("q", F.lit(0)).alias(f"{c}_lo"), F.get("q", F.lit(1)).alias(f"{c}_hi")) for c in ("birth", "pers")]
+    return ends[0].join(F.broadcast(ends[1]))
 
 
 def landscape(diagram: Column, levels: int, grid: int) -> Column:

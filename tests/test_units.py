@@ -370,3 +370,18 @@ def test_slice_arithmetic():
     assert clean.resolve_slice(100, rows=30) == (70, 100)
     assert clean.resolve_slice(100, rows=30, offset=10, index=1) == (30, 60)
     assert clean.resolve_slice(10, cap=50) == (0, 10)
+
+
+def test_quantiles_of_any_column(spark):
+    from tapeworks.functions.ranks import quantiles
+
+    rng = np.random.default_rng(3)
+    values = [*rng.normal(size=300).tolist(), *[0.25] * 500, None, None]
+    df = spark.createDataFrame([(i % 3, v) for i, v in enumerate(values)], "g int, v double")
+    probs = [0.0, 0.01, 0.37, 0.5, 0.99, 1.0]
+    known = np.array([v for v in values if v is not None])
+    assert quantiles(df, F.col("v"), probs).first()["q"] == pytest.approx(np.quantile(known, probs).tolist())
+    for r in quantiles(df, -F.col("v"), probs, by=["g"]).collect():
+        mine = np.array([-v for i, v in enumerate(values) if i % 3 == r["g"] and v is not None])
+        assert r["q"] == pytest.approx(np.quantile(mine, probs).tolist())
+    assert quantiles(df.where("v > 1e9"), F.col("v"), [0.5]).first()["q"] in (None, [None])
