@@ -305,19 +305,19 @@ _i AS (SELECT *, sum(r) OVER (PARTITION BY symbol ORDER BY ts_ns, seq ROWS UNBOU
 SELECT symbol, seq, round((ts_ns - min(ts_ns) OVER (PARTITION BY symbol, island)) / 1e9, 6) AS qage_b_1 FROM _i"""
 
 
-def _slow_book(spark, d):
+def slow_book(spark, d):
     """A book whose best bid stays for several events."""
     return book(spark, d).withColumns({"bid_size_1": ((F.floor(F.col("seq") / 5) * 3) % 7).cast("double"), "bid_price_1": F.floor(F.col("price") / 60).cast("double")})
 
 
 @query("queue_age", sql(ISLAND.format(extra="", more=""), "bk"))
 def queue_age(spark, d):
-    return features.queue_age(_slow_book(spark, d), "bid", 1).select("symbol", "seq", r6("qage_b_1").alias("qage_b_1"))
+    return features.queue_age(slow_book(spark, d), "bid", 1).select("symbol", "seq", r6("qage_b_1").alias("qage_b_1"))
 
 
 @query("queue_age_event_aware", sql(ISLAND.format(extra="", more="OR event_type = 'error' OR (event_type = 'click' AND seq % 2 = 1)"), "bk"))
 def queue_age_event_aware(spark, d):
-    bk = _slow_book(spark, d)
+    bk = slow_book(spark, d)
     kind = F.when(F.col("event_type") == "error", "MO-").when(F.col("event_type") == "click", "LO+").otherwise("MO+")
     bk = bk.withColumns({"event_type": kind, "level": (2 - F.col("seq") % 2).cast("int"), "side": F.lit("bid")})
     return features.queue_age(bk, "bid", 1, extra=features.event_resets("bid", 1)).select("symbol", "seq", r6("qage_b_1").alias("qage_b_1"))
@@ -325,7 +325,7 @@ def queue_age_event_aware(spark, d):
 
 @query("queue_age_last_update", sql(ISLAND.format(extra="", more="").replace("round((ts_ns - min(ts_ns) OVER (PARTITION BY symbol, island)) / 1e9, 6)", "round(CASE WHEN seq % 4 > 0 THEN (seq % 10) ELSE (ts_ns - min(ts_ns) OVER (PARTITION BY symbol, island)) / 1e9 END, 6)"), "bk"))
 def queue_age_last_update(spark, d):
-    bk = _slow_book(spark, d).withColumn("last_update_bid_1", F.when(F.col("seq") % 4 > 0, F.col("ts_ns") - (F.col("seq") % 10) * NS))
+    bk = slow_book(spark, d).withColumn("last_update_bid_1", F.when(F.col("seq") % 4 > 0, F.col("ts_ns") - (F.col("seq") % 10) * NS))
     return features.age_from_last_update(bk, "bid").select("symbol", "seq", r6("qage_b_1").alias("qage_b_1"))
 
 

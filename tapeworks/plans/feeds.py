@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tapeworks.operators import bootstrap, labels, metrics, models, splits, topology
-from tapeworks.plans.core import HOUR, r6
+from tapeworks.plans.core import HOUR, ISLAND, r6, slow_book
 from tapeworks.plans.evaluation import rounded
 from tapeworks.plans.tables import TYPES, book, events, intensities, predictions, read, sql
 from tapeworks.registry import Catalog
@@ -346,9 +346,9 @@ def rips_udtf(spark, d):
 
 
 # streams: the events as files, read to their end
-def _stream(spark, d, *, end_s: float | None = None):
+def _stream(spark, d, *, end_s: float | None = None, rows=None):
     path = scratch(spark, "stream-in")
-    rows = events(spark, d)
+    rows = events(spark, d) if rows is None else rows
     (live.with_end(rows, end_s) if end_s else rows).write.parquet(path)
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
@@ -372,6 +372,15 @@ def stream_live_features(spark, d):
     return out.select("symbol", "seq", r6("dt").alias("dt"), "n", r6("ewm_all").alias("ewm_all"))
 
 
+LIVE_BOOK = ISLAND.format(extra="", more="").replace("SELECT symbol, seq, round", "SELECT symbol, seq, (bid_price_1 + ask_price_1) / 2 AS mid, round(coalesce(ln(greatest((bid_price_1 + ask_price_1) / 2, 1e-6)) - lag(ln(greatest((bid_price_1 + ask_price_1) / 2, 1e-6))) OVER (PARTITION BY symbol ORDER BY ts_ns, seq), 0), 6) + 0 AS ret_1, round")
+
+
+@query("stream_live_book", sql(LIVE_BOOK, "bk"))
+def stream_live_book(spark, d):
+    out = _drain(spark, live.live_book(_stream(spark, d, rows=slow_book(spark, d)), 1))
+    return out.select("symbol", "seq", "mid", (r6("ret_1") + 0.0).alias("ret_1"), r6("qage_b_1").alias("qage_b_1"))
+
+
 DAY_NS = 24 * HOUR * NS
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tapeworks.operators.features import SMALL
 from tapeworks.schema import NS, SEQ, SYMBOL, TS, instant
 from tapeworks.session import ship
 
@@ -63,6 +64,45 @@ def live_features(stream: DataFrame, types: tuple[str, ...], tau_s: float = 1.0)
     return stream.groupBy(SYMBOL).applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.NoTimeout).withColumnsRenamed(names)
 
 
+def live_book(stream: DataFrame, levels: int) -> DataFrame:
+    """Per event: mid, ret_1 (log return since the event before) and the queue ages qage_b_l and qage_a_l of each level.
+
+    As `features.queue_age` has it, an age is the time since size or price of the level changed; a price that isn't there
+    and an instrument's first event restart it. State: last mid, and size, price and restart of each level.
+    Events of a symbol are taken in time order within a micro-batch; put `monotonic` before it.
+    """
+    places = [(side, i) for side in ("bid", "ask") for i in range(1, levels + 1)]
+    ages = [f"qage_{side[0]}_{i}" for side, i in places]
+    symbol = stream.schema[SYMBOL].dataType.simpleString()
+    schema = f"{SYMBOL} {symbol}, {TS} long, {SEQ} long, mid double, ret_1 double" + "".join(f", {a} double" for a in ages)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values([TS, SEQ], kind="stable", ignore_index=True)
+        fresh, ts = not state.exists, pdf[TS].to_numpy(np.int64)
+        held = iter([None] * (1 + 3 * len(places)) if fresh else state.get)
+        best = pdf[["bid_price_1", "ask_price_1"]].astype(float).fillna(0.0)
+        mid = ((best["bid_price_1"] + best["ask_price_1"]) / 2).to_numpy()
+        logs, last = np.log(np.maximum(mid, SMALL)), next(held)
+        out = {TS: ts, SEQ: pdf[SEQ], "mid": mid, "ret_1": np.diff(logs, prepend=logs[0] if fresh else np.log(max(last, SMALL)))}
+        keep = [float(mid[-1])]
+        for (side, i), name in zip(places, ages, strict=True):
+            size, price = (pdf[f"{side}_{what}_{i}"].to_numpy(float) for what in ("size", "price"))
+            was_size, was_price, restart = next(held), next(held), next(held)
+            moved = lambda x, was: ~np.isclose(x, np.concatenate([[was], x[:-1]]), rtol=0, atol=0, equal_nan=True)
+            changed = moved(size, np.nan if was_size is None else was_size) | moved(price, np.nan if was_price is None else was_price) | np.isnan(price)
+            changed[0] |= fresh
+            since = np.maximum.accumulate(np.where(changed, np.arange(len(ts)), -1))
+            start = np.where(since >= 0, ts[since], ts[0] if fresh else restart)
+            out[name] = (ts - start) / NS
+            keep += [*(None if np.isnan(x[-1]) else float(x[-1]) for x in (size, price)), int(start[-1])]
+        state.update(tuple(keep))
+        yield pd.DataFrame({SYMBOL: key[0], **out})
+
+    held = "mid double" + "".join(f", s_{a} double, p_{a} double, t_{a} long" for a in ages)
+    ship(stream.sparkSession)
+    return stream.groupBy(SYMBOL).applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.NoTimeout)
+
+
 def with_end(rows: DataFrame, after_s: float) -> DataFrame:
     """rows and one more without a symbol, after_s later than the last: landed as the last of a stream that ends, it moves
     the watermark past all windows and sessions of the others, which would stay open for ever. A longer gap than theirs is needed.
