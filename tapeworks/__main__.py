@@ -47,7 +47,7 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> dict:
 
 def aggregate(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Means of reports over folders, by weight if there are any."""
-    return files.aggregate_reports(files.read_reports(spark, a.reports), files.read_weights(spark, a.weights) if a.weights else None)
+    return files.aggregate_reports(files.read_reports(spark, a.reports), files.read_weights(spark, a.weights) if a.weights else None, n_boot=a.n_boot)
 
 
 def economic(spark: SparkSession, a: argparse.Namespace) -> dict:
@@ -274,6 +274,7 @@ def parser() -> argparse.ArgumentParser:
     c = add("aggregate")
     c.add_argument("--reports", required=True)
     c.add_argument("--weights")
+    c.add_argument("--n-boot", type=int, default=500)
     c = add("ca-preview")
     c.add_argument("--events-file", required=True)
     c.add_argument("--actions", required=True)

@@ -13,11 +13,11 @@ from tapeworks.schema import EVENT_TYPES, NS, SEQ, SYMBOL, TS, instant
 RAW_TYPES = {"TRADE": "MO+", "BUY": "MO+", "EXECUTE": "MO+", "SELL": "MO-", "ADD": "LO+", "NEW": "LO+", "CANCEL": "CX-", "DELETE": "CX-"}
 
 
-def to_epoch_ns(raw: Column) -> Column:
+def to_epoch_ns(raw: Column, tz: str = "UTC") -> Column:
     """Nanoseconds since 1970 of a time written as text or a number; null if it can't be read.
 
     Numbers are taken as seconds, milliseconds, microseconds or nanoseconds by their magnitude, row by row. Text without
-    a zone is UTC.
+    a zone is local time of tz.
     """
     text = F.trim(raw.cast("string"))
     number = text.try_cast("double")
@@ -26,6 +26,8 @@ def to_epoch_ns(raw: Column) -> Column:
     times = lambda k: F.coalesce(whole * k, (number * k).cast("long"))  # noqa: E731  whole numbers stay exact
     scaled = F.when(size >= 1e17, times(1)).when(size >= 1e14, times(1_000)).when(size >= 1e11, times(1_000_000)).otherwise(times(NS))
     stamp = F.try_to_timestamp(text)
+    if tz != "UTC":
+        stamp = F.when(text.rlike(r"[0-9]:[0-9.]+ *([A-Za-z]|[+-][0-9])"), stamp).otherwise(F.to_utc_timestamp(stamp, tz))
     # Spark keeps microseconds; the digits behind them are read from the text.
     rest = F.rpad(F.regexp_extract(text, r"\.[0-9]{6}([0-9]{1,3})", 1), 3, "0").try_cast("long")
     return F.when(number.isNotNull(), scaled).otherwise(F.unix_micros(stamp) * 1000 + F.coalesce(rest, F.lit(0)))
@@ -162,8 +164,12 @@ def resolve_slice(total: int, *, rows: int | None = None, cap: int | None = None
 
 
 def slice_rows(df: DataFrame, start: int, stop: int, *, by: tuple[str, ...] = (SYMBOL,)) -> DataFrame:
-    """Rows start to stop (from 0) of each instrument in event order."""
-    return df.withColumn("__rn", F.row_number().over(in_order(*by)) - 1).where((F.col("__rn") >= start) & (F.col("__rn") < stop)).drop("__rn")
+    """Rows start to stop (from 0) of each instrument in event order; negative bounds count from its end."""
+    df = df.withColumn("__rn", F.row_number().over(in_order(*by)) - 1)
+    if min(start, stop) < 0:
+        df = df.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*by)))
+    bound = lambda at: F.col("__n") + at if at < 0 else F.lit(at)
+    return df.where((F.col("__rn") >= bound(start)) & (F.col("__rn") < bound(stop))).drop("__rn", "__n")
 
 
 def event_order(df: DataFrame) -> DataFrame:

@@ -64,12 +64,19 @@ def stride_sample(df: DataFrame, stride: int, *, by: tuple[str, ...] = (SYMBOL,)
 
 
 def balanced_sample(df: DataFrame, label: str, per_class: int, seed: int = 0, *, key: str = "seq") -> DataFrame:
-    """per_class rows of each label in a seeded order; a scarce class is repeated until it has as many."""
+    """per_class rows of each label in a seeded order; a scarce class is repeated until it has as many.
+
+    Parts of a class are ranked on their own and hand on per_class rows at most, so no task holds a class.
+    """
     order = F.xxhash64(F.lit(seed), key)
-    w = W.partitionBy(label)
-    df = df.withColumns({"__r": F.row_number().over(w.orderBy(order, key)), "__n": F.count(F.lit(1)).over(w)})
+    parts = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sizes = df.groupBy(F.col(label).alias("__label")).agg(F.count(F.lit(1)).alias("__n"))
+    df = df.withColumn("__part", F.pmod(order, F.lit(parts)))
+    for within in ([label, "__part"], [label]):
+        df = df.withColumn("__r", F.row_number().over(W.partitionBy(*within).orderBy(order, key))).where(F.col("__r") <= per_class)
+    df = df.join(sizes, df[label].eqNullSafe(sizes["__label"])).drop("__part", "__label")
     times = F.ceil((F.lit(per_class) - F.col("__r") + 1) / F.col("__n"))
-    df = df.where(F.col("__r") <= per_class).withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(times, F.lit(1)).cast("int") - 1)))
+    df = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(times, F.lit(1)).cast("int") - 1)))
     return df.drop("__r", "__n")
 
 

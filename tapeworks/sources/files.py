@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.operators import clean
+from tapeworks.operators import bootstrap, clean
 from tapeworks.schema import EVENT_SCHEMA, SEQ, SYMBOL, TS, conform, require
 from tapeworks.session import ship
 from tapeworks.sources import binary, lobster
@@ -30,9 +30,12 @@ def read_ndjson(spark: SparkSession, path: str, *, stream: bool = False) -> Data
     return df.where(F.col("_bad").isNull() & (F.col("timestamp").isNotNull() | F.col("event_type").isNotNull())).drop("_bad")
 
 
-def harmonise(raw: DataFrame, *, symbol: str | None = None, tick: float | None = None, scale: float = 1.0, session: tuple[str, str, str] | None = None, min_price: float = 0.0, min_size: float = 0.0, dedupe: bool = True) -> DataFrame:
-    """Canonical events of raw rows: types, prices, times; session, halts, quality and duplicates if asked for."""
-    df = raw.withColumn(TS, clean.to_epoch_ns(F.col("timestamp"))).drop("timestamp")
+def harmonise(raw: DataFrame, *, symbol: str | None = None, tick: float | None = None, scale: float = 1.0, session: tuple[str, str, str] | None = None, min_price: float = 0.0, min_size: float = 0.0, dedupe: bool = True, source_tz: str = "UTC") -> DataFrame:
+    """Canonical events of raw rows: types, prices, times; session, halts, quality and duplicates if asked for.
+
+    Times written without a zone are local to source_tz.
+    """
+    df = raw.withColumn(TS, clean.to_epoch_ns(F.col("timestamp"), source_tz)).drop("timestamp")
     df = df.withColumn(SYMBOL, F.coalesce(F.col(SYMBOL), F.lit(symbol)))
     df = clean.canonical_events(df, tick=tick, scale=scale)
     if SEQ not in df.columns:
@@ -139,10 +142,16 @@ def read_reports(spark: SparkSession, glob: str) -> DataFrame:
     return df.select(name.alias("name"), F.explode(F.from_json("value", "map<string,string>")).alias("metric", "v")).select("name", "metric", F.col("v").try_cast("double").alias("value")).where(F.col("value").isNotNull())
 
 
-def aggregate_reports(reports: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """metric, n, macro and micro over reports."""
+def aggregate_reports(reports: DataFrame, weights: DataFrame | None = None, *, n_boot: int = 0, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """metric, n, macro and micro over reports; with n_boot also lo and hi, the bootstrap interval of macro."""
     df = reports.join(weights, "name", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))) if weights is not None else reports.withColumn("weight", F.lit(1.0))
-    return df.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("macro"), (F.sum(F.col("weight") * F.col("value")) / (F.sum("weight") + 1e-12)).alias("micro"))
+    out = df.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("macro"), (F.sum(F.col("weight") * F.col("value")) / (F.sum("weight") + 1e-12)).alias("micro"))
+    if not n_boot:
+        return out
+    drawn = bootstrap.resampled(reports.select("metric", "value", F.xxhash64("name", "metric", "value").alias("key")), n_boot, key="key", seed=seed)
+    means = drawn.groupBy("metric", "replicate").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("mean"))
+    ends = means.groupBy("metric").agg(F.percentile("mean", alpha / 2).alias("lo"), F.percentile("mean", 1 - alpha / 2).alias("hi"))
+    return out.join(ends, "metric", "left")
 
 
 def p_values_by_type(spark: SparkSession, glob: str, field: str = "ks_per_type") -> DataFrame:

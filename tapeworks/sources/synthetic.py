@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import partial
 
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeworks.functions.ranks import running_totals
+from tapeworks.operators.bootstrap import uniform
 from tapeworks.schema import EVENT_TYPES
 from tapeworks.session import ship
 
@@ -75,17 +78,33 @@ def training_batch(spark: SparkSession, batch: int, steps: int, features: int, t
     return rows.select("sequence", "step", noise(features, 0).alias("features"), noise(topology, 500).alias("topology"), (F.rand(seed + 7) > 0.5).cast("int").alias("label"))
 
 
-def with_returns(df: DataFrame, *, alpha: float = 0.8, sigma: float = 0.01, seed: int = 0, order: str = "idx", group: str | None = None) -> DataFrame:
-    """ret: a first-order autoregression along `order`, one series for each group (a series is one task)."""
-    cols = df.columns
+def with_returns(df: DataFrame, *, alpha: float = 0.8, sigma: float = 0.01, seed: int = 0, order: str = "idx", group: str | None = None, chunk: int = 200_000) -> DataFrame:
+    """ret: a first-order autoregression along `order` (distinct numbers), one series for each group, which is one task.
+
+    Noise comes from hashes of group and order. A series of the whole table is dealt to tasks of `chunk` rows; each starts
+    as many rows early as it takes for what came before to fall below 1e-17, so |alpha| must be below 1.
+    """
+    keys = [F.lit(seed), *([F.col(group)] if group else []), F.col(order)]
+    draw = lambda k: uniform(F.lit(k), *keys)
+    rows, by = df.withColumn("__e", sigma * F.sqrt(-2 * F.log(draw("radius"))) * F.cos(2 * math.pi * draw("angle"))), [group]
+    if group is None:
+        if abs(alpha) >= 1:
+            raise ValueError("a series of the whole table needs |alpha| < 1")
+        early = math.ceil(math.log(1e-17) / math.log(abs(alpha))) if alpha else 0
+        size, by = max(chunk, early), ["__chunk"]
+        rows = running_totals(rows.withColumn("__one", F.lit(1).cast("long")), [order], ["__one"]).withColumnRenamed("before___one", "__at").drop("__one")
+        own = F.floor(F.col("__at") / size)
+        lead = F.pmod("__at", F.lit(size)) >= size - early
+        rows = rows.withColumns({"__own": own, "__chunk": F.explode(F.when(lead, F.array(own, own + 1)).otherwise(F.array(own)))})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
-        noise, out, last = np.random.default_rng(seed).normal(0, sigma, len(pdf)), np.zeros(len(pdf)), 0.0
-        for i, e in enumerate(noise):
+        out, last = np.zeros(len(pdf)), 0.0
+        for i, e in enumerate(pdf["__e"]):
             last = out[i] = alpha * last + e
-        return pdf[cols].assign(ret=out)
+        return pdf.assign(ret=out)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", ret double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", ret double"
     ship(df.sparkSession)
-    return (df.groupBy(group) if group else df.groupBy()).applyInPandas(run, schema)
+    out = rows.groupBy(*by).applyInPandas(run, schema)
+    return (out if group else out.where(F.col("__own") == F.col("__chunk"))).drop("__e", "__at", "__own", "__chunk")

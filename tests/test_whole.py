@@ -109,3 +109,76 @@ def test_intermediate_tables_can_be_cleared(spark):
     assert len(tables(spark) - before) == 1
     clear(spark, tables(spark) - before)
     assert tables(spark) == before
+
+
+def test_live_book_state_goes_on_over_batches(spark, tmp_path):
+    """The same features whether events come at once or file by file; sizes and prices that aren't there included."""
+    from tapeworks.operators import features
+    from tapeworks.schema import NS
+    from tapeworks.streaming import events as live
+
+    data = [(s, i * NS, i, *((None,) * 4 if (i + s) % 7 == 0 else (100.0 - i // 3, 101.0 + s, float(i // 2 % 2), 5.0))) for s in (0, 1) for i in range(12)]
+    whole = spark.createDataFrame(data, "symbol int, ts_ns long, seq long, bid_price_1 double, ask_price_1 double, bid_size_1 double, ask_size_1 double")
+    for n in range(3):
+        whole.where(f"seq div 4 = {n}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = live.live_book(spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), 1)
+    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    names = ("symbol", "seq", "mid", "ret_1", "qage_b_1", "qage_a_1")
+    ours = sorted(rows(spark.read.schema(stream.schema).parquet(str(tmp_path / "out")), *names))
+    theirs = sorted(rows(features.queue_ages(features.causal_returns(features.spread_and_mid(whole), (1,)), 1), *names))
+    assert len(ours) == 24
+    for a, b in zip(ours, theirs, strict=True):
+        assert all(abs(x - y) < 1e-9 for x, y in zip(a, b, strict=True)), (a, b)
+
+
+def test_returns_of_a_whole_table_do_not_depend_on_chunks(spark):
+    from tapeworks.sources import synthetic
+
+    df = spark.range(2000).select(F.col("id").alias("idx"), F.lit(0).alias("g"))
+    one, many = (dict(rows(synthetic.with_returns(df, chunk=n), "idx", "ret")) for n in (10_000, 200))
+    assert len(one) == len(many) == 2000
+    assert max(abs(one[i] - many[i]) for i in one) < 1e-15
+    mean = sum(one.values()) / 2000
+    var = sum((x - mean) ** 2 for x in one.values()) / 2000
+    lag = sum((one[i] - mean) * (one[i + 1] - mean) for i in range(1999)) / 2000
+    assert abs(lag / var - 0.8) < 0.08 and abs(var / (0.01**2 / (1 - 0.64)) - 1) < 0.3
+    assert len(rows(synthetic.with_returns(df, group="g"))) == 2000
+
+
+def test_balanced_sample_equals_a_plain_one(spark):
+    from tapeworks.operators import splits
+
+    df = spark.range(5000).select(F.col("id").alias("seq"), F.when(F.col("id") % 500 == 0, 1).when(F.col("id") % 3 > 0, 0).alias("label"))
+    out = rows(splits.balanced_sample(df, "label", 64), "label", "seq", "copy")
+    hashed = dict(rows(df.select("seq", F.xxhash64(F.lit(0), "seq"))))
+    for label in (0, 1, None):
+        ids = sorted((s for s, y in rows(df, "seq", "label") if y == label), key=lambda s: (hashed[s], s))
+        want = sorted((ids[i % len(ids)], i // len(ids)) for i in range(64))
+        assert sorted((s, c) for y, s, c in out if y == label) == want
+
+
+def test_slices_count_from_the_end(spark):
+    from tapeworks.operators import clean
+
+    df = spark.range(30).select((F.col("id") % 2).alias("symbol"), F.col("id").alias("ts_ns"), F.col("id").alias("seq"))
+    cut = lambda a, b: sorted(s // 2 for (s,) in rows(clean.slice_rows(df, a, b).where("symbol = 0"), "seq"))
+    assert [cut(2, 4), cut(-3, 15), cut(-3, -1), cut(12, -1), cut(-99, 2)] == [[2, 3], [12, 13, 14], [12, 13], [12, 13], [0, 1]]
+
+
+def test_times_without_a_zone_are_local(spark):
+    from tapeworks.operators import clean
+
+    data = ["2024-01-02 09:30:00", "2024-07-02T09:30:00.000000001", "2024-01-02T09:30:00Z", "2024-01-02T09:30:00+02:00", "2024-01-02", "1704187800"]
+    got = [r[0] for r in rows(spark.createDataFrame([(x,) for x in data], "t string").select(clean.to_epoch_ns(F.col("t"), "America/New_York")))]
+    hour, day = 3600 * 10**9, 1_704_153_600 * 10**9
+    assert got == [day + 14 * hour + hour // 2, 1_719_878_400 * 10**9 + 13 * hour + hour // 2 + 1, day + 9 * hour + hour // 2, day + 7 * hour + hour // 2, day + 5 * hour, 1_704_187_800 * 10**9]
+
+
+def test_report_intervals_hold_the_mean(spark):
+    from tapeworks.sources import files
+
+    reports = spark.createDataFrame([(f"r{i}", m, (i % 7) / 10) for i in range(40) for m in ("auroc", "brier")], "name string, metric string, value double")
+    out = rows(files.aggregate_reports(reports, n_boot=200), "metric", "n", "macro", "micro", "lo", "hi")
+    assert sorted(x[0] for x in out) == ["auroc", "brier"]
+    for _, n, macro, micro, lo, hi in out:
+        assert n == 40 and abs(macro - micro) < 1e-9 and macro - 0.12 < lo < macro < hi < macro + 0.12
