@@ -6,11 +6,19 @@ geometric length at each row. Both are the large-sample forms of drawing rows, n
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.functions.ranks import running_totals
+from tapeworks.functions.ranks import PARTS, running_totals
+from tapeworks.session import ship, stored
+
+#: Rows whose weights are worked out together, and rows of one range of the ranking, about.
+CHUNK, RANGE = 1 << 15, 250_000
+U = np.uint64
+P1, P2, P3, P4, P5 = U(0x9E3779B185EBCA87), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0x85EBCA77C2B2AE63), U(0x27D4EB2F165667C5)
 
 
 def uniform(*keys: Column) -> Column:
@@ -94,12 +102,185 @@ def mean_interval(df: DataFrame, column: str, n_boot: int = 200, *, key: str = "
     return interval(w.groupBy("replicate").agg((F.sum(F.col(column) * F.col("weight")) / F.sum("weight")).alias("mean")), "mean", alpha)
 
 
+def _uniform_longs(at: np.ndarray, before: np.uint64) -> np.ndarray:
+    """What uniform() gives for keys that end in the longs `at`; `before` is xxhash64 of the keys before them."""
+    turned = lambda x, k: (x << U(k)) | (x >> U(64 - k))
+    h = (turned(at.astype(U) * P2, 31) * P1) ^ (np.array([before]) + P5 + U(8))
+    h = turned(h, 27) * P1 + P4
+    h = (h ^ (h >> U(33))) * P2
+    h = (h ^ (h >> U(29))) * P3
+    h ^= h >> U(32)
+    return ((h & U((1 << 52) - 1)).astype(float) + 0.5) / float(1 << 52)
+
+
+class BlockWeights:
+    """The weights of block_resampled, for any stretch of positions on its own.
+
+    A block is no longer than `reach`, the length that the smallest number of uniform() gives, so the blocks that hold a
+    position start at most so far before it.
+    """
+
+    def __init__(self, n: int, length: float, keys: list[tuple[int, int]]):
+        """keys: for each replicate, xxhash64 of what is hashed before a position, for starts and for lengths."""
+        p = min(1.0, 1.0 / max(length, 1e-6))
+        self.n, self.cut, self.step = n, 1 - float(np.exp(-p)), None if p >= 1 else float(np.log1p(-p))
+        self.keys = np.array(keys, np.int64).reshape(-1, 2).view(U)
+        self.reach = max(1, min(n, 1 if self.step is None else int(np.ceil(np.log(0.5 / (1 << 52)) / self.step)) + 1))
+        self.chunk = max(CHUNK, self.reach)
+        #: A position is in `reach` blocks of a replicate at most.
+        self.kind = np.dtype(np.uint16 if self.reach < 1 << 16 else np.uint32)
+
+    def stretch(self, first: int, size: int) -> np.ndarray:
+        """Weights of positions first, first + 1, ...: a row for each position, a column for each replicate."""
+        halo = self.reach - 1
+        at = np.arange(first - halo, first + size, dtype=np.int64) % self.n
+        out = np.empty((size, len(self.keys)), self.kind)
+        for r, (start, long) in enumerate(self.keys):
+            begins = np.flatnonzero(_uniform_longs(at, start) < self.cut)
+            span = np.ones(len(begins)) if self.step is None else np.ceil(np.log(_uniform_longs(at[begins], long)) / self.step)
+            ends = np.minimum(begins + np.clip(span, 1, self.reach).astype(np.int64), len(at))
+            change = np.bincount(begins, minlength=len(at) + 1) - np.bincount(ends, minlength=len(at) + 1)
+            out[:, r] = np.cumsum(change[:-1])[halo:]
+        return out
+
+
+def _places(pred: np.ndarray, null: np.ndarray, at: np.ndarray, cuts: np.ndarray, n: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """outer, inner and tie: ranges of the order (pred, at), nulls first and NaN last. All rows of a tie's outer range have one prediction."""
+    below, through = np.searchsorted(cuts, pred, "left"), np.searchsorted(cuts, pred, "right")
+    outer, tie = below + through, through - below > 1
+    nan = np.isnan(pred) & ~null
+    outer, tie = np.where(null, -1, np.where(nan, 2 * len(cuts) + 1, outer)), tie | null | nan
+    return outer.astype(np.int32), np.where(tie, at * parts // n, 0).astype(np.int32), tie
+
+
+def _doubles(column) -> tuple[np.ndarray, np.ndarray]:
+    null = column.is_null().to_numpy(zero_copy_only=False)
+    return np.where(null, np.nan, column.to_numpy(zero_copy_only=False)).astype(float), null
+
+
+def _dealt(blocks: BlockWeights, cuts: np.ndarray, parts: int, table):
+    """Rows of a chunk with their range and weights."""
+    import pyarrow as pa
+
+    at = table["at"].to_numpy(zero_copy_only=False)
+    (pred, null), (label, _) = (_doubles(table[c].combine_chunks()) for c in ("pred", "label"))
+    first = int(at[0]) // blocks.chunk * blocks.chunk
+    weights = blocks.stretch(first, min(blocks.chunk, blocks.n - first))[at - first]
+    return pa, table, at, pred, null, label, weights, _places(pred, null, at, cuts, blocks.n, parts)
+
+
+def _range_totals(blocks: BlockWeights, cuts: np.ndarray, parts: int, table):
+    """Of each range, the chunk's weights of positives, of negatives and of all rows."""
+    pa, _, _, _, _, label, weights, (outer, inner, tie) = _dealt(blocks, cuts, parts, table)
+    order = np.lexsort((inner, outer))
+    o, i = outer[order], inner[order]
+    begin = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (i[1:] != i[:-1])))
+    sums = [np.add.reduceat(np.where(of[order, None], weights[order], 0).astype(np.int64), begin) for of in (label == 1, label == 0, np.ones(len(label), bool))]
+    return pa.table({"outer": o[begin], "inner": i[begin], "tie": tie[order][begin], **{c: pa.array(list(x), pa.list_(pa.int64())) for c, x in zip(("pos", "neg", "all"), sums, strict=True)}})
+
+
+def _sum_totals(table):
+    import pyarrow as pa
+
+    sums = {c: [np.stack(table[c].to_pandas().to_list()).sum(0)] for c in ("pos", "neg", "all")}
+    return pa.table({c: table[c][:1] for c in ("outer", "inner", "tie")} | {c: pa.array(x, pa.list_(pa.int64())) for c, x in sums.items()})
+
+
+def _to_ranges(blocks: BlockWeights, cuts: np.ndarray, parts: int, table):
+    pa, table, _, _, _, _, weights, (outer, inner, _) = _dealt(blocks, cuts, parts, table)
+    pieces = []
+    for i in range(0, len(weights), CHUNK):  # the bytes of one array stay below 2 GB
+        w = np.ascontiguousarray(weights[i : i + CHUNK])
+        ends = np.arange(len(w) + 1, dtype=np.int32) * np.int32(w.shape[1] * w.itemsize)
+        pieces.append(pa.Array.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(ends), pa.py_buffer(w)]))
+    return pa.table({"outer": outer, "inner": inner, "at": table["at"], "pred": table["pred"], "label": table["label"], "w": pa.chunked_array(pieces, pa.binary())})
+
+
+def _range_scores(kind: np.dtype, bins: int, before: dict, whole: np.ndarray, key, table):
+    """For each replicate and bin of the calibration error, what one range adds to the metrics' sums (those without bins are in bin 0).
+
+    before: of each range the totals of what comes before and, for ties, those of the outer range, in its first inner one.
+    whole: totals of all rows. Totals are rows (positives, negatives, all) of one column for each replicate.
+    """
+    import pyarrow as pa
+
+    ahead, tie, equal = before[key[0].as_py(), key[1].as_py()]
+    boot = whole.shape[1]
+    at = table["at"].to_numpy()
+    (pred, null), (label, no_label) = (_doubles(table[c].combine_chunks()) for c in ("pred", "label"))
+    rows = [np.frombuffer(c.buffers()[2], kind)[c.offset * boot : (c.offset + len(c)) * boot].reshape(-1, boot) for c in table["w"].chunks if len(c)]
+    order = np.lexsort((at, pred))
+    pred, label, weights, known = pred[order], label[order], np.concatenate(rows)[order], ~(null | no_label)[order]
+    begin = np.flatnonzero(np.append(True, pred[1:] != pred[:-1])) if not tie else np.zeros(1, np.int64)
+    miss = np.where(known, label - pred, 0.0)
+    one, zero = label == 1, label == 0
+    out = []
+    for r in range(boot):
+        w = weights[:, r].astype(float)
+        p, n, a = whole[:, r].astype(float)
+        if not tie:
+            pos, neg, both = (np.add.reduceat(x, begin) for x in (w * one, w * zero, w))
+        else:
+            pos, neg, both = (np.zeros(1),) * 3 if equal is None else (x[r : r + 1].astype(float) for x in equal)
+        to = [ahead[k, r] + np.cumsum(x) - x for k, x in enumerate((pos, neg, both))]
+        some = pos > 0
+        wins = (pos * (to[1] + neg / 2))[some].sum()
+        precise = (pos[some] * ((p - to[0][some]) / (a - to[2][some]))).sum()
+        mine = w > 0
+        bin_ = np.minimum(np.floor((ahead[2, r] + np.cumsum(w) - w + w / 2)[mine] * bins / max(a, 1.0)), bins - 1).astype(np.int64)
+        first = np.zeros((bins, 4))
+        missed = w[mine] * miss[mine]
+        first[0] = wins, precise, (missed * miss[mine]).sum(), w[known].sum()
+        out.append(np.column_stack([np.full(bins, r), np.arange(bins), np.bincount(bin_, w[mine], bins), np.bincount(bin_, missed, bins), first]))
+    out = np.concatenate(out)
+    names = ("w", "gap", "wins", "precise", "square", "known")
+    return pa.table({"replicate": out[:, 0].astype(np.int32), "bin": out[:, 1].astype(np.int32), **{c: out[:, 2 + k] for k, c in enumerate(names)}})
+
+
+def block_metrics(df: DataFrame, length: float, n_boot: int = 200, *, order: str = "idx", bins: int = 15, seed: int = 0) -> DataFrame:
+    """replicate, auroc, auprc, brier and ece of rows (idx, pred, label) with the weights of block_resampled; null where there is none.
+
+    Rows are numbered once and never multiplied by replicates: one row carries its weights of all of them. Ranges of the
+    order of predictions are ranked on their own, behind the totals of the ranges before, which are the driver's only rows.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    rows = df.select(order, F.col("pred").cast("double").alias("pred"), F.col("label").cast("double").alias("label"), F.lit(1).cast("long").alias("one"))
+    rows = stored(running_totals(rows, [order], ["one"]).select(F.col("before_one").alias("at"), "pred", "label"), "bootstrap-rows")
+    n = rows.count()
+    parts = min(2000, max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")), n // RANGE))
+    cuts = rows.agg(F.array_sort(F.percentile_approx(F.when(~F.isnan("pred"), F.col("pred")), F.array(*[F.lit(i / parts) for i in range(1, parts)]), max(1000, 10 * parts)))).first()[0]
+    cuts = np.array(cuts or [], float)
+    hashed = lambda name: [F.xxhash64(F.lit(seed), F.lit(name), F.lit(r)) for r in range(n_boot)]
+    keys = spark.range(1).select(F.array(*hashed("start")), F.array(*hashed("length"))).first()
+    blocks = BlockWeights(n, length, list(zip(*keys, strict=True)))
+    chunks = rows.groupBy(F.floor(F.col("at") / blocks.chunk).alias("chunk"))
+    totals = chunks.applyInArrow(partial(_range_totals, blocks, cuts, parts), "outer int, inner int, tie boolean, pos array<long>, neg array<long>, all array<long>")
+    totals = totals.groupBy("outer", "inner").applyInArrow(_sum_totals, totals.schema).collect()  # a row for each range
+    before, so_far, ties = {}, np.zeros((3, n_boot), np.int64), {}
+    for x in totals:
+        if x["tie"]:
+            ties[x["outer"]] = ties.get(x["outer"], 0) + np.array([x["pos"], x["neg"], x["all"]])
+    for x in sorted(totals, key=lambda x: (x["outer"], x["inner"])):
+        before[x["outer"], x["inner"]] = so_far, x["tie"], ties.pop(x["outer"], None)
+        so_far = so_far + np.array([x["pos"], x["neg"], x["all"]])
+    dealt = chunks.applyInArrow(partial(_to_ranges, blocks, cuts, parts), "outer int, inner int, at long, pred double, label double, w binary")
+    scores = dealt.groupBy("outer", "inner").applyInArrow(partial(_range_scores, blocks.kind, bins, before, so_far), "replicate int, bin int, w double, gap double, wins double, precise double, square double, known double")
+    each = scores.groupBy("replicate", "bin").agg(*[F.sum(c).alias(c) for c in ("w", "gap", "wins", "precise", "square", "known")])
+    sums = each.groupBy("replicate").agg(F.sum(F.abs("gap")).alias("gap"), *[F.sum(c).alias(c) for c in ("w", "wins", "precise", "square", "known")])
+    pairs, positives = (F.get(F.array(*[F.lit(float(v)) for v in x]), "replicate") for x in (so_far[0].astype(float) * so_far[1], so_far[0]))
+    has = F.col("known") > 0
+    return sums.select(
+        "replicate", F.when(pairs > 0, F.col("wins") / pairs).alias("auroc"), F.when(positives > 0, F.col("precise") / positives).alias("auprc"),
+        F.when(has, F.col("square") / F.col("w")).alias("brier"), F.when(has, F.col("gap") / F.col("w")).alias("ece"),
+    )
+
+
 def block_metric_intervals(df: DataFrame, length: float, n_boot: int = 200, *, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """metric, n, lo and hi of AUROC, AUPRC, Brier score and ECE under the block bootstrap."""
-    w = block_resampled(df.select("idx", "pred", "label"), n_boot, length, seed=seed)
-    brier = w.groupBy("replicate").agg((F.sum(F.col("weight") * F.pow(F.col("pred") - F.col("label"), 2)) / F.sum("weight")).alias("brier"))
+    stats = stored(block_metrics(df, length, n_boot, seed=seed), "bootstrap-metrics")
     out = None
-    for name, stats in (("auroc", replicate_auroc(w)), ("auprc", replicate_auprc(w)), ("brier", brier), ("ece", replicate_ece(w))):
+    for name in ("auroc", "auprc", "brier", "ece"):
         row = interval(stats, name, alpha).select(F.lit(name).alias("metric"), "*")
         out = row if out is None else out.union(row)
     return out

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tapeworks", **conf: str) -> SparkSession:
@@ -49,6 +49,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder, so that what reads it several times doesn't work it out again."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def tables(spark: SparkSession) -> set[str]:
     """The intermediate tables that there are."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))

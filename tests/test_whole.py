@@ -182,3 +182,40 @@ def test_report_intervals_hold_the_mean(spark):
     assert sorted(x[0] for x in out) == ["auroc", "brier"]
     for _, n, macro, micro, lo, hi in out:
         assert n == 40 and abs(macro - micro) < 1e-9 and macro - 0.12 < lo < macro < hi < macro + 0.12
+
+
+def test_block_bootstrap_metrics_equal_those_of_multiplied_rows(spark, monkeypatch):
+    """Few and many equal predictions, predictions without value, blocks longer than the table; chunks and ranges cut anywhere."""
+    import math
+
+    from tapeworks.operators import bootstrap
+
+    monkeypatch.setattr(bootstrap, "CHUNK", 64)
+    odd = F.when(F.col("id") % 41 == 5, F.lit(None)).otherwise(F.when(F.col("id") % 43 == 7, float("nan")).otherwise(0.25))
+    label = F.when(F.col("id") % 31 == 3, F.lit(None)).otherwise((F.col("id") * 7 % 5 < 2).cast("int"))
+    cases = [(500, F.col("id") * 37 % 11 / 11.0, 6.0), (500, F.sin("id"), 6.0), (400, odd, 3.0), (30, F.col("id") % 3 / 3.0, 50.0), (90, F.lit(0.5), 1.0), (5, F.lit(0.5), 2.0)]
+    for size, pred, length in cases:
+        df = spark.range(size).select((F.col("id") * 3 - 7).alias("idx"), pred.alias("pred"), label.alias("label"))
+        w = bootstrap.block_resampled(df, 6, length, seed=2)
+        brier = w.groupBy("replicate").agg((F.sum(F.col("weight") * F.pow(F.col("pred") - F.col("label"), 2)) / F.sum("weight")).alias("brier"))
+        want = brier
+        for other in (bootstrap.replicate_auroc(w), bootstrap.replicate_auprc(w), bootstrap.replicate_ece(w)):
+            want = want.join(other, "replicate", "full")
+        want = {x["replicate"]: x for x in want.collect()}
+        got = bootstrap.block_metrics(df, length, 6, seed=2).collect()
+        assert sorted(x["replicate"] for x in got if x["brier"] is not None) == sorted(want)
+        for x in got:
+            for name in ("auroc", "auprc", "brier", "ece"):
+                a, b = x[name], want[x["replicate"]][name] if x["replicate"] in want else None
+                assert a == b or (a is not None and b is not None and (math.isclose(a, b, abs_tol=1e-9) or a != a and b != b)), (size, name, a, b)
+
+
+def test_block_bootstrap_reads_its_rows_once_and_does_not_multiply_them(spark, capsys):
+    """Each metric read and multiplied the rows anew, several times."""
+    from tapeworks.operators import bootstrap
+
+    df = spark.range(300).select(F.col("id").alias("idx"), (F.col("id") % 7 / 7.0).alias("pred"), (F.col("id") % 2).cast("int").alias("label"))
+    for out in (bootstrap.block_metrics(df, 5.0, 4), bootstrap.block_metric_intervals(df, 5.0, 4)):
+        out.explain("simple")
+        plan = capsys.readouterr().out
+        assert "Range (" not in plan and "Generate" not in plan
