@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from tapeworks.functions.ranks import running_totals
 from tapeworks.operators import metrics
 from tapeworks.operators.splits import permuted
+from tapeworks.schema import SEQ, SYMBOL, TS
+from tapeworks.session import stored
+
+#: Numbers of one row's topology vectors that are written at once.
+MOST_NUMBERS = 512
 
 
 def sigmoid(z: Column) -> Column:
@@ -148,19 +153,31 @@ def cross_market(df: DataFrame, features: Sequence[str], label: str, *, market:
 
 
 def topology_search(df: DataFrame, configs: Sequence, label: str, *, chunk_s: float | None = None, key: str = "seq") -> DataFrame:
-    """config, windows, vector and auroc on the validation rows of a model of each configuration's vectors alone."""
+    """config, windows, vector and auroc on the validation rows of a model of each configuration's vectors alone.
+
+    Vectors of as many configurations as fit MOST_NUMBERS a row are worked out in one pass and written, as fitting reads them several times.
+    """
     from tapeworks.operators import topology
 
-    out = None
+    out, parts = None, []
     for i, cfg in enumerate(configs):
         width = cfg.width * len(cfg.windows_s)
-        z = topology.rolling(df, cfg, chunk_s=chunk_s)
-        names = [f"z{j}" for j in range(width)]
-        rows = df.join(z, ["symbol", "ts_ns", "seq"]).withColumns({n: F.get("topology", F.lit(j)) for j, n in enumerate(names)})
-        model = fit_logistic(rows.where("split = 'train'"), names, label, max_iter=50)
-        scored = predict(model, rows.where("split = 'val'"), names).select(F.col(key).alias("idx"), "pred", F.col(label).alias("label"))
-        row = metrics.auroc(scored).select(F.lit(i).alias("config"), F.lit(str(cfg.windows_s)).alias("windows"), F.lit(cfg.vector).alias("vector"), "auroc")
-        out = row if out is None else out.union(row)
+        if not parts or sum(w for _, _, w in parts[-1]) + width > MOST_NUMBERS:
+            parts.append([])
+        parts[-1].append((i, cfg, width))
+    rows = df.select(SYMBOL, TS, SEQ, F.col(key).alias("__idx"), F.col(label).alias("__label"), "split")
+    for part in parts:
+        z = topology.vectors(df, [cfg for _, cfg, _ in part], chunk_s=chunk_s)
+        known = stored(rows.join(z, [SYMBOL, TS, SEQ]).select("__idx", "__label", "split", "topology"), "topology-vectors")
+        start = 0
+        for i, cfg, width in part:
+            names = [f"z{j}" for j in range(width)]
+            spread = known.withColumns({n: F.get("topology", F.lit(start + j)) for j, n in enumerate(names)})
+            start += width
+            model = fit_logistic(spread.where("split = 'train'"), names, "__label", max_iter=50)
+            scored = predict(model, spread.where("split = 'val'"), names).select(F.col("__idx").alias("idx"), "pred", F.col("__label").alias("label"))
+            row = metrics.auroc(scored).select(F.lit(i).alias("config"), F.lit(str(cfg.windows_s)).alias("windows"), F.lit(cfg.vector).alias("vector"), "auroc")
+            out = row if out is None else out.union(row)
     return out
 
 

@@ -19,6 +19,10 @@ from tapeworks.schema import NS, SEQ, SYMBOL, TS
 from tapeworks.session import ship
 
 DIAGRAM = "array<struct<birth:double,pers:double>>"
+#: Fields of at most so many pixels are worked out many at a time, so many numbers of a step at once.
+SMALL, AT_ONCE = 96, 2_000_000
+#: Rows that are gathered before their windows are worked out, about.
+GATHERED = 20_000
 
 
 @dataclass(frozen=True)
@@ -82,10 +86,118 @@ def rolling(df: DataFrame, cfg: Topology, *, chunk_s: float | None = None) -> Da
     reach = int(max(cfg.windows_s) * NS)
     rows = numbered(df.select(SYMBOL, TS, SEQ, "surface")).drop("n_rows")
     dealt = chunked(rows, int((chunk_s or 20 * max(cfg.windows_s)) * NS), back_ns=reach)
+    ship(df.sparkSession)
+    return dealt.groupBy(SYMBOL, "chunk").applyInPandas(partial(_rolling, cfg), row_schema(df))
+
+
+def row_schema(df: DataFrame) -> T.StructType:
     kind = df.schema[SYMBOL].dataType
-    schema = T.StructType([T.StructField(SYMBOL, kind), T.StructField(TS, T.LongType()), T.StructField(SEQ, T.LongType()), T.StructField("topology", T.ArrayType(T.DoubleType()))])
+    return T.StructType([T.StructField(SYMBOL, kind), T.StructField(TS, T.LongType()), T.StructField(SEQ, T.LongType()), T.StructField("topology", T.ArrayType(T.DoubleType()))])
+
+
+def _small_vectors(slabs: np.ndarray, cfgs: Sequence[Topology]) -> list[np.ndarray]:
+    """The vectors of many fields of one shape, for configurations that differ in vectors only."""
+    found = D.cubical_many(slabs, cfgs[0].dim)
+    each = lambda c, b, p: D.landscapes(b, p, c.levels, c.grid, c.summary) if c.vector == "landscape" else D.images(b, p, c.size, c.sigma, c.births, c.spans)
+    return [np.concatenate([each(c, b, p) for b, p in found], 1) for c in cfgs]
+
+
+def _window_vectors(cfgs: Sequence[Topology], table):
+    """Own rows of whole groups, in the order of time within each, with the vectors of all configurations."""
+    import pyarrow as pa
+
+    new = _group_starts(table)
+    ts, rn, own = (table[c].to_numpy() for c in (TS, "rn", "own"))
+    surface = table["surface"].combine_chunks()
+    sizes = np.diff(surface.offsets.to_numpy())
+    even = surface.null_count == 0 and len(set(sizes.tolist())) == 1 and sizes[0] > 0
+    flat = surface.flatten().to_numpy(zero_copy_only=False)
+    field = flat.reshape(len(sizes), -1) if even else [None if x is None else np.asarray(x, float) for x in surface.to_pylist()]
+    mine = np.flatnonzero(own)
+    place = np.zeros(len(ts), np.int64)
+    place[mine] = np.arange(len(mine))
+    starts = np.cumsum([0] + [c.width * len(c.windows_s) for c in cfgs])
+    out = np.zeros((len(mine), starts[-1]))
+    alike: dict[tuple, list[int]] = {}
+    for j, c in enumerate(cfgs):
+        alike.setdefault((c.complex, c.dim, c.share, c.stride, c.windows_s), []).append(j)
+    firsts: dict[float, np.ndarray] = {}
+    for w in {w for c in cfgs for w in c.windows_s}:
+        first = [a + np.searchsorted(ts[a:b], ts[a:b] - int(w * NS), side="right") for a, b in zip(new, [*new[1:], len(ts)], strict=True)]
+        firsts[w] = np.minimum(np.concatenate(first), np.arange(1, len(ts) + 1))
+    for (kind, _, _, stride, windows), js in alike.items():
+        group = [cfgs[j] for j in js]
+        on = mine[rn[mine] % stride == 0]
+        for k, w in enumerate(windows):
+            first = firsts[w][on]
+            height = on + 1 - first
+            spots = [slice(starts[j] + k * cfgs[j].width, starts[j] + (k + 1) * cfgs[j].width) for j in js]
+            widest = max([c.grid * 4 if c.vector == "landscape" else c.size**2 for c in group] + [8])
+            for h in np.unique(height):
+                at, begin = on[height == h], first[height == h]
+                if even and kind == "cubical" and 0 < h * field.shape[1] <= SMALL:
+                    step = max(1, AT_ONCE // int(h * field.shape[1] * widest))
+                    for i in range(0, len(at), step):
+                        slabs = field[begin[i : i + step, None] + np.arange(h)]
+                        for spot, x in zip(spots, _small_vectors(slabs, group), strict=True):
+                            out[place[at[i : i + step]], spot] = x
+                    continue
+                for a, b in zip(at, begin, strict=True):
+                    slab = field[b : a + 1] if even else np.stack(field[b : a + 1]) if a >= b else np.zeros((0, 1))
+                    found = window_diagrams(slab, group[0])
+                    for spot, c in zip(spots, group, strict=True):
+                        out[place[a], spot] = vector(found, c)
+    ends = np.arange(len(mine) + 1, dtype=np.int32) * np.int32(starts[-1])
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))
+    kept = table.select([SYMBOL, TS, SEQ]).take(pa.array(mine))
+    return kept.append_column("topology", lists)
+
+
+def _group_starts(table) -> list[int]:
+    """Where (symbol, chunk) changes, beginning with 0."""
+    import pyarrow.compute as pc
+
+    changed = np.zeros(max(len(table) - 1, 0), bool)
+    for c in (SYMBOL, "chunk"):
+        column = table[c].combine_chunks()
+        changed |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False).astype(bool)
+    return [0, *(np.flatnonzero(changed) + 1).tolist()]
+
+
+def _vectors(cfgs: Sequence[Topology], batches):
+    import pyarrow as pa
+
+    held, size, wait = [], 0, GATHERED
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size < wait:
+            continue
+        table = pa.Table.from_batches(held)
+        last = _group_starts(table)[-1]  # more rows of this group may come
+        if last:
+            yield from _window_vectors(cfgs, table[:last]).to_batches()
+        held = table[last:].to_batches()
+        size = sum(x.num_rows for x in held)
+        wait = GATHERED + size
+    if size:
+        yield from _window_vectors(cfgs, pa.Table.from_batches(held)).to_batches()
+
+
+def vectors(df: DataFrame, cfgs: Sequence[Topology], *, chunk_s: float | None = None) -> DataFrame:
+    """rolling() of several configurations in one pass, vectors one after another: symbol, ts_ns, seq and topology of rows with a symbol.
+
+    Windows that several configurations have in common get one diagram, and small fields of one shape are worked out
+    together. A task streams over its time chunks of instruments.
+    """
+    from tapeworks.operators.splits import numbered
+
+    longest = max(w for c in cfgs for w in c.windows_s)
+    rows = numbered(df.select(SYMBOL, TS, SEQ, F.col("surface").cast("array<double>").alias("surface")).where(F.col(SYMBOL).isNotNull())).drop("n_rows")
+    dealt = chunked(rows, int((chunk_s or 20 * longest) * NS), back_ns=int(longest * NS))
+    dealt = dealt.repartition(SYMBOL, "chunk").sortWithinPartitions(SYMBOL, "chunk", TS, SEQ)
     ship(df.sparkSession)
-    return dealt.groupBy(SYMBOL, "chunk").applyInPandas(partial(_rolling, cfg), schema)
+    return dealt.mapInArrow(partial(_vectors, list(cfgs)), row_schema(df))
 
 
 def transform_windows(df: DataFrame, cfg: Topology, column: str = "slab") -> DataFrame:

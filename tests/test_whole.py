@@ -219,3 +219,59 @@ def test_block_bootstrap_reads_its_rows_once_and_does_not_multiply_them(spark, c
         out.explain("simple")
         plan = capsys.readouterr().out
         assert "Range (" not in plan and "Generate" not in plan
+
+
+def _surfaces(spark, *, uneven: bool = False):
+    """Two instruments, events at one time, gaps longer than the windows, values that repeat."""
+    i = F.col("id")
+    surface = [F.sin(i), (i % 3).cast("double"), F.cos(i * 2)]
+    levels = F.when(i % 2 == 0, F.array(*surface)).otherwise(F.array(*surface[: 2 if uneven else 3]))
+    ts = F.floor(i / 3) * 2_000_000_000 + F.when(i > 60, 40_000_000_000).otherwise(0)
+    return spark.range(120).select((i % 2).alias("symbol"), ts.cast("long").alias("ts_ns"), i.alias("seq"), levels.alias("surface"), i)
+
+
+def test_vectors_of_many_configurations_equal_rolling_ones(spark):
+    import numpy as np
+
+    shared = {"windows_s": (6.0, 20.0)}
+    plain = [topology.Topology(levels=2, grid=16, **shared), topology.Topology(vector="image", size=3, sigma=0.5, **shared)]
+    more = [topology.Topology(levels=1, grid=8, summary="max", dim=2, stride=3, windows_s=(3.0,)), topology.Topology(vector="image", size=2, births=(0.0, 1.0), spans=(0.0, 0.5), dim=0, windows_s=(9.0, 300.0)), topology.Topology(complex="rips", levels=2, windows_s=(12.0,))]
+    for df, cfgs in ((_surfaces(spark), plain + more), (_surfaces(spark, uneven=True), plain)):
+        got = {x["seq"]: x["topology"] for x in topology.vectors(df, cfgs, chunk_s=25.0).collect()}
+        assert sorted(got) == list(range(120))
+        start = 0
+        for cfg in cfgs:
+            width = cfg.width * len(cfg.windows_s)
+            for x in topology.rolling(df, cfg, chunk_s=25.0).collect():
+                assert np.allclose(got[x["seq"]][start : start + width], x["topology"], rtol=1e-9, atol=1e-12), (cfg, x["seq"])
+            start += width
+
+
+def test_vectors_do_not_depend_on_how_rows_are_batched(monkeypatch):
+    """Groups go on from batch to batch; like windows have the very same vector, whatever is worked out with them."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    n = 300
+    symbol = np.sort(rng.integers(0, 9, n))
+    table = pa.table({"symbol": symbol, "ts_ns": np.arange(n) * 10**9, "seq": np.arange(n), "surface": [list(map(float, rng.integers(0, 5, 3))) for _ in range(n)], "rn": np.arange(n), "chunk": np.arange(n) // 50, "own": np.arange(n) % 7 > 0})
+    cfgs = [topology.Topology(windows_s=(5.0,), levels=2, grid=16), topology.Topology(windows_s=(5.0,), vector="image", size=3, sigma=0.5)]
+    whole = pa.Table.from_batches(topology._vectors(cfgs, table.to_batches()))
+    monkeypatch.setattr(topology, "GATHERED", 20)
+    monkeypatch.setattr(topology, "AT_ONCE", 1)
+    assert pa.Table.from_batches(topology._vectors(cfgs, table.to_batches(max_chunksize=7))).equals(whole)
+    assert whole["seq"].to_pylist() == [i for i in range(n) if i % 7]
+
+
+def test_topology_search_works_its_vectors_out_once(spark, capsys):
+    """Each model counted, fitted and scored rows whose windows were worked out anew each time."""
+    from tapeworks.operators import models, splits
+
+    df = splits.chronological_split(_surfaces(spark).withColumn("label", (F.col("seq") % 4 == 0).cast("int")))
+    cfgs = topology.search_grid([(6.0,)], levels=(2,), grids=(16,), sizes=(3,), sigmas=(0.5,))
+    out = models.topology_search(df, cfgs, "label", chunk_s=25.0)
+    out.explain("simple")
+    plan = capsys.readouterr().out
+    assert "InPandas" not in plan and "InArrow" not in plan
+    assert [(x["config"], x["vector"]) for x in sorted(out.collect())] == [(0, "landscape"), (1, "image")]
