@@ -17,6 +17,8 @@ from tapeworks.session import ship, stored
 
 #: Rows whose weights are worked out together, and rows of one range of the ranking, about.
 CHUNK, RANGE = 1 << 15, 250_000
+#: So many ranges' rows may have one prediction before they are cut on.
+MOST = 8
 U = np.uint64
 P1, P2, P3, P4, P5 = U(0x9E3779B185EBCA87), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0x85EBCA77C2B2AE63), U(0x27D4EB2F165667C5)
 
@@ -150,7 +152,9 @@ def _places(pred: np.ndarray, null: np.ndarray, at: np.ndarray, cuts: np.ndarray
     outer, tie = below + through, through - below > 1
     nan = np.isnan(pred) & ~null
     outer, tie = np.where(null, -1, np.where(nan, 2 * len(cuts) + 1, outer)), tie | null | nan
-    return outer.astype(np.int32), np.where(tie, at * parts // n, 0).astype(np.int32), tie
+    # A prediction of many ranges' rows is cut on by position, into fewer parts: at most MOST ranges' rows are in one, and not each of many ties is cut.
+    inner = np.where(through - below >= MOST, at * max(1, parts // MOST) // n, 0)
+    return outer.astype(np.int32), np.where(null | nan, at * parts // n, inner).astype(np.int32), tie
 
 
 def _doubles(column) -> tuple[np.ndarray, np.ndarray]:

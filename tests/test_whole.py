@@ -210,6 +210,21 @@ def test_block_bootstrap_metrics_equal_those_of_multiplied_rows(spark, monkeypat
                 assert a == b or (a is not None and b is not None and (math.isclose(a, b, abs_tol=1e-9) or a != a and b != b)), (size, name, a, b)
 
 
+def test_block_bootstrap_cuts_large_ties_only():
+    """A prediction that all rows share is dealt out; a hundred of equal size don't each get a range for every part of the table."""
+    import numpy as np
+
+    from tapeworks.operators import bootstrap
+
+    n, parts = 20_000, 200
+    at = np.arange(n)
+    for pred, least, most in ((np.full(n, 0.5), 25, 25), (at % 100 / 100, 100, 400), (np.sort(at % 100 / 100), 100, 400), (np.sin(at), 200, 400)):
+        cuts = np.quantile(pred, np.arange(1, parts) / parts, method="lower")
+        outer, inner, _ = bootstrap._places(pred, np.zeros(n, bool), at, cuts, n, parts)
+        sizes = np.unique(np.stack([outer, inner]), axis=1, return_counts=True)[1]
+        assert least <= len(sizes) <= most and sizes.max() <= 9 * n / parts
+
+
 def test_block_bootstrap_reads_its_rows_once_and_does_not_multiply_them(spark, capsys):
     """Each metric read and multiplied the rows anew, several times."""
     from tapeworks.operators import bootstrap
