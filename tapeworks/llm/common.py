@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.session import scratch, ship
+from tapeworks.session import clear, scratch, ship, tables
 
 #: White space and word patterns of the query contracts (fixed values).
 WHITE = " \t\n\x0b\f\r"
@@ -53,6 +56,27 @@ def materialise(df: DataFrame, label: str = "part", *, rows: int | None = None,
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the intermediate tables that df reads, when nothing will read them again."""
+    names = {f.split("/")[-2] for f in df.inputFiles()}
+    clear(df.sparkSession, {path for path in tables(df.sparkSession) if path.rsplit("/", 1)[-1] in names})
+
+
+@contextmanager
+def without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """What is written within keeps no shuffle files once it is written; else they stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def small_join(big: DataFrame, small: DataFrame, keys: list[str], *, how: str = "inner", max_rows: int = 20_000, salts: int = 32) -> DataFrame:
     """Joins a per-key table to rows whose keys may be very uneven.
 

@@ -23,12 +23,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import DOCUMENT_COLUMNS, materialise, python_rows, table
+from tapeworks.llm.common import DOCUMENT_COLUMNS, discard, python_rows, table, without_shuffle_files
+from tapeworks.llm.common import materialise as written
 
 BANDS, ROWS = 48, 5
 T = BANDS * ROWS
 #: With similarity 0.8 all bands of a pair differ with probability (1 - 0.8 ** ROWS) ** BANDS, 5e-9.
 STAR_ROUNDS = 4
+#: Slots of 64 bits, broadcast, tell which texts may be wanted: one for four texts lets 1.7 % of the others pass. With this many at most, more pass; none is lost.
+MOST_SLOTS = 1 << 19
 U = np.uint64
 M1, M2, K1, K2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
@@ -127,6 +130,24 @@ def _sets(width: int):
     return run
 
 
+def materialise(df: DataFrame, label: str, **size: int | None) -> DataFrame:
+    """The table that is written; its shuffle files go at once, as one of full sets or texts after the other would be several times the input."""
+    with without_shuffle_files(df.sparkSession):
+        return written(df, label, **size)
+
+
+def _likely(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows (content and others) without most of those whose content is not one of chosen's: a filter of bits, so that a join need not shuffle every text."""
+    slots = max(1, min(MOST_SLOTS, chosen.count() // 4))
+    slot = F.pmod(F.col("content"), F.lit(slots))
+    one, mask = F.lit(1).cast("long"), F.lit(63)
+    bits = [F.call_function("shiftleft", one, F.shiftright("content", at).bitwiseAND(mask).cast("int")) for at in (44, 54)]
+    both = bits[0].bitwiseOR(bits[1])
+    held = chosen.groupBy(slot.alias("__slot")).agg(F.bit_or(both).alias("__held"))
+    found = rows.join(F.broadcast(held), slot == F.col("__slot"))
+    return found.where(F.col("__held").bitwiseAND(both) == both).select(*rows.columns)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, most: int | None = None) -> DataFrame:
     """(id, other, inter, both) with the sizes of intersection and union of the full sets."""
     left = pairs.join(sets.withColumnRenamed("items", "x"), "id")
@@ -205,6 +226,7 @@ def linked_rows(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: in
     classes = materialise(classes, "near-classes", rows=total)
     mapped = signed.join(classes, "fp", "left").select("doc_id", "content", "n_shingles", "class", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"))
     mapped = materialise(mapped, "near-mapped", rows=total, per_file=8_000)
+    discard(signed)
     members = mapped.where(F.col("bands").isNotNull()).select(F.explode("bands").alias("key"), F.col("class").alias("id"), F.col("n_shingles").alias("n"))
     shared = members.groupBy("key").agg(F.min("id").alias("__first"), F.max("id").alias("__last"), F.count(F.lit(1)).alias("size")).where(F.col("__first") != F.col("__last")).select("key", "size")
     shared = materialise(shared, "near-shared", rows=total * bands, per_file=500_000)
@@ -213,10 +235,13 @@ def linked_rows(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: in
     # How many others it meets: the most central member of a group of near copies leads in all its buckets.
     central = bucket.groupBy("id").agg(F.sum("size").alias("met"))
     bucket = materialise(bucket.join(central, "id").select("key", "id", "n", F.struct((-F.col("met")).alias("met"), "id").alias("order")), "near-buckets", rows=met)
+    narrow = materialise(mapped.drop("bands"), "near-rows", rows=total)
+    discard(mapped)
+    mapped = narrow
     # One row of each class gives its set: the first in the order of content among those of the least doc_id.
     chosen = mapped.where(F.col("doc_id") == F.col("rep")).join(bucket.select(F.col("id").alias("class")).distinct(), "class", "left_semi")
     chosen = materialise(chosen.groupBy(F.col("class").alias("id")).agg(F.first("doc_id").alias("doc_id"), F.min("content").alias("content")), "near-chosen", rows=met)
-    wanted = named.join(chosen, ["doc_id", "content"]).dropDuplicates(["id"]).select("id", "text")
+    wanted = _likely(named, chosen).join(chosen, ["doc_id", "content"]).dropDuplicates(["id"]).select("id", "text")
     sets = materialise(wanted.mapInPandas(_sets(width), "id long, items array<long>"), "near-sets", rows=min(total, met), per_file=4_000)
 
     linked = F.lit(100) * F.col("inter") >= F.lit(percent) * F.col("both")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
-from tapeworks.llm import substring_dedup
+from pyspark.sql import functions as F
+
+from tapeworks.llm import near_dedup, substring_dedup
+from tapeworks.session import tables
 
 
 def _sentence(rng, n):
@@ -57,3 +60,50 @@ def test_joined_sentences_are_the_text():
         assert "".join(p + b for p, b in zip(parts, breaks, strict=True)) == text
         plain = "".join(x for x in text if x.isascii())
         assert substring_dedup.BREAK.split(plain) == substring_dedup.ASCII_BREAK.split(plain)
+
+
+def _shuffled(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_near_duplicates_leave_texts_where_they_are(spark):
+    """Texts that meet no other aren't shuffled, and neither shuffle files nor tables of all bands outlast their use."""
+    rng = random.Random(3)
+    docs = [(i, " ".join(f"{rng.getrandbits(60):x}" for _ in range(1500))) for i in range(200)]
+    docs += [(1000 + i, docs[i][1] + " more") for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    size = sum(len(t) for _, t in docs)
+    files, others, shuffled = _shuffle_files(spark), tables(spark), _shuffled(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = near_dedup.near_duplicates(df, width=2)
+        left = _shuffle_files(spark) - files
+        assert _shuffled(spark) - shuffled < size / 3
+        assert not left
+        assert not [t for t in tables(spark) - others if "near-signatures" in t or "near-mapped" in t]
+        assert {r.doc_id: r.component_id for r in found.collect()} == {i: i % 1000 for i, _ in docs}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_full_filter_of_texts_loses_none(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = [(i, " ".join(f"w{rng.getrandbits(40)}" for _ in range(20))) for i in range(300)]
+    df = spark.createDataFrame(docs + docs[:9], "doc_id long, text string").withColumn("content", near_dedup._content())
+    chosen = df.where("doc_id % 3 = 0").select("doc_id", "content").distinct()
+    want = sorted(r.doc_id for r in df.where("doc_id % 3 = 0").collect())
+    for most in (1, near_dedup.MOST_SLOTS):
+        monkeypatch.setattr(near_dedup, "MOST_SLOTS", most)
+        passed = near_dedup._likely(df, chosen)
+        assert passed.columns == df.columns
+        assert sorted(r.doc_id for r in passed.join(chosen, ["doc_id", "content"]).collect()) == want
+    assert passed.where(F.col("doc_id") % 3 != 0).count() < 30
+    assert near_dedup._likely(df, chosen.limit(0)).isEmpty()
