@@ -30,7 +30,7 @@ BANDS, ROWS = 48, 5
 T = BANDS * ROWS
 #: With similarity 0.8 all bands of a pair differ with probability (1 - 0.8 ** ROWS) ** BANDS, 5e-9.
 STAR_ROUNDS = 4
-#: Slots of 64 bits, broadcast, tell which texts may be wanted: one for four texts lets 1.7 % of the others pass. With this many at most, more pass; none is lost.
+#: Slots of 64 bits, broadcast, tell which texts may be wanted: one for four texts lets about 1.6 % of the others pass. With this many at most, more pass; none is lost.
 MOST_SLOTS = 1 << 19
 U = np.uint64
 M1, M2, K1, K2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
